@@ -52,7 +52,7 @@ def joined_small(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> Dat
 
 
 def blocked(postings: DataFrame, key: str, member: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Postings (key, member, ...) with columns lo and hi: the pair of blocks of its bucket that a row takes part in.
+    """Postings (key, member, ...) with columns own, lo and hi: a row's block, and the pair of blocks of its bucket that it takes part in.
 
     A bucket of up to `rows` rows is one block. A larger one is cut into blocks by a hash of the member, and
     each pair of blocks is a task's work of its own, so that no task gathers the bucket and no pair is lost.
@@ -60,11 +60,11 @@ def blocked(postings: DataFrame, key: str, member: str, rows: int = BLOCK_ROWS)
     sizes = postings.groupBy(key).agg(F.count(F.lit(1)).alias("bucket_rows"))
     large = cut(sizes.where(F.col("bucket_rows") > rows).select(key, F.ceil(F.col("bucket_rows") / rows).cast("int").alias("blocks")))
     if large.isEmpty():
-        return postings.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
-    one = joined_small(postings, large.select(key), [key], "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+        return postings.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    one = joined_small(postings, large.select(key), [key], "left_anti").withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
     many = joined_small(postings, large, [key], "inner").withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("own", "other", "blocks")
+    many = many.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
     return one.unionByName(many)
 
 
@@ -128,8 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -137,7 +136,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         links = cut(small)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if now == state and now[0] == now[2]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
+    ends = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link, and that to a node without one."""
+    n, nodes = links.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+    return n == nodes and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()

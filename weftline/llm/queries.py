@@ -27,5 +27,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing}
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pivots import labelled
+
+    return labelled(table(spark, sf_dir, "embeddings"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.simhash import hex_of, labelled
+
+    return labelled(table(spark, sf_dir, "documents")).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pivots": op3_pivots,
+    "op4_simhash": op4_simhash,
+    "op8_packing": op8_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
