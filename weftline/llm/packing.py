@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heapreplace
 
 import numpy as np
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 from weftline.llm.cluster import cut
 from weftline.llm.token_ids import encoder
 
-#: Each queue is cut into this many blocks by a hash of the document, so that a hot source is many tasks' work.
-BLOCKS = 256
+#: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: 256, or more
+#: as the ids grow, so that a block of all queues keeps to about so many ids, but 16,384 at most.
+BLOCKS, BLOCK_IDS = (256, 16_384), 1 << 24
 #: With more sources than this, sources share queues by a hash.
 MAX_QUEUES = 64
+#: Windows planned at once.
+AHEAD = 256
 
 
 class Schedule:
@@ -49,38 +53,45 @@ class Schedule:
             before = [b + p for b, p in zip(before, part, strict=True)]
             left = [n - p for n, p in zip(left, part, strict=True)]
             first += sum(part)
-        self.known: tuple[int, list[int]] | None = None
-
-    def before(self, k: int) -> list[int]:
-        """By queue, the ids in windows before k."""
-        if self.known and self.known[0] == k:
-            return self.known[1]
-        at = min(k * self.window, self.total)
-        first, ids, done, part = next((p for p in self.phases if p[0] <= at < p[0] + p[1]), (self.total, 1, self.sizes, [0]))
-        if at >= self.total:
-            return self.sizes
-        due = at - first
-        counts = [due * n // ids for n in part]
-        short = due - sum(counts)
-        wait = [(((c + 1) * ids - due * n) / n, q) for q, (c, n) in enumerate(zip(counts, part, strict=True)) if n] if short else []
-        heapify(wait)
-        for _ in range(short):
-            q = wait[0][1]
-            counts[q] += 1
-            heapreplace(wait, (((counts[q] + 1) * ids - due * part[q]) / part[q], q))
-        out = [d + c for d, c in zip(done, counts, strict=True)]
-        self.known = (k, out)
+        self.exact = self.total.bit_length() * 2 < 63  # products fit 64 bits
+
+    def before(self, k0: int, k1: int) -> np.ndarray:
+        """Rows k0 to k1: by queue, the ids in windows before k. A row follows from its k alone."""
+        out = np.empty((k1 - k0 + 1, len(self.sizes)), np.int64)
+        at = np.minimum(np.arange(k0, k1 + 1, dtype=np.int64 if self.exact else object) * self.window, self.total)
+        out[at >= self.total] = self.sizes
+        for first, ids, done, part in self.phases:
+            rows = np.flatnonzero((at >= first) & (at < first + ids))
+            if not len(rows):
+                continue
+            kind = np.int64 if self.exact else object
+            n, due = np.array(part, kind), (at[rows] - first).astype(kind)[:, None]
+            counts = due * n // ids
+            short = (due[:, 0] - counts.sum(1)).astype(np.int64)
+            per = np.maximum(n, 1)
+            wait = (((counts + 1) * ids - due * n) / per).astype(float)
+            wait[:, np.array(part) == 0] = np.inf
+            order = np.argsort(wait, axis=1, kind="stable")
+            rank = np.argsort(order, axis=1, kind="stable")
+            given = (rank < short[:, None]).astype(np.int64)
+            # the second id of a queue may fall due before the first of another
+            latest = np.where(given > 0, wait, -np.inf).max(1)
+            again = (wait + (ids / per).astype(float)).min(1) < latest
+            for r in np.flatnonzero(again & (short > 0)):
+                heap = [(w, q) for q, w in enumerate(wait[r]) if w < np.inf]
+                heapify(heap)
+                given[r] = 0
+                for _ in range(short[r]):
+                    w, q = heap[0]
+                    given[r, q] += 1
+                    heapreplace(heap, (w + ids / part[q], q))
+            out[rows] = (counts + given + np.array(done, kind)).astype(np.int64)
         return out
 
-    def holding(self, queue: int, at: int) -> int:
-        """The window that holds id `at` of the queue."""
+    def near(self, queue: int, at: int) -> int:
+        """A window close to the one that holds id `at` of the queue."""
         first, ids, done, part = next(p for p in self.phases if p[2][queue] <= at < p[2][queue] + p[3][queue])
-        k = (first + (at - done[queue]) * ids // part[queue]) // self.window
-        while k and self.before(k)[queue] > at:
-            k -= 1
-        while self.before(k + 1)[queue] <= at:
-            k += 1
-        return k
+        return (first + (at - done[queue]) * ids // part[queue]) // self.window
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -109,22 +120,26 @@ def packed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of documents, dealt to windows (sequences) of `window` ids in the sources' target proportions.
 
     Returns doc_id, source, start, length, ids (bytes, unsigned 32-bit little-endian), ids_crc32, doc_tokens,
     sequence_id, offset. All sequences are full but the last. weights are the sources' target shares; without
-    them each source's share of all ids. A source without a weight comes after all that have one.
+    them each source's share of all ids; with_ids=False leaves the ids null. A source without a weight comes after all that have one.
 
     A null text is empty and is the end id alone; a null source is a source of its own; a null doc_id stays
     null; equal rows are packed once each; an empty table gives no rows; other columns are ignored.
 
     Plan: texts are encoded once and the ids written to the shared folder; counts by queue and block come to
-    the driver (64 x 256 at most); one exchange by queue and block brings each block's ids in order, where
+    the driver (for each of 64 queues and 16,384 blocks at most); one exchange by block brings each block's ids in order, where
     their windows follow from the running count.
     """
     spark = docs.sparkSession
     tokens = cut(tokenised(docs, tokenizer_path, end_id, id_col, text_col, source_col))
+    blocks, total = BLOCKS[0], tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    while blocks < BLOCKS[1] and blocks * BLOCK_IDS < total:
+        blocks *= 2
     found = [r[0] for r in tokens.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
     known = sorted(found, key=lambda s: (s is not None, s)) if len(found) <= MAX_QUEUES else None
     if known is None:
@@ -137,46 +152,66 @@ def packed(
         queue = F.lit(0)
         for i, name in enumerate(names):
             queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(queue)
-    tokens = tokens.withColumns({"queue": queue.cast("int"), "block": F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(BLOCKS)).cast("int")})
+    tokens = tokens.withColumns({"queue": queue.cast("int"), "block": F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)).cast("int")})
     counts = {(r["queue"], r["block"]): r["n"] for r in tokens.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")).collect()}
     sizes, base = [0] * max(1, len(names)), {}
     for q, b in sorted(counts):
         base[q, b] = sizes[q]
         sizes[q] += counts[q, b]
     shares = [int(weights.get(n, 0)) for n in names] if weights else None
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(base)))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks))
     width = encoder(tokenizer_path).width
     names_out = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(sizes, window, shares)
-        here, at, k = None, 0, 0
-        had = have = [0] * len(sizes)
+        here, at, k, first = None, 0, 0, 0
+        have: list[int] = []  # ids of the queue before windows first, first + 1, ...
+        begin: list[int] = []  # where the queue's ids start in these windows
         rows: list[tuple] = []
+
+        @lru_cache(8)
+        def ahead(chunk: int) -> np.ndarray:
+            return schedule.before(chunk * AHEAD, (chunk + 1) * AHEAD)
+
+        def look(k: int, q: int) -> None:
+            nonlocal first, have, begin
+            table = ahead(k // AHEAD)
+            first, have = k // AHEAD * AHEAD, table[:, q].tolist()
+            begin = np.diff(table[:, :q].sum(1)).tolist()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names_out)
+
         for batch in batches:
             for doc, source, n, ids, q, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != (q, b):
                     here, at = (q, b), base[q, b]
-                    k = schedule.holding(q, at)
-                    had, have = schedule.before(k), schedule.before(k + 1)
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
+                    k = schedule.near(q, at)
+                    look(k, q)
+                    while k and have[k - first] > at:
+                        k -= 1
+                        look(k, q)
+                ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
                 start = 0
                 while start < n:
-                    while have[q] <= at:
+                    if k - first >= AHEAD:
+                        look(k, q)
+                    end = have[k - first + 1]
+                    if end <= at:
                         k += 1
-                        had, have = have, schedule.before(k + 1)
-                    take = min(n - start, have[q] - at)
-                    piece = ids[start : start + take].tobytes()
-                    offset = sum(have[:q]) - sum(had[:q]) + at - had[q]
-                    rows.append((doc, source, start, take, piece, zlib.crc32(piece), n, k, offset))
+                        continue
+                    take = min(n - start, end - at)
+                    piece = ids[4 * start : 4 * (start + take)]
+                    rows.append((doc, source, start, take, piece if with_ids else None, zlib.crc32(piece), n, k, begin[k - first] + at - have[k - first]))
                     start, at = start + take, at + take
                 if len(rows) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names_out)
+                    yield told()
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names_out)
+            yield told()
 
-    placed = tokens.select("doc_id", "source", "n_tokens", "ids", "queue", "block").repartition(parts, "queue", "block")
-    placed = placed.sortWithinPartitions("queue", "block", "doc_id", "n_tokens", F.crc32("ids"))
+    placed = tokens.select("doc_id", "source", "n_tokens", "ids", "queue", "block").repartition(parts, "block")
+    placed = placed.sortWithinPartitions("block", "queue", "doc_id", "n_tokens", F.crc32("ids"))
     return placed.mapInArrow(deal, "doc_id long, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Pieces and chunks of text whose ids a worker remembers; when full they are forgotten and gathered anew.
-PIECES, CHUNKS = 600_000, 250_000
+PIECES, CHUNKS = 800_000, 400_000
 #: Longer chunks are encoded each time.
 LONGEST = 64
 
@@ -33,55 +33,93 @@ class Encoder:
 
     For a tokenizer that drops white space and never joins over it, a text's ids are those of its chunks
     between white space one after the other, and a chunk's ids are remembered. A chunk of plain Latin
-    letters, digits and marks is cut further, just as such a tokenizer's own rule cuts it. Any other
-    tokenizer encodes each text as it is.
+    letters, digits and marks is cut further, just as such a tokenizer's own rule cuts it, and for one that
+    lower-cases, Latin texts are lower-cased first. Any other tokenizer encodes each text as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.by_chunk = self._drops_space()
+        self.lowers = self.by_chunk and all(self._ids(t) == self._ids(t.lower()) for t in ("QUITE Öde", "Él"))
+        self.spelt = self._spelling() if self.lowers else {}
         self.pieces: dict[str, bytes] = {}
         self.chunks = _Chunks(self._chunk)
+        self.latin_chunks = _Chunks(self._latin_chunk)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _drops_space(self) -> bool:
-        pre, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
-        if pre is None or norm is None or any(t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+        if any(t.lstrip or t.rstrip or not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
             return False
         as_one = "Ab12'S, xx'séß!?;don't 9a-b _c"
-        parts = [w for w in as_one.split() for w in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        cut = [i for p in PIECE.findall("ab12,xé!?") for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
-        return (
-            self.tokenizer.encode(as_one.replace(" ", " \n\t "), add_special_tokens=False).ids == parts
-            and self.tokenizer.encode("Ab12,xé!?", add_special_tokens=False).ids == cut
-        )
+        parts = [i for w in as_one.split() for i in self._ids(w)]
+        return self._ids(as_one.replace(" ", " \n\t ")) == parts and self._ids("Ab12,xé!?") == [i for p in PIECE.findall("Ab12,xé!?") for i in self._ids(p)]
+
+    def _spelling(self) -> dict[int, str]:
+        """How the pre-tokenizer spells Latin small letters, if their words can go to the model that way."""
+        letters = [chr(i) for i in range(97, 256) if chr(i).isalpha() and chr(i).islower()]
+        spelt = {}
+        for c in letters:
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
+            if len(parts) == 1:
+                spelt[ord(c)] = parts[0][0]
+        tries = ["a", "thing", "qxzkjw", "é", "été", "größe", "ñandú", *("x" + c + "y" for c in letters)]
+        same = all(self._ids(t) == [x.id for x in self.model.tokenize(t.translate(spelt))] for t in tries)
+        return spelt if same and len(spelt) == len(letters) else {}
 
     def _direct(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(i.to_bytes(self.width, "little") for i in self._ids(text))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            if self.spelt and self.spelt.keys() >= set(map(ord, piece)):
+                ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.spelt))])
+            else:
+                ids = self._direct(piece)
+            self.pieces[piece] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
         if len(chunk) > LONGEST or not PLAIN.fullmatch(chunk):
             return self._direct(chunk)
-        found, pieces = [], self.pieces
-        for piece in PIECE.findall(chunk.lower()):
-            ids = pieces.get(piece)
-            if ids is None:
-                if len(pieces) >= PIECES:
-                    pieces.clear()
-                ids = pieces[piece] = self._direct(piece)
-            found.append(ids)
-        return b"".join(found)
+        return b"".join(map(self._piece, PIECE.findall(chunk)))
+
+    def _latin_chunk(self, chunk: str) -> bytes:
+        if len(chunk) <= LONGEST:
+            if chunk.isalpha():
+                return self._piece(chunk)
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return self._piece(chunk[:-1]) + self._piece(chunk[-1])
+        return self._chunk(chunk)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_chunk or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to split() alone
             return self._direct(text)
+        if self.lowers and "<|" not in text and _latin(text):
+            return b"".join(map(self.latin_chunks.__getitem__, text.lower().split()))
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _encoders: dict[str, Encoder] = {}
 
 
