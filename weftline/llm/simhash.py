@@ -107,6 +107,13 @@ def linked(fps: DataFrame) -> DataFrame:
     return met.mapInArrow(link, "a long, b long")
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """(fp, component): the smallest fingerprint, as a signed long, that each distinct one of fps can reach."""
+    distinct = fps.select("fp").distinct()
+    groups = components(linked(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
@@ -119,13 +126,32 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fps = cut(fingerprints(given, "text", ["doc_id"], words))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = components(linked(distinct.select("fp")))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(least, "component").select("fp", "component_id"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = grouped(fps).join(least, "fp")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(smallest, "component").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest text hash."""
+    own_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    given = docs.select(F.col(id_col).cast("long").alias("__id"), own_hash.alias("__hash"), F.col(text_col).alias("text"))
+    fps = cut(fingerprints(given, "text", ["__id", "__hash"], words))
+    rank = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
+    named = fps.groupBy("fp").agg(F.min(rank).alias("least")).join(grouped(fps), "fp")
+    first = named.groupBy("component").agg(F.min("least").alias("least"))
+    first = cut(named.join(first.withColumnRenamed("least", "first"), "component").select("fp", "first"))
+    kept = fps.join(first, "fp").where(rank.eqNullSafe(F.col("first")))
+    kept = cut(kept.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__rows")))
+    told = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": own_hash})
+    told = told.join(kept, (F.col("__own_hash") == F.col("__hash")) & F.col("__own_id").eqNullSafe(F.col("__id")))
+    once = told.where("__rows = 1").select(*docs.columns)
+    if kept.where("__rows > 1").isEmpty():
+        return once
+    many = told.where("__rows > 1").dropDuplicates(["__own_id", "__own_hash"]).select(*docs.columns)
+    return once.unionByName(many)
+
+
 def hex_of(fp) -> Column:
     return F.lower(F.lpad(F.hex(fp), BITS // 4, "0"))
