@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import licenses
+
 END_ID = 2
 
 
@@ -79,6 +81,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.licenses import digest, scanned
+
+    return digest(scanned(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 SHARDS = 40
 
 
@@ -120,6 +128,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_sharding": op2_sharding,
     "op3_pivots": op3_pivots,
     "op4_simhash": op4_simhash,
@@ -130,4 +139,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op5_chat": OP5_SQL}
