@@ -251,7 +251,7 @@ def merge(step: Step) -> Value:
             return Arr(F.concat(*cols), element)
         cols = []
         for k, lst, v in parts:
-            many = F.transform(v.col, lambda x, e=v.element: variant(of_column(x, e))) if lst is not None else collection(v).col if isinstance(v, Dyn) else F.array(variant(v))
+            many = variants_of(v) if lst is not None else collection(v).col if isinstance(v, Dyn) else F.array(variant(v))
             if isinstance(v, Dyn):  # an object is one item here
                 kind = F.coalesce(F.schema_of_variant(v.col), F.lit("VOID"))
                 many = F.when(kind.startswith("ARRAY"), F.try_variant_get(v.col, "$", "array<variant>")).otherwise(F.array(v.col))
@@ -289,11 +289,18 @@ def merged_dynamic(step: Step) -> Value:
         maps.append(F.when(col_of(there) & (kind != "VOID"), own).otherwise(empty))
     out = maps[0]
     for later in maps[1:]:
-        names = F.map_keys(later)
-        out = F.map_concat(F.map_filter(out, lambda k, _, n=names: ~F.array_contains(n, k)), later)
+        out = F.map_concat(without(out, F.map_keys(later)), later)
     return Dyn(F.to_variant_object(out))
 
 
+def without(entries: Column, names: Column) -> Column:
+    return F.map_filter(entries, lambda k, _: ~F.array_contains(names, k))
+
+
+def variants_of(v: Arr) -> Column:
+    return F.transform(v.col, lambda x: variant(of_column(x, v.element)))
+
+
 def all_of(*conds: Cond) -> Cond:
     out: Cond = True
     for c in conds:

@@ -170,6 +170,9 @@ class Compiler:
             self.event(active, type="node-status", node_id=node.id, status="idle", text=visual)
             self.done[node.id] = False
             return
+        if active is False:  # no edge into it can ever be lit
+            self.done[node.id] = False
+            return
         self.event(active, type="node-status", node_id=node.id, status="running")
         step = Step(node, self.inputs(node, seed), self)
         operator = self.host.executor(node)
@@ -374,9 +377,11 @@ class Compiler:
         rows = self.host.store.where(F.col("table") == table).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("rows"))
         listed = self.keep(rows.select(F.to_json(F.transform("rows", lambda r: r["value"]))).scalar())
         found = F.transform(F.from_json(listed, "array<string>"), lambda r: F.parse_json(r))
+        def equal(key: str, wanted: Column) -> Callable[[Column], Column]:
+            return lambda r: F.coalesce(F.to_json(F.try_variant_get(r, f"$['{key}']", "variant")) == wanted, F.lit(False))
+
         for key, value in where.items():
-            wanted = json_text(value)
-            found = F.filter(found, lambda r, k=key, w=wanted: F.coalesce(F.to_json(F.try_variant_get(r, f"$['{k}']", "variant")) == w, F.lit(False)))
+            found = F.filter(found, equal(key, json_text(value)))
         return Arr(found, T.VariantType())
 
 
