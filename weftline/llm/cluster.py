@@ -17,6 +17,8 @@ BLOCK_ROWS = 2048
 BROADCAST_KEYS = 10_000
 #: Linked pairs handled at once within a task.
 PAIRS_AT_ONCE = 1 << 20
+#: Of texts or ids that go to Python at once: rows are of any length, so bytes are what bounds a task's memory.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,14 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def in_bounds(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from now on, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if given is None or not str(given).rstrip("b").isdigit() or int(str(given).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that no later stage or lost executor repeats what made it."""
     shared_dir(df.sparkSession)

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut
+from weftline.llm.cluster import cut, in_bounds
 from weftline.llm.token_ids import encoder
 
-#: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: 256, or more
+#: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: 1,024, or more
 #: as the ids grow, so that a block of all queues keeps to about so many ids, but 16,384 at most.
-BLOCKS, BLOCK_IDS = (256, 16_384), 1 << 24
+BLOCKS, BLOCK_IDS = (1024, 16_384), 1 << 22
 #: With more sources than this, sources share queues by a hash.
 MAX_QUEUES = 64
 #: Windows planned at once.
@@ -71,20 +71,21 @@ class Schedule:
             per = np.maximum(n, 1)
             wait = (((counts + 1) * ids - due * n) / per).astype(float)
             wait[:, np.array(part) == 0] = np.inf
-            order = np.argsort(wait, axis=1, kind="stable")
-            rank = np.argsort(order, axis=1, kind="stable")
-            given = (rank < short[:, None]).astype(np.int64)
-            # the second id of a queue may fall due before the first of another
-            latest = np.where(given > 0, wait, -np.inf).max(1)
-            again = (wait + (ids / per).astype(float)).min(1) < latest
-            for r in np.flatnonzero(again & (short > 0)):
+            step = (ids / per).astype(float)
+            # the next three ids of each queue, first due first; a fourth before the last of these is rare
+            next_due = (wait[:, :, None] + step[:, None] * np.arange(3)).reshape(len(rows), -1)
+            bound = np.sort(next_due, axis=1)[np.arange(len(rows)), np.maximum(short - 1, 0)]
+            taken = (next_due <= bound[:, None]) & (short > 0)[:, None]
+            given = taken.reshape(len(rows), -1, 3).sum(2)
+            latest = np.where(taken, next_due, -np.inf).max(1)
+            for r in np.flatnonzero(((wait + 3 * step).min(1) < latest) | (taken.sum(1) != short)):
                 heap = [(w, q) for q, w in enumerate(wait[r]) if w < np.inf]
                 heapify(heap)
                 given[r] = 0
                 for _ in range(short[r]):
                     w, q = heap[0]
                     given[r, q] += 1
-                    heapreplace(heap, (w + ids / part[q], q))
+                    heapreplace(heap, (w + step[q], q))
             out[rows] = (counts + given + np.array(done, kind)).astype(np.int64)
         return out
 
@@ -136,6 +137,7 @@ def packed(
     their windows follow from the running count.
     """
     spark = docs.sparkSession
+    in_bounds(spark)
     tokens = cut(tokenised(docs, tokenizer_path, end_id, id_col, text_col, source_col))
     blocks, total = BLOCKS[0], tokens.agg(F.sum("n_tokens")).first()[0] or 0
     while blocks < BLOCKS[1] and blocks * BLOCK_IDS < total:
@@ -166,51 +168,48 @@ def packed(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(sizes, window, shares)
-        here, at, k, first = None, 0, 0, 0
-        have: list[int] = []  # ids of the queue before windows first, first + 1, ...
-        begin: list[int] = []  # where the queue's ids start in these windows
-        rows: list[tuple] = []
-
-        @lru_cache(8)
-        def ahead(chunk: int) -> np.ndarray:
-            return schedule.before(chunk * AHEAD, (chunk + 1) * AHEAD)
-
-        def look(k: int, q: int) -> None:
-            nonlocal first, have, begin
-            table = ahead(k // AHEAD)
-            first, have = k // AHEAD * AHEAD, table[:, q].tolist()
-            begin = np.diff(table[:, :q].sum(1)).tolist()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names_out)
+        ahead = lru_cache(8)(lambda chunk: schedule.before(chunk * AHEAD, (chunk + 1) * AHEAD))
+        here, at = None, 0
+
+        def windows(q: int, at: int, end: int) -> tuple[int, np.ndarray, np.ndarray]:
+            """The first window, ids of the queue before each, and where the queue's ids start in each, for ids at..end."""
+            chunk = schedule.near(q, at) // AHEAD
+            while chunk and ahead(chunk)[0, q] > at:
+                chunk -= 1
+            while ahead(chunk)[-1, q] <= at:
+                chunk += 1
+            first, have, begin = chunk * AHEAD, [], []
+            while True:
+                table = ahead(chunk)
+                have.append(table[:-1, q])
+                begin.append(np.diff(table[:, :q].sum(1)))
+                if table[-1, q] >= end:
+                    return first, np.concatenate(have), np.concatenate(begin)
+                chunk += 1
 
         for batch in batches:
-            for doc, source, n, ids, q, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if here != (q, b):
-                    here, at = (q, b), base[q, b]
-                    k = schedule.near(q, at)
-                    look(k, q)
-                    while k and have[k - first] > at:
-                        k -= 1
-                        look(k, q)
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    if k - first >= AHEAD:
-                        look(k, q)
-                    end = have[k - first + 1]
-                    if end <= at:
-                        k += 1
-                        continue
-                    take = min(n - start, end - at)
-                    piece = ids[4 * start : 4 * (start + take)]
-                    rows.append((doc, source, start, take, piece if with_ids else None, zlib.crc32(piece), n, k, begin[k - first] + at - have[k - first]))
-                    start, at = start + take, at + take
-                if len(rows) >= 4000:
-                    yield told()
-                    rows = []
-        if rows:
-            yield told()
+            n, q, b = (batch.column(i).to_numpy() for i in (2, 4, 5))
+            edges = np.flatnonzero((q[1:] != q[:-1]) | (b[1:] != b[:-1])) + 1
+            found: list[list] = [[] for _ in names_out]
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(n)], strict=True) if len(n) else ():
+                if here != (q[i], b[i]):
+                    here, at = (q[i], b[i]), base[int(q[i]), int(b[i])]
+                docs = at + np.concatenate([[0], np.cumsum(n[i:j])])
+                end = int(docs[-1])
+                first, have, begin = windows(int(q[i]), at, end)
+                s = np.union1d(docs[:-1], have[(have > at) & (have < end)])
+                e = np.append(s[1:], end)
+                doc, k = np.searchsorted(docs, s, "right") - 1, np.searchsorted(have, s, "right") - 1
+                ids = np.frombuffer(b"".join(batch.column(3).slice(i, j - i).to_pylist()), f"<u{width}").astype("<u4").tobytes()
+                pieces = [ids[x:y] for x, y in zip(((s - at) * 4).tolist(), ((e - at) * 4).tolist(), strict=True)]
+                columns = (doc + i, doc + i, s - docs[doc], e - s, pieces if with_ids else [None] * len(s), [zlib.crc32(x) for x in pieces], n[i:j][doc], first + k, begin[k] + s - have[k])
+                for own, column in zip(found, columns, strict=True):
+                    own.append(column)
+                at = end
+            if found[0]:
+                flat = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in found]
+                rows = pa.array(flat[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, t) for c, t in zip(flat[2:], kinds[2:], strict=True))], names_out)
 
     placed = tokens.select("doc_id", "source", "n_tokens", "ids", "queue", "block").repartition(parts, "block")
     placed = placed.sortWithinPartitions("block", "queue", "doc_id", "n_tokens", F.crc32("ids"))
