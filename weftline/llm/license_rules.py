@@ -84,7 +84,7 @@ zlib; 1.00; spdx; spdx license identifier zlib
 zpl-2.1; 1.00; spdx; spdx license identifier zpl 2 1
 mit; 0.99; license; (?:licensed|released|distributed|available|published) under the(?: terms of the)? mit license
 mit; 0.99; permission; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit; 0.95; licenses; opensource org licenses? mit(?: license php)?
+mit; 0.95; opensource; opensource org licenses? mit(?: license php)?
 mit; 0.95; license; (?:the )?mit license mit
 mit-0; 0.95; attribution; mit no attribution(?: license)?
 mit; 0.90; license; (?:the )?(?:mit|expat) licen[sc]e
@@ -93,7 +93,7 @@ x11; 0.90; x11; (?:the )?x11 licen[sc]e
 apache-2; 0.99; apache; licensed under the apache licen[sc]e version 2 0(?: the license)?
 apache-2; 0.99; apache; (?:licensed|released|distributed|available|published) under(?: the terms of)?(?: the)? apache(?: software)?(?: license)?(?: version)?(?: v2| 2)(?: 0)?
 apache-2; 0.95; apache; (?:www )?apache org licenses license 2 0(?: txt| html)?
-apache-2; 0.95; apache; opensource org licenses? apache 2 0
+apache-2; 0.95; opensource; opensource org licenses? apache 2 0
 apache-1.1; 0.95; apache; (?:the )?apache software license version 1 1
 apache-1.0; 0.95; apache; (?:the )?apache (?:software )?license version 1 0
 apache-1.1; 0.95; apache; (?:www )?apache org licenses license 1 1
@@ -153,13 +153,13 @@ bsd-2-clause; 0.95; bsd; (?:the )?(?:bsd 2 clause|2 clause bsd|two clause bsd|si
 bsd-3-clause; 0.95; bsd; (?:the )?(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)(?: license)?
 bsd-4-clause; 0.95; bsd; (?:the )?(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)(?: license)?
 0bsd; 0.95; bsd; (?:the )?(?:zero clause bsd|bsd zero clause|bsd 0 clause|0 clause bsd)(?: license)?
-bsd-2-clause; 0.95; licenses; opensource org licenses? bsd 2 clause
-bsd-3-clause; 0.95; licenses; opensource org licenses? bsd 3 clause
+bsd-2-clause; 0.95; opensource; opensource org licenses? bsd 2 clause
+bsd-3-clause; 0.95; opensource; opensource org licenses? bsd 3 clause
 bsd; 0.90; bsd; (?:licensed|released|distributed|available) under(?: the terms of)?(?: the| a)? bsd(?: style)? licen[sc]e
 bsd; 0.60; bsd; (?:the )?bsd(?: style)? licen[sc]e
 isc; 0.95; permission; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 0bsd; 0.90; permission; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
-isc; 0.95; licenses; opensource org licenses? isc(?: license txt)?
+isc; 0.95; opensource; opensource org licenses? isc(?: license txt)?
 isc; 0.90; isc; (?:the )?isc licen[sc]e
 mpl-2.0; 0.99; mozilla; this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0
 mpl-1.1; 0.99; mozilla; the contents of this file are subject to the mozilla public license version 1 1
@@ -181,7 +181,7 @@ cddl-1.0; 0.95; distribution; (?:the )?common development and distribution licen
 cddl-1.1; 0.95; distribution; (?:the )?common development and distribution license(?: cddl)?(?: version| v)? ?1 1
 cddl; 0.70; distribution; (?:the )?common development and distribution licen[sc]e
 cc0-1.0; 0.99; cc0; (?:licensed|released|published|available|dedicated) (?:under|to)(?: the)?(?: creative commons)? cc0(?: 1 0)?(?: universal)?
-cc0-1.0; 0.95; zero; creative commons (?:cc0|zero)(?: v?1 0)?(?: universal)?
+cc0-1.0; 0.95; creative; creative commons (?:cc0|zero)(?: v?1 0)?(?: universal)?
 cc0-1.0; 0.95; cc0; cc0 1 0(?: universal)?
 cc0-1.0; 0.95; creativecommons; creativecommons org publicdomain zero 1 0
 cc-pdm; 0.90; creativecommons; creativecommons org publicdomain mark 1 0

@@ -151,13 +151,13 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: st
             slot += x.rows
     table = docs.sparkSession.createDataFrame(
         [(p["p"], *p["lo"], *p["hi"], i, p["shard"], p["slot"], p["cuts"]) for i, p in enumerate(parts)],
-        "p long, lo1 long, lo2 long, hi1 long, hi2 long, part int, shard0 int, slot0 long, cuts array<long>",
+        "__part16 long, __lo1 long, __lo2 long, __hi1 long, __hi2 long, __part int, __shard0 int, __slot0 long, __cuts array<long>",
     )
-    inside = (F.struct("__k1", "__k2") >= F.struct("lo1", "lo2")) & (F.struct("__k1", "__k2") <= F.struct("hi1", "hi2"))
-    placed = told.withColumn("__p", _prefix(F.col("__k1"), FIRST_BITS)).join(F.broadcast(table), (F.col("__p") == F.col("p")) & inside)
-    placed = placed.withColumn("__n", F.row_number().over(Window.partitionBy("part").orderBy("__k1", "__k2")).cast("long") - 1)
-    passed = F.size(F.filter("cuts", lambda c: c <= F.col("__n")))
-    before = F.try_element_at("cuts", F.greatest(passed, F.lit(1)))
-    placed = placed.withColumns({"shard": F.col("shard0") + passed, "slot": F.when(passed == 0, F.col("slot0") + F.col("__n")).otherwise(F.col("__n") - before)})
+    inside = (F.struct("__k1", "__k2") >= F.struct("__lo1", "__lo2")) & (F.struct("__k1", "__k2") <= F.struct("__hi1", "__hi2"))
+    placed = told.withColumn("__p", _prefix(F.col("__k1"), FIRST_BITS)).join(F.broadcast(table), (F.col("__p") == F.col("__part16")) & inside)
+    placed = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("__k1", "__k2")).cast("long") - 1)
+    passed = F.size(F.filter("__cuts", lambda c: c <= F.col("__n")))
+    before = F.try_element_at("__cuts", F.greatest(passed, F.lit(1)))
+    placed = placed.withColumns({"shard": F.col("__shard0") + passed, "slot": F.when(passed == 0, F.col("__slot0") + F.col("__n")).otherwise(F.col("__n") - before)})
     names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
     return placed.select(*names, "size", "text_crc32", "shard", "slot")
