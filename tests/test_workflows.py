@@ -11,6 +11,7 @@ from weftline.functions import scalars
 from weftline.graph import document, kinds
 from weftline.operators import durable
 from weftline.plans.compiled import CYCLE, Host, compile_graph
+from weftline.plans.values import Scalar
 from weftline.plans.queries import ORACLE_SQL, QUERIES, chain, fields, graph, node
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -97,7 +98,8 @@ def test_cycle(spark):
 def test_loop_results_failures_and_caps(spark):
     def body(step):
         value = step.inputs.fields["in"][1]
-        step.abort(value.col == "bad", "refused bad")
+        if isinstance(value, Scalar):
+            step.abort(value.col == "bad", "refused bad")
         return value
 
     def loop(**config):
