@@ -91,6 +91,13 @@ def satisfies_range(version: Column, spec: Column) -> Column:
     return F.coalesce(F.exists(F.split(spec, r"\|\|"), clause), F.lit(False))
 
 
+def is_pause(reason: Column) -> Column:
+    out = reason.startswith(PAUSE)
+    for prefix in OLD_PAUSES:
+        out = out | reason.startswith(prefix)
+    return out
+
+
 def decoded_pause(reason: Column) -> Column:
     """(node_id, awaiting, detail) of a pause's text; null for any other text, a broken pause too. detail is JSON or null."""
     body = F.from_json(F.substring(reason, F.lit(len(PAUSE) + 1), F.length(reason)), "nodeId string, awaiting string, detail string")

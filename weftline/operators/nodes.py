@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import word_count
+from weftline.functions.scalars import is_pause, word_count
 from weftline.graph.document import Node
 from weftline.plans.values import (
     Arr,
@@ -230,7 +230,7 @@ def for_each(step: Step) -> Value:
     kind = step.compiler.type_of(outcome).elementType
     results = F.transform(outcome, lambda o: F.when(o["error"].isNull(), o["value"]))
     failures = F.filter(F.transform(F.arrays_zip(outcome.alias("o"), taken.alias("item")), lambda z, i: F.struct(i.cast("bigint").alias("index"), z["item"].alias("item"), z["o"]["error"].alias("error"))), lambda f: f["error"].isNotNull())
-    paused = F.filter(outcome, lambda o: o["error"].startswith("fancy-flow:pause:") | o["error"].startswith("awaiting-"))
+    paused = F.filter(outcome, lambda o: is_pause(o["error"]))
     step.abort(F.size(paused) > 0, F.get(paused, F.lit(0))["error"])
     item_kind = items.element
     failed = T.StructType([T.StructField("index", T.LongType()), T.StructField("item", item_kind), T.StructField("error", T.StringType())])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
+from weftline.graph.kinds import ALIAS, OWN
 from weftline.operators import durable, graphs, search
 from weftline.plans.compiled import Host, Run, compile_graph
 
@@ -456,8 +457,8 @@ def dispatch_cap(spark, sf_dir):
 
 @query("select event_id, case event_type when 'purchase' then 1 when 'view' then 4 else 3 end as tries from events")
 def retry_tries(spark, sf_dir):
-    kinds = F.when(F.col("event_type") == "purchase", F.lit("@fancy/notify")).when(F.col("event_type") == "view", F.lit("branch")).otherwise(F.lit("merge"))
-    policy = durable.RetryPolicy(3, 100, {"notify": (9, 1), "@particle-academy/branch": (4, 50)})
+    kinds = F.when(F.col("event_type") == "purchase", F.lit(ALIAS + "notify")).when(F.col("event_type") == "view", F.lit("branch")).otherwise(F.lit("merge"))
+    policy = durable.RetryPolicy(3, 100, {"notify": (9, 1), OWN + "branch": (4, 50)})
     return table(spark, sf_dir, "events").select("event_id", policy.column(kinds).alias("tries"))
 
 
