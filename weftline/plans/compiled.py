@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.scalars import is_pause
 from weftline.graph.document import Edge, Graph, Node, import_document, possible_ports
 from weftline.graph.kinds import Registry, bare, built_in, matches, variants
 from weftline.operators.nodes import OPERATORS, Step, all_of, echoed
@@ -84,6 +85,8 @@ class Compiler:
         self.events: list[tuple[Cond, dict]] = []
         self.effects: list[tuple[Cond, str, Column]] = []
         self.pending: dict[str, Column] = {}
+        self.skipped: dict[str, Cond] = {}
+        self.failed: dict[str, Cond] = {}
 
     # -- columns of the frame
 
@@ -164,9 +167,11 @@ class Compiler:
         fresh = True if stored is None else is_null(stored)
         active = self.held(all_of(clear, gate, fresh))
         self.active[node.id] = active
-        self.event(all_of(clear, fresh, no(gate)), type="node-status", node_id=node.id, status="idle", text="skipped")
+        self.skipped[node.id] = all_of(clear, fresh, no(gate))
+        self.event(self.skipped[node.id], type="node-status", node_id=node.id, status="idle", text="skipped")
         visual = self.visual(node)
         if visual:
+            self.skipped[node.id] = all_of(clear, fresh)
             self.event(active, type="node-status", node_id=node.id, status="idle", text=visual)
             self.done[node.id] = False
             return
@@ -194,7 +199,7 @@ class Compiler:
                 message = F.when(held, text) if message is None else message.when(held, text)
             message = F.when(col_of(active), message)
             self.err = self.keep(message if self.err is None else F.coalesce(self.err, message))
-            failed = all_of(active, self.err.isNotNull())
+            failed = self.failed[node.id] = all_of(active, self.err.isNotNull())
             self.event(failed, type="node-status", node_id=node.id, status="error", text=self.err)
             self.event(failed, type="log", node_id=node.id, level="error", message=self.err)
             done = self.held(all_of(active, self.err.isNull()))
@@ -419,6 +424,26 @@ class Run:
 
         return self.errors().select(self.key, decoded_pause(F.col("error")).alias("pause")).where("pause is not null").select(self.key, "pause.*")
 
+    def claims(self) -> DataFrame:
+        """What a durable run keeps: run_key, node_id, status, ports, output (JSON) and error; untouched nodes have no row."""
+        c, parts = self.compiler, []
+        none = F.lit(None).cast("string")
+
+        def row(when: Cond, node: str, status: Column, ports: Column, output: Column, error: Column) -> None:
+            if when is not False:
+                parts.append(F.when(col_of(when), F.struct(F.lit(node).alias("node_id"), status.alias("status"), ports.alias("ports"), output.alias("output"), error.alias("error"))))
+
+        empty = F.array().cast("array<string>")
+        for n in c.active:
+            lit = [F.when(col_of(p.when), F.lit(p.port) if isinstance(p.port, str) else p.port) for p in c.published.get(n, ())]
+            ports = F.array_compact(F.array(*lit)) if lit else empty
+            if n in c.result:
+                row(c.done[n], n, F.lit("completed"), ports, json_text(c.result[n]), none)
+            row(c.skipped.get(n, False), n, F.lit("skipped"), empty, none, none)
+            if n in c.failed:
+                row(c.failed[n], n, F.when(is_pause(c.err), F.lit("paused")).otherwise(F.lit("failed")), empty, none, self._error())
+        return self.frame.select(F.col(self.key), F.explode(F.array_compact(F.array(*parts))).alias("c")).select(self.key, "c.*")
+
     def published(self) -> DataFrame:
         """run_key, node_id, port_id and value (JSON) of every port that was lit."""
         parts = [F.when(col_of(p.when), F.struct(F.lit(n).alias("node_id"), (F.lit(p.port) if isinstance(p.port, str) else p.port).alias("port_id"), json_text(p.value).alias("value"))) for n, ps in self.compiler.published.items() for p in ps]
@@ -477,3 +502,9 @@ def compile_graph(
     compiler.flush()
     return Run(compiler.frame, key, compiler)
 
+
+def with_stored(graph: Graph, runs: DataFrame, claims: DataFrame, key: str = "run_key") -> tuple[DataFrame, dict[str, Column]]:
+    """runs with what their completed nodes gave, and the columns to resume from: `compile_graph(..., resume=...)`."""
+    kept = claims.where("status = 'completed'").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", "output"))).alias("__stored"))
+    rows = runs.join(kept, key, "left")
+    return rows, {n.id: F.parse_json(F.try_element_at("__stored", F.lit(n.id))) for n in graph.nodes}

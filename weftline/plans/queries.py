@@ -495,3 +495,45 @@ def topo_levels(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).alias("graph_id"), F.col("n_nationkey").alias("node_id"))
     steps = [n.where(F.col("node_id") < 25 - d).select("graph_id", F.col("node_id").alias("source"), (F.col("node_id") + d).alias("target")) for d in (5, 10)]
     return graphs.levels(n, steps[0].unionByName(steps[1]))
+
+
+@query("select c_custkey, upper(c_name) as name, 2 * c_nationkey as twice from customer")
+def host_pandas(spark, sf_dir):
+    """A host's own kind, in Python over batches of JSON."""
+    from weftline.operators.host import from_pandas
+
+    def call(inputs):
+        value = inputs["in"]
+        return {"name": value["c_name"].upper(), "twice": 2 * value["c_nationkey"]}
+
+    out = run(spark, sf_dir, "customer", "c_custkey", ["c_name", "c_nationkey"], chain(node("h", "house_kind")), Host({"house_kind": from_pandas(call)})).output("end")
+    return out.select(F.col("run_key").alias("c_custkey"), F.variant_get("value", "$.name", "string").alias("name"), F.variant_get("value", "$.twice", "int").alias("twice"))
+
+
+@query("select status, count(*) as n from (select unnest(case o_orderstatus when 'F' then ['completed', 'completed', 'failed', 'completed'] when 'P' then ['completed', 'completed', 'skipped', 'completed', 'paused'] else ['completed', 'completed', 'skipped', 'completed', 'skipped', 'completed'] end) as status from orders) group by status")
+def durable_claims(spark, sf_dir):
+    """Claims of runs that end, fail or wait for a person."""
+    from weftline.plans.values import Null
+
+    def gate(step):
+        step.abort(True, scalars.encoded_pause(F.lit(step.node.id), F.lit("approval")))
+        return Null()
+
+    g = graph([node("start", "manual_trigger"), node("sw", "switch_case", {"value": "{{ in.o_orderstatus }}", "cases": {"F": "f", "P": "p"}}), node("gone", "nowhere"), node("log", "log"), node("ask", "human_approval"), node("end", "output")], "start>sw", "start>log", "sw.f>gone", "sw.p>ask", "sw.default>end")
+    rows = run(spark, sf_dir, "orders", "o_orderkey", ["o_orderstatus"], g, Host({"human_approval": gate})).claims()
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderkey, o_orderstatus in ('F', 'P') as was, true as ok from orders")
+def durable_resume(spark, sf_dir):
+    """Runs that stopped, taken up from their claims once the missing kind is there."""
+    from weftline.graph.document import import_document
+    from weftline.plans.compiled import with_stored
+
+    doc = import_document(graph([node("start", "manual_trigger"), node("sw", "switch_case", {"value": "{{ in.o_orderstatus }}", "cases": {"F": "late", "P": "late"}}), node("late", "nowhere"), node("end", "output")], "start>sw", "sw.late>late", "sw.default>end", "late>end"), lenient=True).graph
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_key"), "o_orderstatus")
+    first = compile_graph(doc, rows, "run_key", ["o_orderstatus"])
+    stopped = first.errors().select("run_key", F.lit(True).alias("was"))
+    again, stored = with_stored(doc, rows, first.claims())
+    second = compile_graph(doc, again, "run_key", [], Host({"nowhere": lambda step: step.input_or_all()}), resume=stored)
+    return second.results().join(stopped, "run_key", "left").select(F.col("run_key").alias("o_orderkey"), F.coalesce("was", F.lit(False)).alias("was"), "ok")
