@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut
+from weftline.llm.cluster import cut, in_bounds, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
 REACH = 14
@@ -21,7 +21,7 @@ MIN_WORDS = 14
 #: Bytes that the gear hash of a place takes in.
 WINDOW = 16
 #: Texts handled at once: up to so many bytes.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
@@ -105,9 +105,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     back to the digests that occur more than once.
     """
 
+    in_bounds(docs.sparkSession)
+
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        worker_turns_to("chunks")
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             at = 0

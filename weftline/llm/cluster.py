@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,27 @@ def in_bounds(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: What modules keep in a worker from task to task, as functions that let go of it.
+FORGET: list[Callable[[], object]] = []
+_work = ""
+
+
+def worker_turns_to(work: str) -> None:
+    """Let go of what other work has left in this Python worker, which Spark hands from operator to operator."""
+    global _work
+    if work == _work:
+        return
+    _work = work
+    for forget in FORGET:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that no later stage or lost executor repeats what made it."""
     shared_dir(df.sparkSession)

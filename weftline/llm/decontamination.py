@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut
+from weftline.llm.cluster import cut, in_bounds, worker_turns_to
 from weftline.llm.words import hashed_words, mixed
 
 #: A passage is an item's if it can be turned into it by edits of at most this share of the item's words.
@@ -20,7 +20,7 @@ LEAST_WORDS = 5
 #: and more of the passages (tests/llm/test_decontamination.py measures it), at half of it 0.99.
 WALKS, TABLES, SAMPLED = 6, 24, 3
 #: Bytes of items searched for at once, and of texts held at once.
-ITEM_BYTES, TEXT_BYTES = 16 << 20, 4 << 20
+ITEM_BYTES, TEXT_BYTES = 16 << 20, 1 << 20
 #: Words of a gram of the gate.
 GRAM = 3
 
@@ -189,6 +189,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     are ignored. Texts don't move: every task holds a block of items (ITEM_BYTES at most) and streams its texts.
     """
     spark = docs.sparkSession
+    in_bounds(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(-(-size // ITEM_BYTES)) or 1
@@ -200,6 +201,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in block.orderBy("item_id", "text").collect()])
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            worker_turns_to("decontamination")
             index = None
             for batch in batches:
                 index = index or Index(sent.value)

@@ -6,22 +6,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.cluster import in_bounds, worker_turns_to
+
 #: Lengths of the n-grams, and the number of places they are hashed to.
 ORDERS = (1, 2, 3, 4)
 BITS = 17
 #: The bound on what is learned from: about so many documents of each language, those whose hashes are smallest.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 #: Of these every so many-th, by a hash, is for the temperature alone.
 CALIBRATION = 5
 #: Follow-the-regularised-leader: step size, its smoothing, and the penalties (times 1 / documents) on |w| and w^2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-5, 1e-6
 EPOCHS = 4
 #: Characters of texts handled at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 MAX_LANGUAGES = 512
 
 
@@ -29,31 +32,31 @@ _LETTERS = np.array([i if chr(i).isalpha() else 32 for i in range(128)], np.uint
 
 
 def hashed_grams(text: str) -> Iterator[np.ndarray]:
-    """Places of the text's n-grams, for each length; the text is lower-cased, ASCII digits and marks are spaces, and a space is put on each side."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    c = np.where(c < 128, _LETTERS[c & 127], c)
-    for n in ORDERS:
-        if len(c) < n:
-            return
-        h = np.full(len(c) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for i in range(n):
-            h = (h ^ c[i : len(c) - n + 1 + i]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
-        yield (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+    """Places of a whole text's n-grams, part by part and length by length.
+
+    The text is lower-cased, ASCII digits and marks are spaces, and a space is put on each side.
+    """
+    every = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    for at in range(0, len(every), AT_ONCE):
+        part = every[at : at + AT_ONCE + max(ORDERS) - 1]
+        part = np.where(part < 128, _LETTERS[part & 127], part)
+        for n in ORDERS:
+            c = part[: AT_ONCE + n - 1]
+            if len(c) < n:
+                break
+            h = np.full(len(c) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+            for i in range(n):
+                h = (h ^ c[i : len(c) - n + 1 + i]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(15)
+            yield (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The places of a whole text's n-grams and how often each occurs, as a share of all."""
-    total = np.zeros(0, np.int64)
-    found, n = [], 0
-    for at in range(0, max(1, len(text)), AT_ONCE):
-        for grams in hashed_grams(text[max(0, at - max(ORDERS) + 1) : at + AT_ONCE] if at else text[:AT_ONCE]):
-            found.append(np.unique(grams, return_counts=True))
-            n += len(grams)
-    places = np.concatenate([f[0] for f in found]) if found else total
-    counts = np.concatenate([f[1] for f in found]) if found else total
+    found = [np.unique(grams, return_counts=True) for grams in hashed_grams(text)]
+    places, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     own, at = np.unique(places, return_inverse=True)
-    return own.astype(np.int32), (np.bincount(at, counts, len(own)) / max(1, n)).astype(np.float32)
+    return own.astype(np.int32), (np.bincount(at, counts, len(own)) / counts.sum()).astype(np.float32)
 
 
 @dataclass
@@ -128,6 +131,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     What comes to the driver is bounded: PER_LANGUAGE documents of each language, more or less, as sparse rows.
     """
+    in_bounds(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (usable if usable is not None else F.lit(True)).alias("usable"))
     rows = rows.where("usable and lang is not null and text is not null").select("id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -142,6 +146,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     taken = rows.where(hashed < small * (1 << 30)).withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(CALIBRATION)) == 0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turns_to("language")
         for batch in batches:
             found = [counted(t) for t in batch.column(1).to_pylist()]
             if found:
@@ -153,40 +158,39 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all of docs' unless named), lang_pred and lang_score for every whole text.
+    """Columns `keep` (all of docs' unless named), lang_pred and lang_score (replaced if there) for every whole text.
 
     A null text or one without a letter is `und` with score 0, and so is every text if there is no model.
     The score is the calibrated probability of the language predicted. Texts of any length are read whole; an
     empty table gives no rows; only the text is looked at.
     """
-    keep = docs.columns if keep is None else keep
-    own = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__text"))
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
+    in_bounds(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^17 places at most
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                if text is None or model is None:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total, n = np.zeros(len(model.languages)), 0
-                for at in range(0, len(text), AT_ONCE):
-                    for grams in hashed_grams(text[max(0, at - max(ORDERS) + 1) : at + AT_ONCE]):
-                        total += np.ones(len(grams), np.float32) @ model.weights.take(grams, axis=0)
-                        n += len(grams)
-                z = (total / n + model.bias) / model.temperature
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                best = int(p.argmax())
-                langs.append(model.languages[best])
-                scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "lang_score"])
-
-    return own.mapInArrow(predict, schema)
+    @F.pandas_udf("lang_pred string, lang_score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        worker_turns_to("language")
+        model, langs, scores = sent.value, [], []
+        for text in texts:
+            if text is None or model is None:
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            total, n = np.zeros(len(model.languages)), 0
+            for grams in hashed_grams(text):
+                total += np.ones(len(grams), np.float32) @ model.weights.take(grams, axis=0)
+                n += len(grams)
+            z = (total / n + model.bias) / model.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            best = int(p.argmax())
+            langs.append(model.languages[best])
+            scores.append(float(p[best]))
+        return pd.DataFrame({"lang_pred": langs, "lang_score": scores})
+
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
+    lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
+    return docs.select(*keep, predict(lettered).alias("__told")).select(*keep, "__told.lang_pred", "__told.lang_score")
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:

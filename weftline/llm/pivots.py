@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, runs
+from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, runs
 
 #: Reference points, chosen far apart among SAMPLE vectors (those with the smallest hashes).
 PIVOTS, SAMPLE = 256, 2048
@@ -43,6 +43,7 @@ def labelled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     so that a list holds the classes which share those two; the pair of classes counts in the list of the two
     smallest pivots they share and nowhere else. Lists beyond a block are compared in pairs of blocks.
     """
+    in_bounds(vectors.sparkSession)
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     classes = given.where(sound).groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))

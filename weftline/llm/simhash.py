@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, runs
+from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, runs, worker_turns_to
 
 BITS = 64
 #: Segments of a fingerprint. Two that differ in up to three bits differ in at most one bit of one segment.
@@ -38,11 +38,13 @@ def fingerprint(text: bytes | None, words: int, hashed) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str, keep: list[str], words: int = 3) -> DataFrame:
     """Columns `keep` and fp, the fingerprint as a signed long. Each text is read whole; null is empty."""
+    in_bounds(docs.sparkSession)
     given = docs.select(*keep, F.col(text_col).cast("binary").alias("simhash_text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        worker_turns_to("simhash")
         one = partial(xxhash.xxh64_intdigest, seed=42)
         for batch in batches:
             fps = np.array([fingerprint(t, words, one) for t in batch.column(len(keep)).to_pylist()], np.uint64).view(np.int64)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from weftline.llm.cluster import FORGET, worker_turns_to
+
 #: Pieces and chunks of text whose ids a worker remembers; when full they are forgotten and gathered anew.
 PIECES, CHUNKS = 800_000, 400_000
 #: Longer chunks are encoded each time.
@@ -121,10 +123,12 @@ def _latin(text: str) -> bool:
 
 
 _encoders: dict[str, Encoder] = {}
+FORGET.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a file, kept from task to task."""
+    worker_turns_to("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from weftline.llm.cluster import FORGET
+
 #: Letters and digits of ASCII, A-Z lower-cased, and all bytes beyond ASCII make words; all else parts them.
 _VALUE = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -14,6 +16,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _forget() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+FORGET.append(_forget)
+
+
 def _upto(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 to the 64."""
     if len(_powers[0]) < n:
