@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from weftline.llm.cluster import cut, in_bounds, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
-REACH = 14
+REACH = 10
 #: What is compared are the shortest runs of whole chunks with this many words. A passage that two documents
-#: share has such a run if it has 3 * REACH words and the 16 bytes before that which the gear hash takes in.
-MIN_WORDS = 14
+#: share surely has such a run if it has MIN_WORDS + 2 * REACH words after its first WINDOW bytes.
+MIN_WORDS = 26
 #: Bytes that the gear hash of a place takes in.
-WINDOW = 16
+WINDOW = 8
 #: Texts handled at once: up to so many bytes.
 AT_ONCE = 1 << 20
 
@@ -30,9 +30,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte, sum of gear[b] << age over it and the 15 bytes before, modulo 2 to the 32."""
+    """At each byte, sum of gear[b] << age over it and the 7 bytes before, modulo 2 to the 32."""
     h = _GEAR[data]
-    for n in (1, 2, 4, 8):
+    for n in (1, 2, 4):
         older = h[:-n] << np.uint32(n)
         h = h.copy()
         h[n:] += older
@@ -87,7 +87,10 @@ def stretches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """who (the doc_id, or for a null one a negative hash of the text), doc_id, text_hash and the text's bytes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own, hashed = F.col(id_col).cast("long"), F.xxhash64(text)
+    return docs.select(F.coalesce(own, hashed.bitwiseOR(F.lit(-(1 << 63)))).alias("who"), own.alias("doc_id"), hashed.alias("text_hash"), text.cast("binary").alias("text"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,16 +98,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     spans are (start, end, kept_in), bytes of the UTF-8 text and the doc_id of the first document that has
     the stretch, which keeps it. The stretches are the shortest runs of content-defined chunks with
-    MIN_WORDS words; equal ones are found by their 128-bit digests. Every passage of 3 * REACH + 4 words that
-    documents share word for word and byte for byte is found, wherever it stands. What repeats in one document
-    alone stays. Rows with equal doc_id and text are one document; null texts are empty; a null doc_id comes
-    first; texts of under MIN_WORDS words have no stretch; an empty table gives no rows; other columns are ignored.
+    MIN_WORDS words; equal ones are found by 96 bits of their digests. Every passage of MIN_WORDS + 2 * REACH
+    words after its first WINDOW bytes that documents share byte for byte is found, wherever it stands. What
+    repeats in one document alone stays. Rows with equal doc_id are one document, and so are rows without a
+    doc_id that have equal texts; these come first, with a negative hash for kept_in. Null texts are empty; texts of under
+    MIN_WORDS words have no stretch; an empty table gives no rows; other columns are ignored.
 
     Plan: whole texts are chunked once and their digests, an array a document, written to the shared folder.
-    A grouped minimum by digest, combined before its exchange, gives the first document; one join brings it
-    back to the digests that occur more than once.
+    The first and last document of each digest, combined before their exchange, tell which ones occur in more
+    than one; one join brings the first document back to those.
     """
-
     in_bounds(docs.sparkSession)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,29 +117,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             at = 0
-            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy())
             while at < batch.num_rows:
                 upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right"))
                 part = batch.slice(at, max(1, upto - at))
                 at += part.num_rows
-                texts = part.column(2).to_pylist()
+                texts = part.column(3).to_pylist()
                 found = stretches(texts)
-                digests = [digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                digests = b"".join([digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+                high, low = np.frombuffer(digests, "<i8")[0::2], np.frombuffer(digests, "<i4")[2::4]
                 offsets = pa.array(np.cumsum([0] + [len(s) for s, _ in found]), pa.int32())
-                flat = [both[:, 0], both[:, 1], *(np.concatenate([f[k] for f in found]) for k in (0, 1))]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                flat = [high, low, *(np.concatenate([f[k] for f in found]) for k in (0, 1))]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x), t)) for x, t in zip(flat, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "text_hash", "high", "low", "start", "end"])
-
-    schema = "doc_id long, text_hash long, high array<long>, low array<long>, start array<int>, end array<int>"
-    chunked_docs = cut(_key(docs, id_col, text_col).mapInArrow(chunked, schema))
-    places = chunked_docs.select("doc_id", "text_hash", F.explode(F.arrays_zip("high", "low", "start", "end")).alias("s")).select("doc_id", "text_hash", "s.high", "s.low", "s.start", "s.end")
-    firsts = places.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts.where("n > 1").select("high", "low", "first"))
-    again = places.join(firsts, ["high", "low"]).where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
-    spans = again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("first.doc_id").alias("kept_in")))).alias("spans"))
-    return spans
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["who", "doc_id", "text_hash", "high", "low", "start", "end"])
+
+    schema = "who long, doc_id long, text_hash long, high array<long>, low array<int>, start array<int>, end array<int>"
+    chunked_docs = cut(_key(docs, id_col, text_col).mapInArrow(chunked, schema).withColumn("row", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    own = chunked_docs.select("row", "who", "doc_id", "text_hash")
+    sums = chunked_docs.select("who", F.explode(F.arrays_zip("high", "low")).alias("s")).select("who", "s.high", "s.low")
+    firsts = sums.groupBy("high", "low").agg(F.min("who").alias("first"), F.max("who").alias("last"))
+    firsts = cut(firsts.where("first <> last").drop("last"))
+    places = chunked_docs.select("row", F.explode(F.arrays_zip("high", "low", "start", "end")).alias("s"))
+    places = places.select("row", "s.high", "s.low", (F.shiftleft(F.col("s.start").cast("long"), 32) + F.col("s.end")).alias("place"))
+    met = places.join(firsts, ["high", "low"]).select("row", "place", "first")
+    span = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"), F.col("first").alias("kept_in"))
+    spans = met.join(own.select("row", "who"), "row").where("who <> first").groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    told = spans.join(own, "row").select("doc_id", "text_hash", "spans")
+    return told.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
 
 
 def merged(spans: Column) -> Column:
