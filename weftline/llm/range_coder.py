@@ -5,241 +5,274 @@ a step in all blocks. An id is coded in up to three parts:
 
 1. whether it is the candidate: what last followed the same two ids (order 2), else the same id (order 1).
    Its probability mixes, by weights that learn, what each of the orders 2, 1 and 0 says of the candidate;
-2. if not, its slot among 256 that hold ids seen before (order 0), or the escape, by counts that adapt;
+2. if not, its slot among 256 that hold ids seen before (order 0), or the escape, by frequencies that adapt;
 3. after the escape, the id itself.
 
-All arithmetic is on integers, so that any machine decodes what any other encoded.
+What follows an id or two is learned at every step; probabilities, weights and frequencies at the steps REFRESH,
+for all lanes at once. All arithmetic is on integers, so that any machine decodes what any other encoded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Entries of a lane's tables for order 1 and order 2.
-ENTRIES = 1 << 11
+#: Entries of a lane's tables for order 1 and order 2: (id + 1) << 1 | whether it was right the last time, 0 for none.
+ENTRIES = 1 << 9
 SLOTS = 256
-ESCAPE = SLOTS
-#: Steps at which the order-0 frequencies follow the counts: these, and every EVERY.
-EARLY, EVERY = (16, 32, 64, 128), 256
-ONE = 1 << 16
-#: log2 of the learning rate's divisors, and the bounds of a mixed probability.
-RATE, LEARN, LEAST = 4, 14, 64
+#: Symbols after the slots: the escape, and the one without width that stands for a hit.
+ESCAPE, HIT = SLOTS, SLOTS + 1
+SYMBOLS = SLOTS + 2
+#: Steps at which what was counted comes into force, and every EVERY after the last.
+REFRESH, EVERY = frozenset((32, 128, 400)), 1024
+#: Scales: of a hit's probability, and of the slots' frequencies, in bits.
+P_BITS, F_BITS = 16, 12
+ONE, FULL = 1 << P_BITS, 1 << F_BITS
+LEAST = 64
+#: A lane's width stays between 2 to the 31 and 2 to the 63; it gives 32 bits at a time.
+SMALL, WORD, REST = np.uint64(1 << 31), np.uint64(32), np.uint64(31)
+LOW = np.uint64((1 << 31) - 1)
 
 _STRETCH = np.array([int(round(256 * np.log((i + 0.5) / (256 - i - 0.5)))) for i in range(256)], np.int64)  # of p >> 8
 _SQUASH = np.array([int(round(ONE / (1 + np.exp(-(i - 2047) / 256)))) for i in range(4095)], np.int64)
 
 
 class _Model:
-    """The state of m lanes, and its steps."""
+    """The state of all lanes, and its steps."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+    def __init__(self, lanes: int, steps: int, inverse: bool):
+        self.lanes, self.inverse = lanes, inverse
+        lane = np.arange(lanes)
+        self.base, self.slots, self.states, self.symbols = lane * ENTRIES, lane * SLOTS, lane * 64, lane * SYMBOLS
         self.t1, self.t2 = np.zeros(lanes * ENTRIES, np.int32), np.zeros(lanes * ENTRIES, np.int32)
-        self.chance = [np.full(lanes * 32, ONE >> 3, np.int64) for _ in range(3)]
-        self.weight = [np.full(lanes, 22000, np.int64) for _ in range(3)]
-        self.slot = np.full(lanes * SLOTS, -1, np.int64)
-        self.count = np.zeros((lanes, SLOTS + 1), np.int64)
-        self.count[:, ESCAPE] = 64
-        self.start = np.zeros((lanes, SLOTS + 2), np.int64)
-        self.flat = self.start.reshape(-1)
-        self.seen = self.count.reshape(-1)
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Frequencies that add up to ONE, none of them zero."""
-        own = self.count * (ONE - SLOTS - 1) // self.count.sum(1, keepdims=True)
-        own += 1
-        np.cumsum(own[:, :-1], axis=1, out=self.start[:, 1:-1])
-        self.start[:, -1] = ONE
-
-    def predict(self, m: int) -> None:
-        """For the first m lanes: the candidate, and the probability (of ONE) that the id is it."""
-        lane, last1 = self.lane[:m], self.last1[:m]
-        base = lane * ENTRIES
-        h1 = ((last1 * 40503) >> 4) & (ENTRIES - 1)
-        h2 = ((last1 * 48271 + self.last2[:m] * 69621) >> 5) & (ENTRIES - 1)
-        self.at1, self.at2 = base + h1, base + h2
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        i1, i2 = self.e1 >> 4, self.e2 >> 4
-        self.cand = np.where(i2 > 0, i2, i1).astype(np.int64) - 1
-        s1 = (self.e1 & 15) + np.where(i1 == self.cand + 1, 0, 16)
-        s2 = (self.e2 & 15) + np.where(i2 > 0, 0, 16)
-        slot = lane * SLOTS + (self.cand & (SLOTS - 1))
-        n = self.seen[lane * (SLOTS + 1) + (self.cand & (SLOTS - 1))]
-        s0 = np.where(self.slot[slot] == self.cand, np.minimum(n >> 5, 15), 16)
-        own = lane * 32
-        self.by = [own + s2, own + s1, own + s0]
-        self.bent = [_STRETCH[c[k] >> 8] for c, k in zip(self.chance, self.by, strict=True)]
-        dot = self.weight[0][:m] * self.bent[0]
-        dot += self.weight[1][:m] * self.bent[1]
-        dot += self.weight[2][:m] * self.bent[2]
+        self.slot = np.full(lanes * SLOTS, -1, np.int32)
+        self.often = np.zeros(lanes * SLOTS, np.uint8)
+        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.hits = [np.full((lanes, 4), 1, np.int64) for _ in range(3)]
+        self.tries = [np.full((lanes, 4), 8, np.int64) for _ in range(3)]
+        self.weight = np.full((3, lanes), 24000, np.int64)
+        self.count = np.zeros((lanes, SYMBOLS), np.int64)
+        self.count[:, ESCAPE] = 4
+        self.packed = np.zeros((lanes, SYMBOLS), np.uint32)  # first << 16 | width
+        self.packed[:, HIT] = FULL
+        self.tiled = np.tile(np.arange(HIT, dtype=np.int16), lanes) if inverse else None
+        self.said = np.zeros((EVERY, lanes), np.int16)  # symbols
+        self.was = np.zeros((EVERY, lanes), np.int16)  # state, and 64 for a hit
+        self.rows = 0
+        self.refresh(lanes)
+
+    def refresh(self, m: int) -> None:
+        if self.rows:
+            said, was = self.said[: self.rows, :m], self.was[: self.rows, :m]
+            self.count[:m] += np.bincount((said + self.symbols[:m]).ravel(), minlength=m * SYMBOLS).reshape(m, SYMBOLS)
+            both = np.bincount((was + self.states[:m] * 2).ravel(), minlength=m * 128).reshape(m, 2, 64)
+            hits, tries = both[:, 1], both.sum(1)
+            error = (hits * ONE - tries * self.p.reshape(-1, 64)[:m]).reshape(m, 4, 4, 4)
+            total = np.maximum(1, tries.sum(1)) * 64
+            for k, others in enumerate(((1, 2), (1, 3), (2, 3))):  # a state is order 0, order 1, order 2
+                self.weight[k, :m] += np.clip((error.sum(others) * self.bent[k][:m]).sum(1) // total, -16000, 16000)
+                self.hits[k][:m] += hits.reshape(m, 4, 4, 4).sum(others)
+                self.tries[k][:m] += tries.reshape(m, 4, 4, 4).sum(others)
+            self.rows = 0
+        # the mixed probability of each state
+        self.bent = [_STRETCH[h * 255 // t] for h, t in zip(self.hits, self.tries, strict=True)]
+        two, one, none = (w[:, None] * b for w, b in zip(self.weight, self.bent, strict=True))
+        dot = (none[:, :, None, None] + one[:, None, :, None] + two[:, None, None, :]).reshape(self.lanes, 64)
         dot >>= 16
         np.clip(dot, -2047, 2047, out=dot)
-        self.p = np.clip(_SQUASH[dot + 2047], LEAST, ONE - LEAST)
-        self.p[self.cand < 0] = LEAST
-
-    def learn(self, m: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        target = hit * ONE
-        error = target - self.p
-        for c, k, w, b in zip(self.chance, self.by, self.weight, self.bent, strict=True):
-            old = c[k]
-            c[k] = np.clip(old + ((target - old) >> RATE), 256, ONE - 257)
-            w[:m] += (b * error) >> LEARN
-        for table, at, e in ((self.t1, self.at1, self.e1), (self.t2, self.at2, self.e2)):
-            conf = e & 15
-            same = (e >> 4) == ids + 1
-            new = np.where(same, e + (conf < 15), np.where(conf > 1, e - (conf + 1 >> 1), (ids + 1) << 4))
-            table[at] = new
+        self.p = np.clip(_SQUASH[dot + 2047], LEAST, ONE - LEAST).ravel()
+        self.chance = self.p.astype(np.uint64)
+        # frequencies of slots and escape: none is zero, and they add up to FULL
+        own = (self.count[:, :HIT] * (FULL - HIT) / self.count[:, :HIT].sum(1, keepdims=True)).astype(np.int32)  # exact: all are below 2 to the 31
+        own += 1
+        own[:, ESCAPE] += FULL - own.sum(1, dtype=np.int32)
+        self.packed[:, :HIT] = own
+        self.packed[:, 1:HIT] += np.cumsum(own[:, :-1], axis=1, dtype=np.int32).astype(np.uint32) << np.uint32(16)
+        self.flat = self.packed.ravel()
+        if self.inverse:
+            self.at = np.repeat(self.tiled, own.ravel())
+        np.minimum(self.count[:, :SLOTS], 255, out=self.often.reshape(self.lanes, SLOTS), casting="unsafe")
+        self.often = _GRADE[self.often]
+
+    def predict(self, m: int) -> np.ndarray:
+        """For the first m lanes: the candidate, and the scaled probability that the id is it."""
+        one = self.last1[:m]
+        a = one * 40503
+        b = a + self.last2[:m] * 69621
+        a >>= 4
+        a &= ENTRIES - 1
+        a += self.base[:m]
+        b >>= 5
+        b &= ENTRIES - 1
+        b += self.base[:m]
+        self.at1, self.at2 = a, b
+        e1, e2 = self.t1.take(a, mode="clip"), self.t2.take(b, mode="clip")
+        self.i1, self.i2 = e1 >> 1, e2 >> 1
+        there = e2 > 0
+        cand = np.where(there, self.i2, self.i1)
+        state = (e2 & 1) + there
+        agree = self.i1 == cand
+        state += ((e1 & 1) + (agree.view(np.int8) << 1)) << 2
+        cand -= 1
+        self.cand = cand
+        o = (cand & (SLOTS - 1)) + self.slots[:m]
+        state += self.often.take(o, mode="clip")
+        self.state = state
+        return self.chance.take(state + self.states[:m], mode="clip")
+
+    def learn(self, m: int, ids: np.ndarray, hit: np.ndarray, symbol: np.ndarray) -> None:
+        """ids as int32."""
+        self.said[self.rows, :m] = symbol
+        np.add(self.state, hit.view(np.int8) << 6, out=self.was[self.rows, :m], casting="unsafe")
+        self.rows += 1
+        more = ids + 1
+        fresh = more << 1
+        self.t1[self.at1] = fresh + (self.i1 == more)
+        self.t2[self.at2] = fresh + (self.i2 == more)
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = ids
 
     def due(self, t: int) -> bool:
-        return t in EARLY or t % EVERY == 0
+        return t in REFRESH or t % EVERY == 0
+
+
+#: How often a slot was seen, in four grades, shifted to their place in a state.
+_GRADE = np.array([0 if i < 1 else 16 if i < 3 else 32 if i < 8 else 48 for i in range(256)], np.uint8)
 
 
 def encode(ids: list[np.ndarray], bits: int) -> list[bytes]:
-    """Each block's ids as bytes; the blocks' lengths must not grow. ids are below 2 to the power of bits."""
+    """Each block's ids as bytes; the blocks' lengths must not grow. ids are below 2 to the power of bits and 2 to the 29."""
     lanes, steps = len(ids), len(ids[0])
-    x = np.zeros((steps, lanes), np.int64)
+    x = np.zeros((steps, lanes), np.int32)
     for i, block in enumerate(ids):
         x[: len(block), i] = block
     sizes = np.array([len(b) for b in ids])
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    words = np.zeros((lanes, steps * 3 + 4), np.uint32)
+    model = _Model(lanes, steps, False)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
+    words = np.zeros((lanes, steps * (2 if bits > 16 else 1) * 3 // 2 + 8), np.uint64)
     flat, stride = words.reshape(-1), words.shape[1]
-    used = np.zeros(lanes, np.int64)
-    ends = {int(s): int((sizes >= s).sum()) for s in np.unique(sizes)}
+    used = np.arange(lanes) * stride
+    start = used.copy()
+    ends = set(sizes.tolist())
     m = lanes
+    raw_bits, raw_unit = min(bits, 16), np.uint64(min(bits, 16))
 
-    def shift(full) -> None:
-        """Lanes (a slice or rows) whose width has fallen below 32 bits give 16 bits."""
-        small = np.flatnonzero(width[full] < 1 << 32)
-        if not len(small):
-            return
-        rows = small if isinstance(full, slice) else full[small]
-        own = low[rows]
-        flat[rows * stride + used[rows]] = own >> 32
-        used[rows] += 1
-        low[rows] = (own & 0xFFFFFFFF) << 16
-        width[rows] <<= 16
+    def shift(m: int) -> None:
+        """Lanes whose width is small give their first 32 bits, with what carries in the 33rd."""
+        rows = (width[:m] < SMALL).nonzero()[0]
+        if len(rows):
+            own, at = low.take(rows, mode="clip"), used.take(rows, mode="clip")
+            flat[at] = own >> REST
+            used[rows] = at + 1
+            low[rows] = (own & LOW) << WORD
+            width[rows] = width.take(rows, mode="clip") << WORD
 
     for t in range(steps):
         if t in ends:
             m = int((sizes > t).sum())
-        now = x[t, :m]
         if t and model.due(t):
-            model.refresh()
-        model.predict(m)
+            model.refresh(m if t not in ends else int((sizes >= t).sum()))
+        now = x[t, :m]
+        w, lo = width[:m], low[:m]
+        part = model.predict(m)
+        part *= w >> np.uint64(P_BITS)
         hit = now == model.cand
-        part = (width[:m] >> 16) * model.p.astype(np.uint64)
-        low[:m] += np.where(hit, 0, part)
-        width[:m] = np.where(hit, part, width[:m] - part)
-        shift(slice(0, m))
-        rows = np.flatnonzero(~hit)
-        some = now[rows]
-        slot = some & (SLOTS - 1)
-        at = rows * SLOTS + slot
-        known = model.slot[at] == some
-        symbol = np.where(known, slot, ESCAPE)
-        k = rows * (SLOTS + 2) + symbol
-        first = model.flat[k]
-        unit = width[rows] >> 16
-        low[rows] += unit * first.astype(np.uint64)
-        width[rows] = unit * (model.flat[k + 1] - first).astype(np.uint64)
-        model.seen[rows * (SLOTS + 1) + symbol] += 32
-        shift(rows)
-        raw = np.flatnonzero(~known)
-        if len(raw):
-            model.slot[at[raw]] = some[raw]
-            out, left = rows[raw], some[raw]
-            for b in range(0, bits, 16):  # 16 bits at a time
-                n = min(16, bits - b)
-                unit = width[out] >> n
-                low[out] += unit * ((left >> b) & ((1 << n) - 1)).astype(np.uint64)
-                width[out] = unit
-                shift(out)
-        model.learn(m, now, hit)
-    for k in range(3):  # what is left of low
-        flat[np.arange(lanes) * stride + used] = low >> 32
-        low = (low & 0xFFFFFFFF) << 16
+        lo += np.where(hit, np.uint64(0), part)
+        w[:] = np.where(hit, part, w - part)
+        shift(m)
+        slot = now & (SLOTS - 1)
+        at = slot + model.slots[:m]
+        known = model.slot.take(at, mode="clip") == now
+        symbol = np.where(hit, HIT, np.where(known, slot, ESCAPE))
+        both = model.flat.take(symbol + model.symbols[:m], mode="clip")
+        w >>= np.uint64(F_BITS)
+        lo += w * (both >> np.uint32(16))
+        w *= both & np.uint32(0xFFFF)
+        shift(m)
+        rows = (symbol == ESCAPE).nonzero()[0]
+        if len(rows):
+            left = now.take(rows, mode="clip").astype(np.uint64)
+            for b in range(0, bits, 16):
+                unit = width.take(rows, mode="clip") >> raw_unit
+                low[rows] = low.take(rows, mode="clip") + unit * ((left >> np.uint64(b)) & np.uint64((1 << raw_bits) - 1))
+                width[rows] = unit
+                shift(m)
+        model.slot[at] = now
+        model.learn(m, now, hit, symbol)
+    for _ in range(2):  # what is left of low
+        flat[used] = low >> REST
+        low = (low & LOW) << WORD
         used += 1
+    used -= start
     for i in range(int(used.max()) - 1, 0, -1):  # carries
-        words[:, i - 1] += words[:, i] >> 16
-    words &= 0xFFFF
-    return [words[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
+        words[:, i - 1] += words[:, i] >> WORD
+    out = words[:, : int(used.max())].astype(np.uint32)
+    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
 
 
 def decode(coded: list[bytes], sizes: list[int], bits: int) -> list[np.ndarray]:
     """The blocks' ids again."""
     lanes, steps = len(coded), sizes[0]
-    longest = max(len(c) for c in coded) // 2 + steps // 8 + 8
-    words = np.zeros((lanes, longest), np.uint64)
+    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 8), np.uint64)
     for i, c in enumerate(coded):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    flat, stride = words.reshape(-1), longest
-    used = np.full(lanes, 3, np.int64)
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
-    width = np.full(lanes, (1 << 48) - 1, np.uint64)
-    model = _Model(lanes)
-    x = np.zeros((steps, lanes), np.int64)
+        words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
+    flat, stride = words.reshape(-1), words.shape[1]
+    code = (words[:, 0] << REST) | (words[:, 1] >> np.uint64(1))
+    spare = words[:, 1] & np.uint64(1)  # the one bit of the second word that code has not taken in yet
+    used = np.arange(lanes) * stride + 2
+    width = np.full(lanes, 1 << 63, np.uint64)
+    model = _Model(lanes, steps, True)
+    x = np.zeros((steps, lanes), np.int32)
     lengths = np.array(sizes)
     ends, m = set(sizes), lanes
+    raw_bits, raw_unit = min(bits, 16), np.uint64(min(bits, 16))
+    full, most = np.uint64(FULL - 1), np.uint64((1 << raw_bits) - 1)
+    lanes_full = np.arange(lanes) * FULL
 
-    def shift(full) -> None:
-        small = np.flatnonzero(width[full] < 1 << 32)
-        if not len(small):
-            return
-        rows = small if isinstance(full, slice) else full[small]
-        code[rows] = (code[rows] << 16) | flat[rows * stride + used[rows]]
-        used[rows] += 1
-        width[rows] <<= 16
+    def shift(m: int) -> None:
+        rows = (width[:m] < SMALL).nonzero()[0]
+        if len(rows):
+            at = used.take(rows, mode="clip")
+            new = flat.take(at, mode="clip")
+            code[rows] = (code.take(rows, mode="clip") << WORD) | (spare.take(rows, mode="clip") << REST) | (new >> np.uint64(1))
+            spare[rows] = new & np.uint64(1)
+            used[rows] = at + 1
+            width[rows] = width.take(rows, mode="clip") << WORD
 
     for t in range(steps):
         if t in ends:
             m = int((lengths > t).sum())
         if t and model.due(t):
-            model.refresh()
-        model.predict(m)
-        part = (width[:m] >> 16) * model.p.astype(np.uint64)
-        hit = code[:m] < part
-        code[:m] -= np.where(hit, 0, part)
-        width[:m] = np.where(hit, part, width[:m] - part)
-        shift(slice(0, m))
+            model.refresh(m if t not in ends else int((lengths >= t).sum()))
+        w, c = width[:m], code[:m]
+        part = model.predict(m)
+        part *= w >> np.uint64(P_BITS)
+        hit = c < part
+        c -= np.where(hit, np.uint64(0), part)
+        w[:] = np.where(hit, part, w - part)
+        shift(m)
+        w >>= np.uint64(F_BITS)
+        value = np.minimum(c // w, full).astype(np.int64)
+        value += lanes_full[:m]
+        symbol = np.where(hit, HIT, model.at.take(value, mode="clip"))
+        both = model.flat.take(symbol + model.symbols[:m], mode="clip")
+        c -= w * (both >> np.uint32(16))
+        w *= both & np.uint32(0xFFFF)
+        shift(m)
+        at = (symbol & (SLOTS - 1)) + model.slots[:m]
         now = x[t, :m]
-        now[:] = model.cand
-        rows = np.flatnonzero(~hit)
-        unit = width[rows] >> 16
-        value = np.minimum(code[rows] // unit, ONE - 1).astype(np.int64)
-        symbol, base = np.zeros(len(rows), np.int64), rows * (SLOTS + 2)
-        step = SLOTS
-        while step:
-            up = model.flat[np.minimum(symbol + step, ESCAPE + 1) + base] <= value
-            symbol += step * up
-            step >>= 1
-        k = base + symbol
-        first = model.flat[k]
-        code[rows] -= unit * first.astype(np.uint64)
-        width[rows] = unit * (model.flat[k + 1] - first).astype(np.uint64)
-        model.seen[rows * (SLOTS + 1) + symbol] += 32
-        shift(rows)
-        known = symbol < ESCAPE
-        some = model.slot[rows * SLOTS + (symbol & (SLOTS - 1))]
-        raw = np.flatnonzero(~known)
-        if len(raw):
-            out, got = rows[raw], np.zeros(len(raw), np.int64)
+        now[:] = np.where(hit, model.cand, model.slot.take(at, mode="clip"))
+        rows = (symbol == ESCAPE).nonzero()[0]
+        if len(rows):
+            got = np.zeros(len(rows), np.uint64)
             for b in range(0, bits, 16):
-                n = min(16, bits - b)
-                unit = width[out] >> n
-                piece = np.minimum(code[out] // unit, (1 << n) - 1)
-                code[out] -= unit * piece
-                width[out] = unit
-                got |= piece.astype(np.int64) << b
-                shift(out)
-            some[raw] = got
-            model.slot[out * SLOTS + (got & (SLOTS - 1))] = got
-        now[rows] = some
-        model.learn(m, now, hit)
+                unit = width.take(rows, mode="clip") >> raw_unit
+                own = code.take(rows, mode="clip")
+                piece = np.minimum(own // unit, most)
+                code[rows] = own - unit * piece
+                width[rows] = unit
+                got |= piece << np.uint64(b)
+                shift(m)
+            now[rows] = got
+        model.slot[(now & (SLOTS - 1)) + model.slots[:m]] = now
+        model.learn(m, now, hit, symbol)
     return [x[:n, i].copy() for i, n in enumerate(sizes)]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, joined_small
+from weftline.llm.cluster import cut, in_bounds, joined_small
 from weftline.llm.range_coder import decode, encode
 from weftline.llm.token_ids import encoder
 
@@ -76,6 +76,7 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
     texts; a task encodes its range as it streams by and holds one group of ids at a time.
     """
     spark = docs.sparkSession
+    in_bounds(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,6 +118,8 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids of each document in the files."""
 
+    in_bounds(spark)
+
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
