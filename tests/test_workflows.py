@@ -224,3 +224,11 @@ def test_claims_and_submissions(spark):
     answers = spark.sql("select * from values ('r', 'gate', 2, 'b'), ('r', 'gate', 1, 'a'), ('r', 'other', 0, 'c') as t(run_key, node_id, seq, value)")
     good, refused = durable.submitted(answers, waiting)
     assert [r["value"] for r in good.collect()] == ["a"] and {r["value"] for r in refused.collect()} == {"b", "c"}
+
+
+def test_public_names():
+    import weftline
+
+    assert all(getattr(weftline, name) is not None for name in weftline.__all__)
+    with pytest.raises(AttributeError):
+        weftline.nothing  # noqa: B018
