@@ -19,6 +19,11 @@ PIVOTS, SAMPLE = 256, 2048
 NEAREST, SHARED = 8, 2
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)  # first, for squares to neither overflow nor vanish
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def chosen(sample: np.ndarray, n: int) -> np.ndarray:
     """Up to n rows of the unit vectors, each as far as can be from those before it."""
     if not len(sample):
@@ -50,8 +55,11 @@ def labelled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))  # written once, so the numbers stay
     sample = classes.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()
     length = max((len(r["v"]) for r in sample), default=0)
+    if not length:
+        alone = given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return alone.withColumn("kept", F.col("vec_id").isNotNull())
     same = np.array([r["v"] for r in sample if len(r["v"]) == length], float).reshape(-1, length)
-    pivots = chosen(same / np.linalg.norm(same / np.abs(same).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(same).max(1, keepdims=True), PIVOTS) if length else same
+    pivots = chosen(_unit(same), PIVOTS)
     take = min(NEAREST, len(pivots))
     share = min(SHARED, take)
     combos = np.array(list(combinations(range(take), share))).reshape(-1, share)
@@ -72,8 +80,7 @@ def labelled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
                 for n in np.unique(sizes):
                     rows = np.flatnonzero(sizes == n)
                     raw = lists.take(pa.array(rows)).flatten().to_numpy().reshape(-1, n)
-                    raw = raw / np.abs(raw).max(1, keepdims=True)
-                    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+                    unit = _unit(raw)
                     near = np.sort(np.argsort(-(unit @ points(n).T), axis=1, kind="stable")[:, :take], axis=1).astype(np.int16)
                     pick = near[:, combos].astype(np.int64)  # rows, combinations, pivots
                     keys = np.full(pick.shape[:2], int(n), np.int64)
