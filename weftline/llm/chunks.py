@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.llm.cluster import cut, in_bounds, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
-REACH = 10
+REACH = 11
 #: What is compared are the shortest runs of whole chunks with this many words. A passage that two documents
 #: share surely has such a run if it has MIN_WORDS + 2 * REACH words after its first WINDOW bytes.
 MIN_WORDS = 26
@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     spans are (start, end, kept_in), bytes of the UTF-8 text and the doc_id of the first document that has
     the stretch, which keeps it. The stretches are the shortest runs of content-defined chunks with
-    MIN_WORDS words; equal ones are found by 96 bits of their digests. Every passage of MIN_WORDS + 2 * REACH
+    MIN_WORDS words; equal ones are found by 80 bits of their digests. Every passage of MIN_WORDS + 2 * REACH
     words after its first WINDOW bytes that documents share byte for byte is found, wherever it stands. What
     repeats in one document alone stays. Rows with equal doc_id are one document, and so are rows without a
     doc_id that have equal texts; these come first, with a negative hash for kept_in. Null texts are empty; texts of under
@@ -125,14 +125,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 texts = part.column(3).to_pylist()
                 found = stretches(texts)
                 digests = b"".join([digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
-                high, low = np.frombuffer(digests, "<i8")[0::2], np.frombuffer(digests, "<i4")[2::4]
+                high, low = np.frombuffer(digests, "<i8")[0::2], np.frombuffer(digests, "<i2")[4::8]
                 offsets = pa.array(np.cumsum([0] + [len(s) for s, _ in found]), pa.int32())
                 flat = [high, low, *(np.concatenate([f[k] for f in found]) for k in (0, 1))]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                kinds = [pa.int64(), pa.int16(), pa.int32(), pa.int32()]
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x), t)) for x, t in zip(flat, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["who", "doc_id", "text_hash", "high", "low", "start", "end"])
 
-    schema = "who long, doc_id long, text_hash long, high array<long>, low array<int>, start array<int>, end array<int>"
+    schema = "who long, doc_id long, text_hash long, high array<long>, low array<smallint>, start array<int>, end array<int>"
     chunked_docs = cut(_key(docs, id_col, text_col).mapInArrow(chunked, schema).withColumn("row", F.monotonically_increasing_id()))  # written once, so the numbers stay
     own = chunked_docs.select("row", "who", "doc_id", "text_hash")
     sums = chunked_docs.select("who", F.explode(F.arrays_zip("high", "low")).alias("s")).select("who", "s.high", "s.low")
