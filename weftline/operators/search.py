@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries up to so many are broadcast to the vectors.
+#: Queries up to so many, about, are broadcast to the vectors at once.
 BROADCAST_ROWS = 2_000
 
 
@@ -18,12 +20,16 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest vectors to each query; ties by id. Both have id and embedding.
 
-    A stated set of queries against all vectors: the queries go to the vectors, and each task passes on its own
-    k best for each query at most.
+    A stated set of queries, of any number, against all vectors: the queries go to the vectors in blocks of about
+    BROADCAST_ROWS by a hash of the id, and each task passes on its own k best for each query at most.
     """
     asked = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("asked"))
-    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries: ask in blocks")
+    blocks = -(-asked.count() // BROADCAST_ROWS)
+    found = [_nearest(asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k) for i in range(max(blocks, 1))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     pairs = vectors.join(F.broadcast(asked), F.size("embedding") == F.size("asked"))
     scored = pairs.select("query_id", "id", cosine(F.col("asked"), F.col("embedding")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
