@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, chunks, decontamination, language, licenses, sharding
+from weftline.llm import chat, chunks, language, licenses, sharding
 from weftline.llm.license_rules import BASE, RULES
 from weftline.llm.queries import HOSTILE, ORACLE_SQL, QUERIES
 
@@ -236,87 +236,6 @@ def test_chunk_query_spans_repeat(spark, data):
             seen.setdefault(w, d)
 
 
-# -- decontamination
-
-
-def plain_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_nearest_is_exact():
-    rng = random.Random(8)
-    for _ in range(60):
-        item = [rng.randrange(4) for _ in range(rng.randrange(1, 9))]
-        text = [rng.randrange(4) for _ in range(rng.randrange(0, 14))]
-        d, s, e = decontamination.nearest(np.array(item, np.uint64), np.array(text, np.uint64))
-        best = min(plain_distance(item, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1))
-        assert d == best == plain_distance(item, text[s:e])
-
-
-def edited(words, k, rng, word):
-    words = list(words)
-    for _ in range(k):
-        how, at = rng.randrange(3), rng.randrange(len(words))
-        if how == 0:
-            words[at] = word()
-        elif how == 1:
-            words.insert(at, word())
-        elif len(words) > 1:
-            del words[at]
-    return words
-
-
-def test_recall_of_edited_passages():
-    rng = random.Random(5)
-    word = lambda: rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
-    items = [(i, " ".join(word() for _ in range(rng.randrange(15, 56)))) for i in range(80)]
-    index = decontamination.Index([(i, t.encode()) for i, t in items])
-    for share, wanted in ((0.0, 1.0), (0.1, 0.98), (0.2, 0.93)):
-        texts, truth = [], []
-        for i, t in items * 3:
-            own = t.split()
-            part = edited(own, int(share * len(own)), rng, word)
-            around = [word() for _ in range(rng.randrange(80))]
-            at = rng.randrange(len(around) + 1)
-            texts.append((" ".join(around[:at]) + ", " + " ".join(part).upper() + ".\n" + " ".join(around[at:])).encode())
-            truth.append(i)
-        hits = {(r[0], index.ids[r[1]]) for r in index.search(texts)}
-        found = np.mean([(k, i) in hits for k, i in enumerate(truth)])
-        assert found >= wanted, (share, found)
-        assert not {h for h in hits if truth[h[0]] != h[1]}
-
-
-def test_decontamination_query(spark, data):
-    texts = documents(spark, data)
-    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/sf0.01/benchmark.parquet").collect()}
-    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
-    joined = {d: " " + " ".join(words(t)) + " " for d, t in texts.items()}
-    exact = {(d, i) for i, t in items.items() for d in texts if " " + " ".join(words(t)) + " " in joined[d]}
-    rows = QUERIES["op7_decontamination"](spark, f"{data}/sf0.01").collect()
-    got = {(r["doc_id"], r["item_id"]) for r in rows}
-    assert exact and exact <= got
-    for r in rows:
-        part = words(texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode())
-        assert plain_distance(words(items[r["item_id"]]), part) == r["edits"] <= 0.2 * r["item_words"]
-
-
-def test_decontamination_of_odd_tables(spark):
-    item = "one two three four five six seven eight nine ten"
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, item, 1), (None, f"x {item} y", 1), (3, item, 1), (4, "one two", 1)], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([(1, item), (None, item.upper()), (3, None), (4, "one two"), (5, "")], "item_id long, text string")
-    rows = decontamination.found(docs, bench).collect()
-    assert Counter((r["doc_id"], r["item_id"]) for r in rows) == {(3, 1): 2, (3, None): 2, (None, 1): 1, (None, None): 1}
-    assert sorted(r["doc_id"] for r in decontamination.clean(docs, bench).collect()) == [1, 2, 4]
-    assert decontamination.found(docs.limit(0), bench).count() == 0 and decontamination.found(docs, bench.limit(0)).count() == 0
-    assert decontamination.clean(docs, bench.limit(0)).count() == 6
-
-
 # -- languages
 
 

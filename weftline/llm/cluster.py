@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A bucket with more rows than this is compared in blocks by several tasks.
 BLOCK_ROWS = 2048
 #: This many keys of large buckets at most are broadcast; beyond it they are joined.
-BROADCAST_KEYS = 10_000
+BROADCAST_KEYS = 100_000
 #: Linked pairs handled at once within a task.
 PAIRS_AT_ONCE = 1 << 20
 #: Of texts or ids that go to Python at once: rows are of any length, so bytes are what bounds a task's memory.
@@ -73,6 +73,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns in one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
