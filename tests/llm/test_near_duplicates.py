@@ -113,13 +113,39 @@ def check_pivots(rows, vectors, recall=1.0):
 
 
 def test_pivot_query(spark, data):
-    for sf in ("sf0.01", "check_s"):
+    for sf in ("sf0.01", "sf0.1"):
         rows = QUERIES["op3_pivots"](spark, f"{data}/{sf}").collect()
         vectors = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/{sf}/embeddings.parquet").collect())
         assert len(rows) == len(vectors)
         check_pivots(rows, vectors)
 
 
+def test_pivot_recall_at_the_bound(spark):
+    """Random vectors of 64 components, each with a partner at a cosine of just over 0.9, in floats."""
+    rng = np.random.default_rng(9)
+    x = pivots._unit(rng.normal(size=(3000, 64)))
+    u = rng.normal(size=x.shape)
+    u = pivots._unit(u - (u * x).sum(1, keepdims=True) * x)
+    both = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * u]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<float>")
+    found, there = check_pivots(pivots.labelled(df).collect(), [(i, v.astype(float)) for i, v in enumerate(both)], recall=0.95)
+    print(found / there)
+    assert there >= 6000
+
+
+def test_pivots_at_the_bound_are_told_by_whole_vectors(spark):
+    """cos 0.9 but for one part in 10^9, above and below, which 16 bits can't tell."""
+    rows = []
+    for i in range(40):
+        c = 0.9 + (1e-9 if i % 2 else -1e-9)
+        base = np.zeros(24)
+        base[i % 5], other = 1.0, np.zeros(24)
+        other[i % 5], other[5 + i % 19] = c, np.sqrt(1 - c * c)
+        rows += [(2 * i, base.tolist()), (2 * i + 1, other.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    check_pivots(pivots.labelled(df).collect(), [(i, np.array(v)) for i, v in rows], recall=1.0)
+
+
 def test_pivots_near_the_bound_and_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 16))
