@@ -206,11 +206,50 @@ def test_chunks_of_odd_tables(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     got = Counter(r["doc_id"] for r in chunks.repeats(df).collect())
     assert got == {None: 1, 3: 1, 4: 1, 6: 1}  # of the two without an id one keeps the passage
+    assert next(r for r in chunks.repeats(df).collect() if r["doc_id"] == 6)["spans"][-1]["end"] > len(long) * 1.8
     left = Counter(r["doc_id"] for r in chunks.without_repeats(df).collect())
     assert {1, 2, 7, 8} <= set(left) and not {3, 4} & set(left) and left[None] in (1, 2)
     assert chunks.without_repeats(df.limit(0)).count() == 0 and chunks.repeats(df.limit(0)).count() == 0
-    alone = spark.createDataFrame([(1, long + " " + long)], "doc_id long, text string")
-    assert chunks.repeats(alone).count() == 0
+
+
+def test_repeats_within_one_document(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    alone = spark.createDataFrame([(1, long + " and " + long + " end")], "doc_id long, text string")
+    (r,) = chunks.repeats(alone).collect()
+    assert all(s["kept_in"] == 1 and s["start"] >= len(long) for s in r["spans"])
+    (left,) = chunks.without_repeats(alone).collect()
+    assert left["text"].startswith(long + " and ") and left["text"].endswith(" end") and len(left["text"]) < 1.4 * len(long)
+    periodic = spark.createDataFrame([(1, "one two three " * 500), (2, "w " * 5000)], "doc_id long, text string")
+    for r in chunks.without_repeats(periodic).collect():  # the first stretch stays
+        assert chunks.MIN_WORDS <= len(r["text"].split()) <= 4 * chunks.MIN_WORDS
+
+
+def test_short_repeats(spark):
+    """Of passages of 14 to 60 words, the share that is found; from 14 + 2 * 11 words on all are."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, sizes = [], {}
+    for i in range(300):
+        n = rng.choice([10, 13, 16, 20, 25, 30, 36, 40, 52])
+        p = text(n)
+        sizes[2 * i + 1] = n
+        rows += [(2 * i + k, f"{text(30)} {p} {text(30)}") for k in (0, 1)]
+    got = {r["doc_id"] for r in chunks.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = {n: np.mean([i in got for i, m in sizes.items() if m == n]) for n in sorted(set(sizes.values()))}
+    print(share)
+    assert share[10] == share[13] == 0 and share[20] > 0.2 and share[25] > 0.6 and share[30] > 0.95 and share[36 + 4] == share[52] == 1 and not {i for i in got if i % 2 == 0}
+
+
+def test_digests_are_whole(spark):
+    """128 bits: two columns of 64, of which no bit is the same in all."""
+    docs, _, _ = planted()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(docs)), pa.array([1] * len(docs)), pa.array([t.encode() for t in docs.values()])], ["who", "text_hash", "text"])
+    for column in list(next(chunks._chunked(iter([batch]))))[2:]:
+        bits = np.unpackbits(column.view(np.uint8)).reshape(-1, 64)
+        assert bits.any(0).all() and not bits.all(0).any()
 
 
 def test_chunk_query_spans_repeat(spark, data):
@@ -219,11 +258,12 @@ def test_chunk_query_spans_repeat(spark, data):
     seen = {}
     for d in sorted(texts):
         words = texts[d].split()
-        for i in range(len(words) - 25):
-            seen.setdefault(" ".join(words[i : i + 26]), d)
+        for i in range(len(words) - chunks.MIN_WORDS + 1):
+            seen.setdefault(" ".join(words[i : i + chunks.MIN_WORDS]), d)
     for r in rows:
         part = texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().split()
-        assert seen[" ".join(part[:26])] < r["doc_id"] and all(k < r["doc_id"] for k in r["kept_in"])
+        n = chunks.MIN_WORDS
+        assert seen[" ".join(part[:n])] <= r["doc_id"] and all(k <= r["doc_id"] for k in r["kept_in"])
     flagged = {r["doc_id"] for r in rows}
     seen = {}
     for d in sorted(texts):  # every passage of 51 words that an earlier document has, byte for byte

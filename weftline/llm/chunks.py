@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, in_bounds, worker_turns_to
+from weftline.llm.cluster import cut, in_bounds, row_of, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
 REACH = 11
 #: What is compared are the shortest runs of whole chunks with this many words. A passage that two documents
 #: share surely has such a run if it has MIN_WORDS + 2 * REACH words after its first WINDOW bytes.
-MIN_WORDS = 26
+MIN_WORDS = 14
 #: Bytes that the gear hash of a place takes in.
 WINDOW = 8
 #: Texts handled at once: up to so many bytes.
@@ -77,6 +77,10 @@ def stretches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     a, b = cuts[fits], cuts[to[fits]]
     inside = (a < n) & (b <= n)
     a, b = a[inside], b[inside]
+    long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
+    ends_at = bounds[long + 1]  # the run that ends a text, for the shortest ones may stop before
+    a, b = np.append(a, cuts[np.searchsorted(cuts, ends_at - MIN_WORDS, "right") - 1]), np.append(b, ends_at)
+    a, b = np.unique(np.stack([a, b]), axis=1)
     same = of[np.minimum(a, n - 1)] == of[np.maximum(b, 1) - 1] if n else a < 0
     a, b = a[same], b[same]
     owner = of[a] if n else empty
@@ -86,65 +90,97 @@ def stretches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(s[i:j], e[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """who (the doc_id, or for a null one a negative hash of the text), doc_id, text_hash and the text's bytes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own, hashed = F.col(id_col).cast("long"), F.xxhash64(text)
-    return docs.select(F.coalesce(own, hashed.bitwiseOR(F.lit(-(1 << 63)))).alias("who"), own.alias("doc_id"), hashed.alias("text_hash"), text.cast("binary").alias("text"))
+def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """who (the doc_id, or for a null one a negative hash of the text) and text_hash."""
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return [F.coalesce(F.col(id_col).cast("long"), _unnamed(hashed)).alias("who"), hashed.alias("text_hash")]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stretches of text that an earlier document has too, as (doc_id, text_hash, spans).
-
-    spans are (start, end, kept_in), bytes of the UTF-8 text and the doc_id of the first document that has
-    the stretch, which keeps it. The stretches are the shortest runs of content-defined chunks with
-    MIN_WORDS words; equal ones are found by 80 bits of their digests. Every passage of MIN_WORDS + 2 * REACH
-    words after its first WINDOW bytes that documents share byte for byte is found, wherever it stands. What
-    repeats in one document alone stays. Rows with equal doc_id are one document, and so are rows without a
-    doc_id that have equal texts; these come first, with a negative hash for kept_in. Null texts are empty; texts of under
-    MIN_WORDS words have no stretch; an empty table gives no rows; other columns are ignored.
-
-    Plan: whole texts are chunked once and their digests, an array a document, written to the shared folder.
-    The first and last document of each digest, combined before their exchange, tell which ones occur in more
-    than one; one join brings the first document back to those.
-    """
-    in_bounds(docs.sparkSession)
+def _unnamed(hashed: Column) -> Column:
+    return hashed.bitwiseOR(F.lit(-(1 << 63)))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray]]:
+    """Parts of batches (who, text_hash, text), their texts' runs, and all runs' digests as two columns of integers."""
+    import xxhash
+
+    worker_turns_to("chunks")
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        at = 0
+        sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right"))
+            part = batch.slice(at, max(1, upto - at))
+            at += part.num_rows
+            texts = part.column(2).to_pylist()
+            found = stretches(texts)
+            digests = np.frombuffer(b"".join([digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)]), "<i8")
+            yield part, found, np.ascontiguousarray(digests[0::2]), np.ascontiguousarray(digests[1::2])
+
+
+def _firsts_in(text: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each run the place among all of the first one in its text with its digest."""
+    if not len(text):
+        return np.empty(0, np.int64)
+    order = np.lexsort((low, high, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]  # lexsort is stable, so the first of equals leads
+    return out
 
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        worker_turns_to("chunks")
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            at = 0
-            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy())
-            while at < batch.num_rows:
-                upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right"))
-                part = batch.slice(at, max(1, upto - at))
-                at += part.num_rows
-                texts = part.column(3).to_pylist()
-                found = stretches(texts)
-                digests = b"".join([digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
-                high, low = np.frombuffer(digests, "<i8")[0::2], np.frombuffer(digests, "<i2")[4::8]
-                offsets = pa.array(np.cumsum([0] + [len(s) for s, _ in found]), pa.int32())
-                flat = [high, low, *(np.concatenate([f[k] for f in found]) for k in (0, 1))]
-                kinds = [pa.int64(), pa.int16(), pa.int32(), pa.int32()]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x), t)) for x, t in zip(flat, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["who", "doc_id", "text_hash", "high", "low", "start", "end"])
-
-    schema = "who long, doc_id long, text_hash long, high array<long>, low array<smallint>, start array<int>, end array<int>"
-    chunked_docs = cut(_key(docs, id_col, text_col).mapInArrow(chunked, schema).withColumn("row", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    own = chunked_docs.select("row", "who", "doc_id", "text_hash")
-    sums = chunked_docs.select("who", F.explode(F.arrays_zip("high", "low")).alias("s")).select("who", "s.high", "s.low")
+
+def _flat(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of all runs in a row."""
+    return np.repeat(np.arange(len(found)), [len(s) for s, _ in found]), *(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def _met(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(who, text_hash, spans) of the texts with stretches that stand elsewhere before."""
+    in_bounds(docs.sparkSession)
+    given = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, high, low in _chunked(batches):
+            text, _, _ = _flat(found)
+            own = np.flatnonzero(_firsts_in(text, high, low) == np.arange(len(text)))  # each digest of a text once
+            yield pa.RecordBatch.from_arrays([pa.array(high[own]), pa.array(low[own]), part.column(0).take(pa.array(text[own]))], ["high", "low", "who"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, high, low in _chunked(batches):
+            text, start, end = _flat(found)
+            again = start >= end[_firsts_in(text, high, low)]  # not what overlaps the first one
+            rows = pa.array(text)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(high), pa.array(low), pa.array((start << 32) | end), pa.array(again)], ["who", "text_hash", "high", "low", "place", "again"])
+
+    sums = given.mapInArrow(summed, "high long, low long, who long")
     firsts = sums.groupBy("high", "low").agg(F.min("who").alias("first"), F.max("who").alias("last"))
     firsts = cut(firsts.where("first <> last").drop("last"))
-    places = chunked_docs.select("row", F.explode(F.arrays_zip("high", "low", "start", "end")).alias("s"))
-    places = places.select("row", "s.high", "s.low", (F.shiftleft(F.col("s.start").cast("long"), 32) + F.col("s.end")).alias("place"))
-    met = places.join(firsts, ["high", "low"]).select("row", "place", "first")
-    span = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"), F.col("first").alias("kept_in"))
-    spans = met.join(own.select("row", "who"), "row").where("who <> first").groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"))
-    told = spans.join(own, "row").select("doc_id", "text_hash", "spans")
-    return told.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
+    places = given.mapInArrow(placed, "who long, text_hash long, high long, low long, place long, again boolean")
+    met = places.join(firsts, ["high", "low"], "left").withColumn("elsewhere", F.coalesce(F.col("first") != F.col("who"), F.lit(False)))
+    met = met.where("elsewhere or again").withColumn("kept_in", F.when(F.col("elsewhere"), F.col("first")).otherwise(F.col("who")))
+    span = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"), F.col("kept_in"))
+    return met.groupBy("who", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"))  # equal rows have equal spans
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stretches of text that an earlier document, or the same one before, has too, as (doc_id, text_hash, spans).
+
+    spans are (start, end, kept_in), bytes of the UTF-8 text (32 bits, as long as Spark's texts can be) and the
+    doc_id of the first document that has the stretch, which keeps it where it stands first. The stretches are the
+    shortest runs of content-defined chunks with MIN_WORDS words; equal ones are found by 128-bit digests. Every passage of
+    MIN_WORDS + 2 * REACH words after its first WINDOW bytes that stands in two places byte for byte is found,
+    wherever they are; of what overlaps itself the first stretch stays. Rows with equal doc_id are one document, and so are rows
+    without a doc_id that have equal texts; these come first, with a negative hash for kept_in. Null texts are
+    empty; texts of under MIN_WORDS words have no stretch; an empty table gives no rows; other columns are ignored.
+
+    Plan: whole texts are chunked twice and no list of chunks is written: once for the first and last document of
+    each digest, combined before their exchange, of which those in more than one are written to the shared folder;
+    and once for the places, which one join brings to their first document.
+    """
+    null = F.col("who") == _unnamed(F.col("text_hash"))
+    return _met(docs, id_col, text_col).select(F.when(~null, F.col("who")).alias("doc_id"), "text_hash", "spans")
 
 
 def merged(spans: Column) -> Column:
@@ -165,9 +201,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     All columns stay as they are but the text. A text that loses nothing is left as it is, null and empty too.
     """
-    spans = repeats(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
-    own = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    told = own.join(spans, (F.col("__own_hash") == F.col("__hash")) & F.col("__own_id").eqNullSafe(F.col("__id")), "left")
+    spans = _met(docs, id_col, text_col).select("who", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    own = docs.select(row_of(docs).alias("row"), *_key(docs, id_col, text_col))
+    told = own.join(spans, ["who", "text_hash"], "left")
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -184,6 +220,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    hit = F.col("__spans").isNotNull()
-    told = told.withColumn("__left", left(F.when(hit, F.col(text_col)), F.col("__spans"))).where(~hit | F.col("__left").rlike(r"\S"))
-    return told.withColumn(text_col, F.when(hit, F.col("__left")).otherwise(F.col(text_col))).select(*docs.columns)
+    hit = F.col("spans").isNotNull()
+    text = F.col("row").getField(text_col)
+    told = told.select("row", "spans", left(F.when(hit, text), F.col("spans")).alias("left")).where(~hit | F.col("left").rlike(r"\S"))
+    return told.select(*(F.when(hit, F.col("left")).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
