@@ -24,12 +24,14 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and Spark is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir()
 
@@ -73,9 +75,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def row_of(df: DataFrame) -> Column:
-    """All columns in one struct, so that no name of theirs meets one of an operator's own."""
-    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+def row_of(df: DataFrame, names: list[str] | None = None) -> Column:
+    """All columns, or those named, in one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)))
 
 
 def ascii_lower(text: Column) -> Column:

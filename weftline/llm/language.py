@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import in_bounds, worker_turns_to
+from weftline.llm.cluster import in_bounds, row_of, worker_turns_to
 
 #: Lengths of the n-grams, and the number of places they are hashed to.
 ORDERS = (1, 2, 3, 4)
@@ -190,7 +190,8 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", keep
 
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
     lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    return docs.select(*keep, predict(lettered).alias("__told")).select(*keep, "__told.lang_pred", "__told.lang_score")
+    told = docs.select(row_of(docs, keep).alias("row"), predict(lettered).alias("told"))
+    return told.select("row.*", "told.lang_pred", "told.lang_score")
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut
+from weftline.llm.cluster import cut, row_of
 
 #: Bytes that a document counts for besides its text.
 OVERHEAD = 16
@@ -126,11 +126,13 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: st
     rows or fewer, and so are broadcast.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    told = docs.withColumns({"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "__k1": F.xxhash64(text), "__k2": F.xxhash64(F.col(id_col), F.lit(1))})
-    keys = cut(told.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "size"))
+    names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    own = {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "k1": F.xxhash64(text), "k2": F.xxhash64(F.col(id_col), F.lit(1))}
+    told = docs.select(row_of(docs, names).alias("row"), *(c.alias(k) for k, c in own.items()))
+    keys = cut(told.select("k1", "k2", "size"))
     leaves, cuts, most = _split(keys, n_shards, tolerance)
     if not leaves:
-        return told.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__k1", "__k2")
+        return told.select("row.*", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     by_leaf: dict[int, list[int]] = {}
     for leaf, rows in cuts:
         by_leaf.setdefault(leaf, []).append(rows)
@@ -151,13 +153,12 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: st
             slot += x.rows
     table = docs.sparkSession.createDataFrame(
         [(p["p"], *p["lo"], *p["hi"], i, p["shard"], p["slot"], p["cuts"]) for i, p in enumerate(parts)],
-        "__part16 long, __lo1 long, __lo2 long, __hi1 long, __hi2 long, __part int, __shard0 int, __slot0 long, __cuts array<long>",
+        "part16 long, lo1 long, lo2 long, hi1 long, hi2 long, part int, shard0 int, slot0 long, cuts array<long>",
     )
-    inside = (F.struct("__k1", "__k2") >= F.struct("__lo1", "__lo2")) & (F.struct("__k1", "__k2") <= F.struct("__hi1", "__hi2"))
-    placed = told.withColumn("__p", _prefix(F.col("__k1"), FIRST_BITS)).join(F.broadcast(table), (F.col("__p") == F.col("__part16")) & inside)
-    placed = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("__k1", "__k2")).cast("long") - 1)
-    passed = F.size(F.filter("__cuts", lambda c: c <= F.col("__n")))
-    before = F.try_element_at("__cuts", F.greatest(passed, F.lit(1)))
-    placed = placed.withColumns({"shard": F.col("__shard0") + passed, "slot": F.when(passed == 0, F.col("__slot0") + F.col("__n")).otherwise(F.col("__n") - before)})
-    names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    return placed.select(*names, "size", "text_crc32", "shard", "slot")
+    inside = (F.struct("k1", "k2") >= F.struct("lo1", "lo2")) & (F.struct("k1", "k2") <= F.struct("hi1", "hi2"))
+    placed = told.withColumn("p", _prefix(F.col("k1"), FIRST_BITS)).join(F.broadcast(table), (F.col("p") == F.col("part16")) & inside)
+    placed = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2")).cast("long") - 1)
+    passed = F.size(F.filter("cuts", lambda c: c <= F.col("n")))
+    before = F.try_element_at("cuts", F.greatest(passed, F.lit(1)))
+    placed = placed.withColumns({"shard": F.col("shard0") + passed, "slot": F.when(passed == 0, F.col("slot0") + F.col("n")).otherwise(F.col("n") - before)})
+    return placed.select("row.*", "size", "text_crc32", "shard", "slot")

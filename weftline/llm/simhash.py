@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, runs, worker_turns_to
+from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, row_of, runs, worker_turns_to
 
 BITS = 64
 #: Segments of a fingerprint. Two that differ in up to three bits differ in at most one bit of one segment.
@@ -272,12 +272,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = cut(named.join(first.withColumnRenamed("least", "first"), "component").select("fp", "first"))
     kept = fps.join(first, "fp").where(rank.eqNullSafe(F.col("first")))
     kept = cut(kept.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__rows")))
-    told = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": own_hash})
+    told = docs.select(row_of(docs).alias("row"), F.col(id_col).cast("long").alias("__own_id"), own_hash.alias("__own_hash"))
     told = told.join(kept, (F.col("__own_hash") == F.col("__hash")) & F.col("__own_id").eqNullSafe(F.col("__id")))
-    once = told.where("__rows = 1").select(*docs.columns)
+    once = told.where("__rows = 1").select("row.*")
     if kept.where("__rows > 1").isEmpty():
         return once
-    many = told.where("__rows > 1").dropDuplicates(["__own_id", "__own_hash"]).select(*docs.columns)
+    many = told.where("__rows > 1").dropDuplicates(["__own_id", "__own_hash"]).select("row.*")
     return once.unionByName(many)
 
 
