@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.arrays import let, maxima, sums
 from weftline.llm.cluster import ascii_lower
 from weftline.llm.license_rules import BASE, RULES
 
@@ -34,32 +33,42 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-def _places(norm: Column, rule: Column) -> Column:
+EMPTY = "cast(array() as array<struct<first:int,minus_last:int,rank:int,label:string,weight:double,base:boolean>>)"
+
+
+def _matched(norm: str) -> Column:
+    """Each rule whose keyword and pattern occur in the column norm, with its matches and the text between them.
+
+    As one text of SQL, since a call for each part of each rule takes its time on the driver.
+    """
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spaces = "x -> length(x) - length(replace(x, ' ', ''))"
+    parts = []
+    for r in rules():
+        pattern = quoted(r["pattern"])
+        told = f"'rank', {r['rank']}, 'label', {quoted(r['label'])}, 'weight', {r['weight']}D, 'base', {str(r['base']).lower()}"
+        found = f"'hits', transform(regexp_extract_all(`{norm}`, {pattern}, 0), {spaces}), 'rest', transform(split(`{norm}`, {pattern}, -1), {spaces})"
+        parts.append(f"case when contains(`{norm}`, {quoted(r['keyword'])}) and rlike(`{norm}`, {pattern}) then named_struct({told}, {found}) end")
+    return F.expr(f"array_compact(array({', '.join(parts)}))")
+
+
+def _places(rule: Column) -> Column:
     """A rule's matches, as structs with their first and last word."""
-    hits, rest = F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.split(norm, rule["pattern"], -1)
+    steps = F.zip_with(rule["hits"], F.slice(rule["rest"], 1, F.size(rule["hits"])), lambda h, r: (h + r).cast("long"))
 
-    def add(done: Column, pair: Column) -> Column:
-        at = done["at"] + _spaces(pair["rest"])
-        first = F.floor((at - 1) / 2).cast("int")
-        words = F.floor(_spaces(pair["hit"]) / 2).cast("int")
-        place = F.struct(first.alias("first"), (-(first + words - 1)).alias("minus_last"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight"), rule["base"].alias("base"))
-        return F.struct((at + _spaces(pair["hit"])).alias("at"), F.concat(done["found"], F.array(place)).alias("found"))
+    def place(hit: Column, upto: Column) -> Column:
+        first = F.floor((upto - hit - 1) / 2).cast("int")
+        words = F.floor(hit / 2).cast("int")
+        return F.struct(first.alias("first"), (-(first + words - 1)).alias("minus_last"), *(rule[k].alias(k) for k in ("rank", "label", "weight", "base")))
 
-    pairs = F.filter(F.arrays_zip(hits.alias("hit"), rest.alias("rest")), lambda p: p["hit"].isNotNull())
-    empty = F.expr("named_struct('at', 0, 'found', cast(array() as array<struct<first:int,minus_last:int,rank:int,label:string,weight:double,base:boolean>>))")
-    return F.aggregate(pairs, empty, add, lambda d: d["found"])
+    return let(sums(steps), lambda upto: F.zip_with(rule["hits"], upto, place))
 
 
 def _kept(places: Column) -> Column:
     """Sorted places without those inside an earlier one: that begins no later and ends no earlier, or has the same words and a rule before."""
-
-    def add(done: Column, p: Column) -> Column:
-        last = -p["minus_last"]
-        inside = last <= done["last"]
-        return F.when(inside, done).otherwise(F.struct(last.alias("last"), F.concat(done["kept"], F.array(p)).alias("kept")))
-
-    empty = F.expr("named_struct('last', -1, 'kept', cast(array() as array<struct<first:int,minus_last:int,rank:int,label:string,weight:double,base:boolean>>))")
-    return F.aggregate(places, empty, add, lambda d: d["kept"])
+    last = lambda p: -p["minus_last"]
+    furthest = maxima(F.transform(places, lambda p: last(p).cast("long")))
+    return let(furthest, lambda f: F.filter(places, lambda p, i: (i == 0) | (last(p) > F.get(f, i - 1))))
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,7 +80,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     all rows and columns stay, and columns of these three names are replaced.
 
     Plan: no exchange. A text without any of GATE's strings costs a count of its words; of the others, each rule
-    whose keyword occurs is matched.
+    whose keyword occurs is matched. The work is linear in a text's matches, but for what `running` says.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = F.lower(text)
@@ -79,14 +88,13 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for stem in GATE:
         gate = gate | F.contains(low, F.lit(stem))
     gate = gate | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(CC)))
-    schema = "array<struct<rank:int,label:string,weight:double,keyword:string,pattern:string,base:boolean>>"
-    table = F.from_json(F.lit(json.dumps(rules())), schema)
     doubled = F.replace(F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), BETWEEN, " ")), F.lit(" ")), F.lit(" "), F.lit("  "))
-    rows = docs.withColumns({"license_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "__norm": F.when(gate, doubled)})
-    tried = F.filter(table, lambda r: F.contains(F.col("__norm"), r["keyword"]))
-    places = F.when(F.col("__norm").isNotNull(), F.array_sort(F.flatten(F.transform(tried, lambda r: _places(F.col("__norm"), r)))))
-    empty = F.expr("cast(array() as array<struct<first:int,minus_last:int,rank:int,label:string,weight:double,base:boolean>>)")
-    rows = rows.withColumn("license_places", F.coalesce(places, empty)).drop("__norm")
+    norm = "license_norm"
+    while norm in docs.columns:
+        norm += "_"
+    rows = docs.withColumns({"license_words": F.regexp_count(text, F.lit(WORD)).cast("long"), norm: F.when(gate, doubled)})
+    places = F.array_sort(F.flatten(F.transform(_matched(norm), _places)))
+    rows = rows.withColumn("license_places", F.when(F.col(norm).isNotNull(), places).otherwise(F.expr(EMPTY))).drop(norm)
     return rows.withColumn("license_found", _kept(F.col("license_places")))
 
 
