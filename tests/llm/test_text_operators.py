@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, chunks, language, licenses, sharding
+from weftline.llm import arrays, chat, chunks, language, licenses, sharding
 from weftline.llm.license_rules import BASE, RULES
 from weftline.llm.queries import HOSTILE, ORACLE_SQL, QUERIES
 
@@ -75,6 +77,30 @@ def test_containment_and_priority(spark):
     assert all(not (a[0] <= b[0] and b[1] <= a[1]) for a in spans for b in spans if a != b)
 
 
+def test_many_matches_take_time_in_proportion(spark):
+    """100,000 matches in one text, nested and not; the places are those of a plain scan."""
+    parts = ["under the mit license", "see the", "apache license version 2 0", "cc by nc"]
+    rng = random.Random(2)
+    text = " ".join(rng.choice(parts) for _ in range(130_000))
+    began = time.time()
+    r = licenses.digest(licenses.scanned(spark.createDataFrame([(1, text), (2, "mit " * 5)], "doc_id long, text string"))).where("doc_id = 1").first()
+    assert r["n_base"] > 90_000 and tuple(r)[1:6] == plain_base(text)
+    assert time.time() - began < 60
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [rng.randrange(-5, 50) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<bigint>").select(arrays.sums(F.col("v")).alias("s"), arrays.maxima(F.col("v")).alias("m")).first()
+        assert df["s"] == list(accumulate(values)) and df["m"] == list(accumulate(values, max))
+
+
+def test_long_blocks_take_time_in_proportion(spark):
+    rows = [(1, i, "assistant", f"turn <|{i}|>") for i in range(20_000)] + [(2, i, "user" if i % 2 else "assistant", "x") for i in range(20_000)]
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [r[3] for r in rows[:20_000]] and got[1]["loss_text"] == "".join(r[3] for r in rows[:20_000])
+    assert got[2]["loss_text"] == "x" * 10_000
+    assert time.time() - began < 60
+
+
 # -- shards
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.arrays import let, sums
+
 #: Marks of the template. Turns of one role in a row share a block and are parted by NEXT.
 START, END, NEXT, LINE = "<|im_start|>", "<|im_end|>", "<|im_next|>", "<|nl|>"
 TRAINED = "assistant"
@@ -40,8 +42,9 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     made = F.transform("blocks", lambda b: F.struct(head(b).alias("head"), (b[0]["role"] == TRAINED).alias("trained"), F.transform(b, lambda t: escaped(t["text"])).alias("texts")))
     rows = rows.select("conv_id", made.alias("made"))
     text = F.array_join(F.transform("made", lambda m: F.concat(m["head"], F.array_join(m["texts"], NEXT), F.lit(END + "\n"))), "")
-    length = lambda texts, n: F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    spans = lambda m, k: F.transform(m["texts"], lambda x, i: F.struct(k.alias("block"), (F.length(m["head"]) + length(m["texts"], i) + i * len(NEXT)).alias("first"), F.length(x).alias("length")))
+    upto = lambda m: sums(F.transform(m["texts"], lambda x: (F.length(x) + len(NEXT)).cast("long")))
+    span = lambda m, k, x, n: F.struct(k.alias("block"), (F.length(m["head"]) + n - F.length(x) - len(NEXT)).cast("int").alias("first"), F.length(x).alias("length"))
+    spans = lambda m, k: let(upto(m), lambda n: F.zip_with(m["texts"], n, lambda x, at: span(m, k, x, at)))
     loss = F.flatten(F.transform("made", lambda m, k: F.when(m["trained"], spans(m, k)).otherwise(F.expr("cast(array() as array<struct<block:int,first:int,length:int>>)"))))
     return rows.select("conv_id", text.alias("formatted"), loss.alias("loss"))
 
