@@ -95,8 +95,8 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 slice_ = batch.slice(at, 1000)
-                for doc, text in zip(slice_.column(0).to_pylist(), slice_.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(ids_of(text) + end, kind)
+                for doc, own in zip(slice_.column(0).to_pylist(), ids_of.many(slice_.column(1)), strict=True):
+                    ids = np.frombuffer(own + end, kind)
                     null = 0 if doc is not None else 2
                     begun = 0
                     while len(ids):

@@ -3,40 +3,40 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from weftline.llm.cluster import FORGET, worker_turns_to
 
-#: Pieces and chunks of text whose ids a worker remembers; when full they are forgotten and gathered anew.
-PIECES, CHUNKS = 800_000, 400_000
+#: Bytes of chunks and their ids that a worker remembers, about, in each of two halves: when the younger is full, the
+#: elder is forgotten and the younger takes its place. What is met again moves to the younger half.
+CACHE_BYTES = 56 << 20
+#: What a remembered chunk takes besides its letters and ids.
+EACH = 180
 #: Longer chunks are encoded each time.
 LONGEST = 64
+#: Bytes of texts that are cut into chunks at once; a longer text is cut by itself.
+AT_ONCE = 4 << 20
 
 LETTERS = r"A-Za-zÀ-ÖØ-öø-įı-ɏ"
 MARKS = r"!-&(-/:-@\[-`{}~"
 PIECE = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
 PLAIN = re.compile(rf"(?:[{LETTERS}0-9{MARKS}])+")
-
-
-class _Chunks(dict):
-    def __init__(self, ids):
-        self.ids = ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.ids(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+#: For Arrow: texts that can be lower-cased and cut as a whole, and what is cut off from letters there.
+SIMPLE, CUT = rf"^[A-Za-zÀ-ÖØ-öø-ÿ0-9{MARKS}\t\n\f\r ]*$", rf"[0-9]|[{MARKS}]+"
 
 
 class Encoder:
     """Ids of whole texts as little-endian integers of `width` bytes, by a tokenizers file.
 
     For a tokenizer that drops white space and never joins over it, a text's ids are those of its chunks
-    between white space one after the other, and a chunk's ids are remembered. A chunk of plain Latin
-    letters, digits and marks is cut further, just as such a tokenizer's own rule cuts it, and for one that
-    lower-cases, Latin texts are lower-cased first. Any other tokenizer encodes each text as it is.
+    between white space one after the other: each distinct chunk of a batch is encoded once, and its ids are
+    remembered. A chunk of plain Latin letters, digits and marks is cut further, just as such a tokenizer's own
+    rule cuts it, and for one that lower-cases, Latin chunks are lower-cased first. Any other tokenizer encodes
+    each text as it is.
     """
 
     def __init__(self, path: str):
@@ -48,9 +48,9 @@ class Encoder:
         self.by_chunk = self._drops_space()
         self.lowers = self.by_chunk and all(self._ids(t) == self._ids(t.lower()) for t in ("QUITE Öde", "Él"))
         self.spelt = self._spelling() if self.lowers else {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks = _Chunks(self._chunk)
-        self.latin_chunks = _Chunks(self._latin_chunk)
+        self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -75,41 +75,77 @@ class Encoder:
         return spelt if same and len(spelt) == len(letters) else {}
 
     def _direct(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in self._ids(text))
+        return np.array(self._ids(text), f"<u{self.width}").tobytes()
+
+    def _remembered(self, text: str, ids: bytes) -> bytes:
+        if self.bytes >= CACHE_BYTES:
+            self.elder, self.known, self.bytes = self.known, {}, 0
+        self.known[text] = ids
+        self.bytes += len(text) + len(ids) + EACH
+        return ids
+
+    def _recalled(self, text: str) -> bytes | None:
+        ids = self.known.get(text)
+        if ids is None:
+            ids = self.elder.get(text)
+            if ids is not None:
+                self._remembered(text, ids)
+        return ids
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self._recalled(piece)
         if ids is None:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
             if self.spelt and self.spelt.keys() >= set(map(ord, piece)):
                 ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.spelt))])
             else:
                 ids = self._direct(piece)
-            self.pieces[piece] = ids
+            self._remembered(piece, ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
+        if self.lowers and "<|" not in chunk and _latin(chunk):
+            chunk = chunk.lower()
+        ids = self._recalled(chunk)
+        if ids is not None:
+            return ids
         if len(chunk) > LONGEST or not PLAIN.fullmatch(chunk):
-            return self._direct(chunk)
-        return b"".join(map(self._piece, PIECE.findall(chunk)))
-
-    def _latin_chunk(self, chunk: str) -> bytes:
-        if len(chunk) <= LONGEST:
-            if chunk.isalpha():
-                return self._piece(chunk)
-            if chunk[-1] in ",." and chunk[:-1].isalpha():
-                return self._piece(chunk[:-1]) + self._piece(chunk[-1])
-        return self._chunk(chunk)
+            ids = self._direct(chunk)
+            return ids if len(chunk) > LONGEST else self._remembered(chunk, ids)
+        pieces = PIECE.findall(chunk)
+        if len(pieces) == 1:
+            return self._piece(chunk)
+        return b"".join(map(self._piece, pieces))
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_chunk or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to split() alone
-            return self._direct(text)
-        if self.lowers and "<|" not in text and _latin(text):
-            return b"".join(map(self.latin_chunks.__getitem__, text.lower().split()))
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return next(self.many(pa.array([text], pa.string())))
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null one has none."""
+        if not self.by_chunk:
+            for text in texts.to_pylist():
+                yield self._direct(text) if text else b""
+            return
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+            part = pc.fill_null(texts.slice(at, upto - at), "")
+            odd = pc.match_substring_regex(part, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)  # white space to Arrow alone
+            spaced = part
+            if self.lowers:
+                simple = pc.match_substring_regex(part, SIMPLE)
+                spaced = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(simple, part, "")), CUT, r" \0 ")
+                spaced = pc.if_else(simple, spaced, part)
+            words = pc.utf8_split_whitespace(spaced)
+            flat = words.flatten().dictionary_encode()
+            ids = pa.array([self.known.get(w) or self._chunk(w) for w in flat.dictionary.to_numpy(zero_copy_only=False)], pa.large_binary())
+            every = ids.take(flat.indices)
+            starts = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1, every.offset * 8)
+            data = memoryview(every.buffers()[2]) if every.buffers()[2] is not None else b""
+            bounds = starts[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist() if len(every) else [0] * (len(part) + 1)
+            for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                yield self._direct(part[i].as_py()) if odd[i] else bytes(data[s:e])
+            at = upto
 
 
 def _latin(text: str) -> bool:
@@ -132,3 +168,10 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def width_of(path: str) -> int:
+    """Bytes of an id."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
