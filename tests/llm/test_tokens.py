@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,10 +42,21 @@ def test_encoder_is_the_tokenizer(text):
 def test_encoder_forgets(monkeypatch):
     from weftline.llm import token_ids
 
-    monkeypatch.setattr(token_ids, "PIECES", 5)
-    monkeypatch.setattr(token_ids, "CHUNKS", 5)
+    monkeypatch.setattr(token_ids, "CACHE_BYTES", 2000)
     text = " ".join(f"word{i} Thing, other" for i in range(50))
-    assert np.frombuffer(Encoder(tokenizer_path())(text), "<u2").tolist() == plain(text)
+    own = Encoder(tokenizer_path())
+    assert np.frombuffer(own(text), "<u2").tolist() == plain(text)
+    assert np.frombuffer(own(text), "<u2").tolist() == plain(text)
+    assert own.bytes < 3000 and len(own.known) + len(own.elder) < 40
+
+
+def test_encoder_cuts_long_columns(monkeypatch):
+    from weftline.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "AT_ONCE", 50)
+    texts = ["One, two; 3 four." * 9, None, "", *ODD, "É é " * 40, "x"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.many(pa.array(texts))] == [plain(t) for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ENCODER.many(pa.array(texts).slice(2, 9))] == [plain(t) for t in texts[2:11]]
 
 
 def test_encoder_of_another_kind():
@@ -109,6 +121,28 @@ def test_packing_odd_tables(spark):
     assert sum(r["length"] for r in packing.packed(twice, tokenizer_path()).collect()) == 9
 
 
+def test_packing_many_sources(spark):
+    """Each of 90 sources due an id a window is in its share throughout; 4 that are due less have theirs together."""
+    texts = {i: "a " * (50 + i % 90) for i in range(900)}
+    tiny = {1000 + i: "b" for i in range(4)}
+    rows = [(i, t, f"s{i % 90}") for i, t in texts.items()] + [(i, t, f"t{i}") for i, t in tiny.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = packing.packed(df, tokenizer_path(), window=1024).collect()
+    sequences = check_pieces(found, texts | tiny, 1024)
+    total = {}
+    for r in found:
+        total[r["source"]] = total.get(r["source"], 0) + r["length"]
+    everything, done = sum(total.values()), dict.fromkeys(total, 0)
+    assert all(total[f"t{i}"] * 1024 < everything for i in tiny)
+    for k in sorted(sequences):
+        for r in sequences[k]:
+            done[r["source"]] += r["length"]
+        at = min((k + 1) * 1024, everything)
+        assert all(abs(done[s] - at * total[s] / everything) < 3 for s in total if s[0] == "s")
+    weights = {f"s{i}": 1 + i for i in range(90)}
+    check_pieces(packing.packed(df, tokenizer_path(), window=1024, weights=weights).collect(), texts | tiny, 1024)
+
+
 @pytest.mark.parametrize(("sizes", "weights"), [([100, 3, 1, 1, 0, 977], None), ([5000, 1, 1, 1, 1], None), ([100, 300, 50, 7], [1, 1, 5, 0]), ([10**13, 10**12, 7], None), ([1], None)])
 def test_schedule(sizes, weights):
     window = 64 if sum(sizes) < 10**6 else 1 << 36

@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, in_bounds
-from weftline.llm.token_ids import encoder
+from weftline.llm.cluster import cut, in_bounds, worker_turns_to
+from weftline.llm.token_ids import encoder, width_of
 
-#: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: 1,024, or more
-#: as the ids grow, so that a block of all queues keeps to about so many ids, but 16,384 at most.
-BLOCKS, BLOCK_IDS = (1024, 16_384), 1 << 22
-#: With more sources than this, sources share queues by a hash.
-MAX_QUEUES = 64
-#: Windows planned at once.
-AHEAD = 256
+#: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: about so many
+#: ids a block, or more as the ids grow, so that there are about so many blocks of all queues at most, and one a queue.
+BLOCK_IDS, BLOCKS = 1 << 18, 65_536
+#: Windows planned at once times queues, and windows at most.
+PLANNED, AHEAD = 1 << 16, 256
+#: Bytes of ids that are dealt at once.
+AT_ONCE = 1 << 20
 
 
 class Schedule:
@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [ids_of(t) + end for t in part.column(2).to_pylist()]
+                ids = [x + end for x in ids_of.many(part.column(2))]
                 n = pa.array([len(x) // ids_of.width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
 
@@ -129,56 +129,64 @@ def packed(
     sequence_id, offset. All sequences are full but the last. weights are the sources' target shares; without
     them each source's share of all ids; with_ids=False leaves the ids null. A source without a weight comes after all that have one.
 
+    Every source that is due an id of each window, and every one with a weight, has a queue of its own: `window`
+    and the weights bound their number. Sources that are due less share one queue, in which documents stand in
+    order of a hash, so that each has its share of any long stretch; no window could hold its share more closely.
+
     A null text is empty and is the end id alone; a null source is a source of its own; a null doc_id stays
     null; equal rows are packed once each; an empty table gives no rows; other columns are ignored.
 
-    Plan: texts are encoded once and the ids written to the shared folder; counts by queue and block come to
-    the driver (for each of 64 queues and 16,384 blocks at most); one exchange by block brings each block's ids in order, where
-    their windows follow from the running count.
+    Plan: texts are encoded once and the ids written to the shared folder; sizes of queues and of their blocks
+    (2 * BLOCKS + window + weights at most) come to the driver and go back as a broadcast table; one exchange by
+    block brings each block's ids in order, where their windows follow from the running count.
     """
     spark = docs.sparkSession
     in_bounds(spark)
     tokens = cut(tokenised(docs, tokenizer_path, end_id, id_col, text_col, source_col))
-    blocks, total = BLOCKS[0], tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    while blocks < BLOCKS[1] and blocks * BLOCK_IDS < total:
-        blocks *= 2
-    found = [r[0] for r in tokens.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    known = sorted(found, key=lambda s: (s is not None, s)) if len(found) <= MAX_QUEUES else None
-    if known is None:
-        queue = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int")
-        names = [None] * MAX_QUEUES
-        if weights:
-            raise ValueError(f"weights need {MAX_QUEUES} sources or fewer")
-    else:
-        names = known
-        queue = F.lit(0)
-        for i, name in enumerate(names):
-            queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(queue)
-    tokens = tokens.withColumns({"queue": queue.cast("int"), "block": F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)).cast("int")})
-    counts = {(r["queue"], r["block"]): r["n"] for r in tokens.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")).collect()}
-    sizes, base = [0] * max(1, len(names)), {}
-    for q, b in sorted(counts):
-        base[q, b] = sizes[q]
-        sizes[q] += counts[q, b]
-    shares = [int(weights.get(n, 0)) for n in names] if weights else None
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks))
-    width = encoder(tokenizer_path).width
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    by_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    given = F.lit(False)
+    for name in weights or ():
+        given = given | F.col("source").eqNullSafe(F.lit(name))
+    own = by_source.where((F.col("n") * window >= total) | given)  # window and the weights bound their number
+    found = sorted(((r["source"], r["n"]) for r in own.collect()), key=lambda s: (s[0] is not None, s[0] or ""))
+    names, sizes = [x for x, _ in found], [n for _, n in found]
+    rest = total - sum(sizes)
+    sizes += [rest] if rest or not sizes else []
+    shares = [int(weights.get(n, 0)) for n in names] + [0] * (len(sizes) - len(names)) if weights else None
+    each = max(BLOCK_IDS, -(-total // BLOCKS))
+    queues = spark.createDataFrame([(x is None, x or "", i, -(-n // each)) for i, (x, n) in enumerate(found)], "no_source boolean, own_source string, own_queue int, own_blocks int")
+    match = (F.col("source").isNull() == F.col("no_source")) & (F.coalesce("source", F.lit("")) == F.col("own_source"))
+    placed = tokens.join(F.broadcast(queues), match, "left")
+    queue = F.coalesce("own_queue", F.lit(len(names))).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.coalesce("own_blocks", F.lit(max(1, -(-rest // each))))).cast("int")
+    placed = placed.select("doc_id", "source", "n_tokens", "ids", queue.alias("queue"), block.alias("block"))
+    counts = sorted(tuple(r) for r in placed.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")).collect())
+    bases, before = [], [0] * len(sizes)
+    for q, b, n in counts:
+        bases.append((q, b, before[q]))
+        before[q] += n
+    placed = placed.join(F.broadcast(spark.createDataFrame(bases, "queue int, block int, base long")), ["queue", "block"])
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bases)))
+    width = width_of(tokenizer_path)
     names_out = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_turns_to("deal")
         schedule = Schedule(sizes, window, shares)
-        ahead = lru_cache(8)(lambda chunk: schedule.before(chunk * AHEAD, (chunk + 1) * AHEAD))
+        step = max(1, min(AHEAD, PLANNED // len(sizes)))
+        ahead = lru_cache(8)(lambda chunk: schedule.before(chunk * step, (chunk + 1) * step))
         here, at = None, 0
 
         def windows(q: int, at: int, end: int) -> tuple[int, np.ndarray, np.ndarray]:
             """The first window, ids of the queue before each, and where the queue's ids start in each, for ids at..end."""
-            chunk = schedule.near(q, at) // AHEAD
+            chunk = schedule.near(q, at) // step
             while chunk and ahead(chunk)[0, q] > at:
                 chunk -= 1
             while ahead(chunk)[-1, q] <= at:
                 chunk += 1
-            first, have, begin = chunk * AHEAD, [], []
+            first, have, begin = chunk * step, [], []
             while True:
                 table = ahead(chunk)
                 have.append(table[:-1, q])
@@ -187,30 +195,39 @@ def packed(
                     return first, np.concatenate(have), np.concatenate(begin)
                 chunk += 1
 
+        def pieces(part: pa.RecordBatch, at: int) -> tuple[pa.RecordBatch, int]:
+            """The pieces of some rows of one block, the first of which stands at id `at` of its queue, and where the next row stands."""
+            n, q = part.column(2).to_numpy(), part.column(4)[0].as_py()
+            docs = at + np.concatenate([[0], np.cumsum(n)])
+            end = int(docs[-1])
+            first, have, begin = windows(q, at, end)
+            s = np.union1d(docs[:-1], have[(have > at) & (have < end)])
+            e = np.append(s[1:], end)
+            doc, k = np.searchsorted(docs, s, "right") - 1, np.searchsorted(have, s, "right") - 1
+            ids = np.frombuffer(b"".join(part.column(3).to_pylist()), f"<u{width}").astype("<u4").view(np.uint8)
+            cuts = [memoryview(ids[x:y]) for x, y in zip(((s - at) * 4).tolist(), ((e - at) * 4).tolist(), strict=True)]
+            told = pa.array([bytes(x) for x in cuts], pa.binary()) if with_ids else pa.nulls(len(s), pa.binary())
+            columns = [s - docs[doc], e - s, told, [zlib.crc32(x) for x in cuts], n[doc], first + k, begin[k] + s - have[k]]
+            rows = pa.array(doc)
+            made = [part.column(0).take(rows), part.column(1).take(rows), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds[2:], strict=True))]
+            return pa.RecordBatch.from_arrays(made, names_out), end
+
         for batch in batches:
             n, q, b = (batch.column(i).to_numpy() for i in (2, 4, 5))
-            edges = np.flatnonzero((q[1:] != q[:-1]) | (b[1:] != b[:-1])) + 1
-            found: list[list] = [[] for _ in names_out]
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(n)], strict=True) if len(n) else ():
-                if here != (q[i], b[i]):
-                    here, at = (q[i], b[i]), base[int(q[i]), int(b[i])]
-                docs = at + np.concatenate([[0], np.cumsum(n[i:j])])
-                end = int(docs[-1])
-                first, have, begin = windows(int(q[i]), at, end)
-                s = np.union1d(docs[:-1], have[(have > at) & (have < end)])
-                e = np.append(s[1:], end)
-                doc, k = np.searchsorted(docs, s, "right") - 1, np.searchsorted(have, s, "right") - 1
-                ids = np.frombuffer(b"".join(batch.column(3).slice(i, j - i).to_pylist()), f"<u{width}").astype("<u4").tobytes()
-                pieces = [ids[x:y] for x, y in zip(((s - at) * 4).tolist(), ((e - at) * 4).tolist(), strict=True)]
-                columns = (doc + i, doc + i, s - docs[doc], e - s, pieces if with_ids else [None] * len(s), [zlib.crc32(x) for x in pieces], n[i:j][doc], first + k, begin[k] + s - have[k])
-                for own, column in zip(found, columns, strict=True):
-                    own.append(column)
-                at = end
-            if found[0]:
-                flat = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in found]
-                rows = pa.array(flat[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, t) for c, t in zip(flat[2:], kinds[2:], strict=True))], names_out)
-
-    placed = tokens.select("doc_id", "source", "n_tokens", "ids", "queue", "block").repartition(parts, "block")
-    placed = placed.sortWithinPartitions("block", "queue", "doc_id", "n_tokens", F.crc32("ids"))
+            edges = set((np.flatnonzero((q[1:] != q[:-1]) | (b[1:] != b[:-1])) + 1).tolist())
+            total, i = np.cumsum(n * width), 0
+            edges = sorted({0, len(n)} | edges) if len(n) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if here != (q[low], b[low]):
+                    here, at = (q[low], b[low]), batch.column(6)[low].as_py()
+                i = low
+                while i < high:
+                    upto = int(np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE, "right"))
+                    upto = min(high, max(i + 1, upto))
+                    made, at = pieces(batch.slice(i, upto - i), at)
+                    yield made
+                    i = upto
+
+    placed = placed.select("doc_id", "source", "n_tokens", "ids", "queue", "block", "base").repartition(parts, "queue", "block")
+    placed = placed.sortWithinPartitions("queue", "block", "doc_id", "n_tokens", F.crc32("ids"))
     return placed.mapInArrow(deal, "doc_id long, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
