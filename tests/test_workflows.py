@@ -196,15 +196,15 @@ def test_documents():
 
 def test_kind_ids_and_policy():
     r = kinds.built_in()
-    assert r.get(kinds.ALIAS + "transform") is r.get("transform") is r.get("@acme/transform") is r.get(kinds.OWN + "transform")
-    assert kinds.matches(kinds.ALIAS + "note", "note") and not kinds.matches("@acme/note", "note")
+    assert r.get(kinds.namespaces()[1] + "transform") is r.get("transform") is r.get("@acme/transform") is r.get(kinds.namespaces()[0] + "transform")
+    assert kinds.matches(kinds.namespaces()[1] + "note", "note") and not kinds.matches("@acme/note", "note")
     assert r.get("llm_branch").name == "llm_router" and len({id(k) for k in r.by_id.values()}) == 27
     g = document.import_document(chain(node("t", "transform", {"a": {"b": {"c": "x" * 30}}}))).graph
     assert not document.Policy().inspect(g)
     assert len(document.Policy(max_nodes=1, max_edges=1, max_depth=2).inspect(g)) == 3
     assert any("30 characters" in i.message for i in document.Policy(max_string=10).inspect(g))
     assert len(document.Policy.untrusted().inspect(g)) == 3
-    assert [i.severity for i in document.manifest_issues({"name": kinds.OWN + "x", "version": "1.0"})] == ["warning"]
+    assert [i.severity for i in document.manifest_issues({"name": kinds.namespaces()[0] + "x", "version": "1.0"})] == ["warning"]
     assert document.manifest_issues({"name": "x"}) and not document.manifest_issues({"name": "@a/b", "version": "1", "aliases": []})
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: Texts that are false, after trimming and in lower case.
 FALSE_TEXTS = ("", "0", "false", "no", "off", "null")
 WHITE = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-PAUSE = "fancy-flow:pause:"  # fixed values: the prefixes of a pause's text
-OLD_PAUSES = {"awaiting-approval:": "approval", "awaiting-input:": "input"}
+#: How a pause's text begins; a host that shares its claims with another runner gives that one's in its place.
+PAUSE = "weftline:pause:"
+OLD_PAUSES = {"awaiting-approval:": "approval", "awaiting-input:": "input"}  # fixed values: prefixes of old
 
 
 def trimmed(text: Column) -> Column:
@@ -91,28 +92,28 @@ def satisfies_range(version: Column, spec: Column) -> Column:
     return F.coalesce(F.exists(F.split(spec, r"\|\|"), clause), F.lit(False))
 
 
-def is_pause(reason: Column) -> Column:
-    out = reason.startswith(PAUSE)
+def is_pause(reason: Column, prefix: str = PAUSE) -> Column:
+    out = reason.startswith(prefix)
     for prefix in OLD_PAUSES:
         out = out | reason.startswith(prefix)
     return out
 
 
-def decoded_pause(reason: Column) -> Column:
+def decoded_pause(reason: Column, prefix: str = PAUSE) -> Column:
     """(node_id, awaiting, detail) of a pause's text; null for any other text, a broken pause too. detail is JSON or null."""
-    body = F.from_json(F.substring(reason, F.lit(len(PAUSE) + 1), F.length(reason)), "nodeId string, awaiting string, detail string")
+    body = F.from_json(F.substring(reason, F.lit(len(prefix) + 1), F.length(reason)), "nodeId string, awaiting string, detail string")
     made = F.when(body["nodeId"].isNotNull() & body["awaiting"].isNotNull(), F.struct(body["nodeId"].alias("node_id"), body["awaiting"].alias("awaiting"), body["detail"].alias("detail")))
-    out = F.when(reason.startswith(PAUSE), made)
+    out = F.when(reason.startswith(prefix), made)
     for prefix, awaiting in OLD_PAUSES.items():
         old = F.struct(F.substring(reason, F.lit(len(prefix) + 1), F.length(reason)).alias("node_id"), F.lit(awaiting).alias("awaiting"), F.lit(None).cast("string").alias("detail"))
         out = out.when(reason.startswith(prefix), old)
     return out
 
 
-def encoded_pause(node_id: Column, awaiting: Column, detail: Column | None = None) -> Column:
+def encoded_pause(node_id: Column, awaiting: Column, detail: Column | None = None, prefix: str = PAUSE) -> Column:
     parts = [node_id.alias("nodeId"), awaiting.alias("awaiting")]
     text = F.to_json(F.struct(*parts))
     if detail is None:
-        return F.concat(F.lit(PAUSE), text)
+        return F.concat(F.lit(prefix), text)
     with_detail = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"detail":'), detail, F.lit("}"))
-    return F.concat(F.lit(PAUSE), F.when(detail.isNull(), text).otherwise(with_detail))
+    return F.concat(F.lit(prefix), F.when(detail.isNull(), text).otherwise(with_detail))

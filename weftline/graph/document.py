@@ -320,15 +320,15 @@ class Policy:
 
 def manifest_issues(manifest: object) -> list[Issue]:
     """What keeps a kind's manifest from being taken."""
-    from weftline.graph.kinds import OWN, is_namespaced
+    from weftline.graph.kinds import is_namespaced, namespaces
 
     if not isinstance(manifest, dict):
         return [Issue("error", "Manifest is not an object.")]
     found, name = [], manifest.get("name")
     if not isinstance(name, str) or not is_namespaced(name) or not name.split("/", 1)[1]:
         found.append(Issue("error", "A manifest's name must be @scope/name."))
-    elif name.startswith(OWN):
-        found.append(Issue("warning", f"{OWN} is the first party's namespace."))
+    elif name.startswith(namespaces()[0]):
+        found.append(Issue("warning", f"{namespaces()[0]} is the first party's namespace."))
     if not isinstance(manifest.get("version"), str) or not manifest["version"]:
         found.append(Issue("error", "A manifest needs a version."))
     if "aliases" in manifest and not isinstance(manifest["aliases"], list):

@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-OWN, ALIAS = "@particle-academy/", "@fancy/"  # fixed values: the namespaces a document may spell
+#: Namespaces in which a document may spell the catalogue's own kinds, the first being the one that exports write. A
+#: host whose documents come from elsewhere names theirs with use_namespaces().
+_namespaces = ["@weftline/", "@weft/"]
+
+
+def use_namespaces(*names: str) -> None:
+    """Take these for the catalogue's own namespaces from now on, each with its @ and /."""
+    if not names or not all(is_namespaced(n) and n.endswith("/") for n in names):
+        raise ValueError("a namespace is written @name/")
+    _namespaces[:] = names
+
+
+def namespaces() -> tuple[str, ...]:
+    return tuple(_namespaces)
 
 
 def is_namespaced(name: str) -> bool:
@@ -17,18 +30,18 @@ def bare(name: str) -> str:
 
 
 def canonical(name: str) -> str:
-    return name if is_namespaced(name) else OWN + name
+    return name if is_namespaced(name) else _namespaces[0] + name
 
 
 def variants(name: str) -> list[str]:
     """All spellings under which a kind may be asked for."""
     b = bare(name)
-    return list(dict.fromkeys([name, OWN + b, b, ALIAS + b]))
+    return list(dict.fromkeys([name, _namespaces[0] + b, b, *(n + b for n in _namespaces[1:])]))
 
 
 def matches(name: str, wanted: str) -> bool:
     """Whether name is one of the own spellings of the bare name wanted; another namespace's is not."""
-    return name in (wanted, OWN + wanted, ALIAS + wanted)
+    return name == wanted or name in [n + wanted for n in _namespaces]
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ data, so one pass over the runs' claims, grouped by run, settles every run's fro
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.graph.document import Graph
 from weftline.graph.kinds import Registry, built_in, matches, variants
+from weftline.sources.shared import cut
 
 SETTLED, HELD = ("completed", "skipped", "failed"), ("claimed", "paused")
 
@@ -69,22 +71,86 @@ def dispatched(fronts: DataFrame, max_concurrent: int = 1) -> DataFrame:
     return fronts.withColumn("dispatch", F.slice("ready", F.lit(1), free))
 
 
+#: A row of claims, besides its run and node.
+CLAIM = "status string, ports array<string>, output string, error string, owner string, attempts int, first_attempt_at bigint"
+_FIELDS = [f.split()[0] for f in CLAIM.split(", ")]
+CHANGES = ("claim", "complete", "skip", "fail", "pause", "release")
+
+
+def folded(changes: DataFrame, claims: DataFrame, key: str = "run_key", outcomes: bool = False) -> DataFrame:
+    """claims after changes (run_key, node_id, seq, op, owner, at, output, ports, error), in order of seq for each run and node.
+
+    claim takes a free node, or enters again for the owner who holds it, with one attempt more; the time of the
+    first attempt stays. skip leaves a settled node as it is. complete, fail and pause set what they say, of a
+    node that no one claimed too, and release takes the row away. With `outcomes` the result is instead a row a
+    change: seq, op and applied, false for a claim that was lost and a skip of a settled node.
+
+    Changes of one node of one run are folded together, as many as a batch has; claims and changes meet by run and node.
+    """
+    asked = changes.groupBy(key, "node_id").agg(F.array_sort(F.collect_list(F.struct("seq", *(_given(changes, n, t).alias(n) for n, t in (("op", "string"), ("owner", "string"), ("at", "bigint"), ("output", "string"), ("ports", "array<string>"), ("error", "string")))))).alias("changes"))
+    known = claims.select(key, "node_id", F.struct(*(_given(claims, n, t).alias(n) for n, t in (f.split(" ") for f in CLAIM.split(", ")))).alias("had"))
+    rows = known.join(asked, [key, "node_id"], "full_outer")
+    none = F.expr(f"cast(null as struct<{', '.join(f.replace(' ', ':') for f in CLAIM.split(', '))}>)")
+    empty = F.array().cast("array<string>")
+
+    def row(**parts: Column) -> Column:
+        return F.struct(*(parts[n].alias(n) for n in _FIELDS))
+
+    def told(state: Column, applied: Column) -> Column:
+        return F.struct(state.alias("state"), applied.alias("applied"))
+
+    def step(s: Column, c: Column) -> Column:
+        there = s.isNotNull()
+        same = {n: s[n] for n in _FIELDS} | {"attempts": F.coalesce(s["attempts"], F.lit(0)), "ports": F.coalesce(s["ports"], empty)}
+        null = F.lit(None).cast("string")
+        fresh = row(status=F.lit("claimed"), ports=empty, output=null, error=null, owner=c["owner"], attempts=F.lit(1), first_attempt_at=c["at"])
+        own = F.coalesce(s["status"].isin(*HELD) & (s["owner"] == c["owner"]), F.lit(False))
+        again = row(**(same | {"status": F.lit("claimed"), "attempts": same["attempts"] + 1}))
+        set_to = lambda status, **more: row(**(same | {"status": F.lit(status), "ports": empty} | more))
+        yes, settled = F.lit(True), F.coalesce(s["status"].isin(*SETTLED), F.lit(False))
+        return (
+            F.when((c["op"] == "claim") & ~there, told(fresh, yes))
+            .when((c["op"] == "claim") & own, told(again, yes))
+            .when(c["op"] == "claim", told(s, F.lit(False)))
+            .when((c["op"] == "skip") & settled, told(s, F.lit(False)))
+            .when(c["op"] == "skip", told(set_to("skipped"), yes))
+            .when(c["op"] == "complete", told(set_to("completed", output=c["output"], ports=F.coalesce(c["ports"], empty), error=null), yes))
+            .when(c["op"] == "fail", told(set_to("failed", error=c["error"]), yes))
+            .when(c["op"] == "pause", told(set_to("paused", error=c["error"]), yes))
+            .when(c["op"] == "release", told(none, there))
+            .otherwise(told(s, F.lit(False)))
+        )
+
+    first = F.struct(F.col("had").alias("state"), F.expr("cast(array() as array<boolean>)").alias("applied"))
+
+    def fold(done: Column, c: Column) -> Column:
+        return let(step(done["state"], c), lambda t: F.struct(t["state"].alias("state"), F.concat(done["applied"], F.array(t["applied"])).alias("applied")))
+
+    end = F.aggregate(F.coalesce("changes", F.expr("array()").cast(asked.schema["changes"].dataType)), first, fold)
+    rows = rows.select(key, "node_id", "changes", end.alias("end"))
+    if outcomes:
+        each = rows.where("changes is not null").select(key, "node_id", F.explode(F.arrays_zip(F.col("changes").alias("c"), F.col("end.applied").alias("a"))).alias("z"))
+        return each.select(key, "node_id", "z.c.seq", "z.c.op", F.col("z.a").alias("applied"))
+    return rows.where("end.state is not null").select(key, "node_id", "end.state.*")
+
+
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
 def claimed(requests: DataFrame, claims: DataFrame, now: Column, key: str = "run_key") -> DataFrame:
-    """claims after requests (run_key, node_id, owner, seq): the first request takes a free node, and the owner
-    who holds it enters again with one attempt more; the time of the first attempt stays. Others change nothing."""
-    first = requests.withColumn("n", F.row_number().over(Window.partitionBy(key, "node_id").orderBy("seq"))).where("n = 1").drop("n", "seq")
-    at = claims.withColumnRenamed("owner", "had")
-    both = at.join(first, [key, "node_id"], "full_outer")
-    fresh = F.col("status").isNull()
-    again = F.col("status").isin(*HELD) & (F.col("had") == F.col("owner"))
-    return both.select(
-        key,
-        "node_id",
-        F.when(fresh | F.coalesce(again, F.lit(False)), F.lit("claimed")).otherwise(F.col("status")).alias("status"),
-        F.coalesce("had", "owner").alias("owner"),
-        F.when(fresh, F.lit(1)).when(F.coalesce(again, F.lit(False)), F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
-        F.when(fresh, now).otherwise(F.col("first_attempt_at")).alias("first_attempt_at"),
-    )
+    """claims after requests (run_key, node_id, owner, seq), in order of seq: see folded()."""
+    asked = requests.select(key, "node_id", "owner", "seq", F.lit("claim").alias("op"), now.alias("at"))
+    return folded(asked, claims, key).select(key, "node_id", "status", "owner", "attempts", "first_attempt_at")
+
+
+def owner_token(run_key: Column, node_id: Column, n: Column) -> Column:
+    """run_key:node_id:n, n being how many were given out before and this one; a queue's workers bring tokens of their own."""
+    return F.concat(run_key.cast("string"), F.lit(":"), node_id, F.lit(":"), n.cast("string"))
 
 
 @dataclass
@@ -123,11 +189,141 @@ def submitted(submissions: DataFrame, waiting: DataFrame, key: str = "run_key")
     return ranked.where("good and n = 1").drop("n", "good", "awaited"), ranked.where("not (good and n = 1)").drop("n", "good", "awaited")
 
 
-def run_to_completion(step, fronts, most: int = 10_000) -> int:
-    """Call step(front) on the frontier until no run has a ready node; the number of passes. Each pass is a set of runs."""
-    for n in range(most):
-        front = fronts()
-        if front.where(F.size("ready") + F.size("skipped") > 0).isEmpty():
-            return n
-        step(front)
-    raise RuntimeError(f"no end after {most} passes")
+STOPPED, STUCK = "the run is waiting on work held elsewhere", "the run cannot progress; unsettled nodes: "  # fixed values
+UNREACHED = "the engine skipped this node: no inbound edge was active"  # fixed value
+
+
+@dataclass
+class Coordinator:
+    """A graph's durable runs, all of a table's at once: each pass is a few jobs over every run that can go on.
+
+    runs has a row a run with the entry inputs; claims are kept as a table that every pass writes anew to the
+    shared folder, so that a lost executor or driver loses one pass at most. `resume_from` continues from claims kept.
+    """
+
+    graph: Graph
+    runs: DataFrame
+    key: str = "run_key"
+    seeds: object = None
+    host: object = None
+    kinds: object = True
+    retry: RetryPolicy = field(default_factory=RetryPolicy)
+    max_concurrent: int = 1
+    now: Column = field(default_factory=lambda: F.lit(0).cast("bigint"))
+    claims: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.max_concurrent < 0:
+            raise ValueError("max_concurrent must not be negative")
+        if self.claims is None:
+            none = (F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in ("node_id string, " + CLAIM).split(", ")))
+            self.claims = self.runs.select(self.key, *none).where(F.lit(False))
+        self.passes = 0
+
+    def _keep(self, claims: DataFrame) -> None:
+        self.claims = cut(claims)
+
+    def tries(self) -> Column:
+        registry = None if self.kinds is True else self.kinds
+        out = F.lit(1)
+        for n in self.graph.nodes:
+            out = F.when(F.col("node_id") == n.id, F.lit(self.retry.of(n.kind, registry or None)[0])).otherwise(out)
+        return out
+
+    def advance(self, only: DataFrame | None = None) -> DataFrame:
+        """Settle what is skipped; (run_key, dispatch): the nodes of each run that may start now."""
+        runs = self.runs if only is None else self.runs.join(only, self.key, "left_semi")
+        front = cut(frontier(self.graph, runs, self.claims, self.key))
+        skips = front.select(self.key, F.posexplode("skipped").alias("seq", "node_id"), F.lit("skip").alias("op"))
+        self._keep(folded(skips, self.claims, self.key))
+        return dispatched(front, self.max_concurrent).select(self.key, "dispatch")
+
+    def run_nodes(self, targets: DataFrame) -> DataFrame:
+        """Claim, replay and settle targets (run_key, node_id, owner, place); (run_key, node_id, place, status, output, ports, error, attempt, retryable).
+
+        Each node is replayed behind a fence: what is completed is published again, the node itself runs, and no
+        other does. A node that fails with tries left stays claimed, for its owner to enter again. What comes
+        after a run's first pause or failure, in order of place, is let go, to be dispatched again if the run goes on.
+        """
+        from weftline.plans.compiled import compile_graph, with_stored
+
+        asked = targets.select(self.key, "node_id", "place", F.col("place").alias("seq"), F.lit("claim").alias("op"), "owner", self.now.alias("at"))
+        won = folded(asked, self.claims, self.key, outcomes=True).where("applied").select(self.key, "node_id")
+        claims = cut(folded(asked, self.claims, self.key))
+        mine = claims.join(won, [self.key, "node_id"], "left_semi").select(self.key, "node_id", "attempts", "first_attempt_at", "owner")
+        by_run = mine.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("attempts", "first_attempt_at")))).alias("__targets"))
+        rows, resume = with_stored(self.graph, self.runs.join(by_run, self.key), claims, self.key)
+        attempts = {n.id: F.try_element_at("__targets", F.lit(n.id)) for n in self.graph.nodes}
+        may = {k: a.isNotNull() for k, a in attempts.items()}
+        seeds = self.seeds if self.seeds is not None else [c for c in self.runs.columns if c != self.key]
+        run = compile_graph(self.graph, rows, self.key, seeds, self.host, self.kinds, resume=resume, may_run=may, attempts=attempts)
+        told = run.outcomes()
+        own = targets.select(self.key, "node_id", "place").join(mine, [self.key, "node_id"])
+        told = own.join(told, [self.key, "node_id"], "left").withColumn("tries", self.tries())
+        status = F.coalesce("status", F.lit("skipped"))
+        error = F.when(status == "skipped", F.lit(UNREACHED)).otherwise(F.col("error"))
+        retry = (status == "failed") & (F.col("attempts") < F.col("tries"))
+        told = told.withColumns({"status": status, "error": error, "retryable": retry})
+        ends = F.min(F.when(F.col("status").isin("paused", "failed"), F.col("place"))).over(Window.partitionBy(self.key))
+        told = cut(told.withColumn("until", ends))
+        counted = F.col("until").isNull() | (F.col("place") <= F.col("until"))
+        op = F.when(~counted, F.when(F.col("attempts") == 1, "release")).when(F.col("retryable"), F.lit(None)).otherwise(F.element_at(F.create_map(*(F.lit(x) for x in ("completed", "complete", "skipped", "skip", "failed", "fail", "paused", "pause"))), F.col("status")))
+        settled = told.withColumn("op", op).where("op is not null").select(self.key, "node_id", F.col("place").alias("seq"), "op", "output", "ports", "error")
+        self._keep(folded(settled, claims, self.key))
+        return told.where(counted).select(self.key, "node_id", "place", "status", "output", "ports", "error", F.col("attempts").alias("attempt"), "first_attempt_at", "retryable", "owner")
+
+    def pass_on(self, only: DataFrame | None = None) -> DataFrame | None:
+        """One pass over all runs, or those of `only`: advance, run what may start, try again what may. None if nothing may."""
+        ready = self.advance(only)
+        self.passes += 1
+        targets = ready.select(self.key, F.posexplode("dispatch").alias("place", "node_id"))
+        targets = cut(targets.withColumn("owner", owner_token(F.col(self.key), F.col("node_id"), F.lit(self.passes))))
+        if targets.isEmpty():
+            return None
+        done = self.run_nodes(targets)
+        while True:
+            again = cut(done.where("retryable").select(self.key, "node_id", "place", "owner"))
+            if again.isEmpty():
+                return done
+            done = done.where("not retryable").unionByName(self.run_nodes(again))
+
+    def run_to_completion(self, most: int | None = None) -> DataFrame:
+        """Passes until no run goes on, or `most` of them; then results(). A run that pauses or fails goes no further."""
+        going = self.runs.select(self.key)
+        for _ in range(max(10_000, len(self.graph.nodes) + 1) if most is None else most):
+            done = self.pass_on(going)
+            if done is None:
+                break
+            stopped = done.where("status in ('paused', 'failed')").select(self.key).distinct()
+            going = cut(going.join(stopped, self.key, "left_anti"))
+        return self.results()
+
+    def results(self) -> DataFrame:
+        """run_key, ok, outputs (JSON, in the order of nodes), error and pause, the text of the gate that a run waits at."""
+        order = {n.id: i for i, n in enumerate(self.graph.nodes)}
+        by_run = self.claims.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("status", "output", "error")))).alias("state"))
+        rows = self.runs.select(self.key).join(by_run, self.key, "left")
+        at = {n: F.try_element_at("state", F.lit(n)) for n in order}
+        none = F.lit(None).cast("string")
+        parts = [F.when(at[n]["status"] == "completed", F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), F.coalesce(at[n]["output"], F.lit("null")))) for n in order]
+        first = lambda status: F.get(F.array_compact(F.array(*(F.when(at[n]["status"] == status, F.coalesce(at[n]["error"], F.lit("node failed"))) for n in order))), F.lit(0))
+        held = F.array_compact(F.array(*(F.when(at[n]["status"].isin(*HELD), F.lit(n)) for n in order)))
+        open_ = F.array_compact(F.array(*(F.when(~F.coalesce(at[n]["status"].isin(*SETTLED), F.lit(False)), F.lit(n)) for n in order)))
+        paused, failed = first("paused"), first("failed")
+        error = F.when(paused.isNotNull(), none).when(failed.isNotNull(), failed).when(F.size(held) > 0, F.lit(STOPPED)).when(F.size(open_) > 0, F.concat(F.lit(STUCK), F.array_join(open_, ", ")))
+        outputs = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+        return rows.select(self.key, (paused.isNull() & error.isNull()).alias("ok"), outputs.alias("outputs"), error.alias("error"), paused.alias("pause"))
+
+
+def replayed(graph: Graph, runs: DataFrame, claims: DataFrame, node_id: str | None = None, key: str = "run_key", seeds: object = None, host: object = None, kinds: object = True):
+    """The graph replayed up to one node: what is completed is published again, that node runs, all others are fenced.
+
+    With node_id None nothing runs: a probe of what the completed nodes light. The result is a compiled Run;
+    its published() has the ports that were lit and its outcomes() what the node gave.
+    """
+    from weftline.plans.compiled import compile_graph, with_stored
+
+    rows, resume = with_stored(graph, runs, claims, key)
+    may = {n.id: F.lit(n.id == node_id) for n in graph.nodes}
+    names = seeds if seeds is not None else [c for c in runs.columns if c != key]
+    return compile_graph(graph, rows, key, names, host, kinds, resume=resume, may_run=may)

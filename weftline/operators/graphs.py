@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import cut
+
 
 def floating(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> DataFrame:
     """Nodes of graphs with more than one node that no edge touches; those that may_float are not named."""
@@ -26,17 +28,16 @@ def dangling(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> DataF
     return lost[0].unionByName(lost[1]).distinct()
 
 
-def levels(nodes: DataFrame, edges: DataFrame, key: str = "graph_id", most: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> DataFrame:
     """Each node's longest path from a seed; nodes on or behind a cycle have none. One join a level."""
     links = edges.select(key, "source", "target").distinct()
     waiting = links.groupBy(key, F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("waits"))
-    front = nodes.select(key, "node_id").join(waiting, [key, "node_id"], "left_anti").withColumn("level", F.lit(0)).checkpoint()
+    front = cut(nodes.select(key, "node_id").join(waiting, [key, "node_id"], "left_anti").withColumn("level", F.lit(0)))
     done = front
-    for level in range(1, most):
+    while True:
         met = done.withColumnRenamed("node_id", "source").join(links, [key, "source"]).select(key, F.col("target").alias("node_id"), "level")
         ready = met.groupBy(key, "node_id").agg(F.count(F.lit(1)).alias("have"), F.max("level").alias("top")).join(waiting, [key, "node_id"]).where("have = waits")
-        front = ready.join(done.select(key, "node_id"), [key, "node_id"], "left_anti").select(key, "node_id", (F.col("top") + 1).alias("level")).checkpoint()
+        front = cut(ready.join(done.select(key, "node_id"), [key, "node_id"], "left_anti").select(key, "node_id", (F.col("top") + 1).alias("level")))
         if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    return done
+            return done
+        done = cut(done.unionByName(front))

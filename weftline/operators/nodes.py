@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import is_pause, word_count
+from weftline.functions.scalars import encoded_pause, is_pause, word_count
 from weftline.graph.document import Node
 from weftline.plans.values import (
     Arr,
@@ -76,6 +76,22 @@ class Step:
     def log(self, message: Column, level: str = "info") -> None:
         self.logs.append((level, message))
 
+    def pause(self, when: Cond, awaiting: str, detail: Column | None = None) -> None:
+        """Park the run on this node until someone answers; detail is JSON."""
+        self.abort(when, encoded_pause(F.lit(self.node.id), F.lit(awaiting), detail))
+
+    @property
+    def attempt(self) -> Column:
+        """Which try of this node it is, from 1."""
+        told = self.compiler.root.attempts.get(self.node.id)
+        return F.lit(1) if told is None else F.coalesce(told["attempts"], F.lit(1))
+
+    @property
+    def first_attempt_at(self) -> Column:
+        """When its first try was claimed, in milliseconds; null outside of durable runs."""
+        told = self.compiler.root.attempts.get(self.node.id)
+        return F.lit(None).cast("bigint") if told is None else told["first_attempt_at"]
+
 
 def lit(value: str) -> Scalar:
     return Scalar(F.lit(value), "string", value, True)
@@ -156,6 +172,9 @@ def notify(step: Step) -> Value:
     message = text(step.value("message"))
     step.log(F.concat(F.lit("notify -> "), text(channel), F.lit(":"), text(to)))
     step.effects.append(F.to_json(F.struct(F.lit("notify").alias("effect"), text(channel).alias("channel"), text(to).alias("to"), message.alias("message"))))
+    if step.compiler.host.notifier:
+        failed = step.compiler.host.notifier(text(channel), text(to), message)
+        step.abort(failed.isNotNull(), failed)
     return wrapper(sent=of_json(True), channel=channel, to=to, message=Scalar(message, "string"))
 
 
@@ -209,6 +228,9 @@ def for_each(step: Step) -> Value:
     if lane is None:
         return wrapper(count=count, items=items)
     name = f'for_each "{step.node.id}"'
+    if step.compiler.inline:  # Spark tells no types within a lambda, which a lane's columns need
+        step.abort(True, f"{name} with a lane cannot run within another loop's lane")
+        return Null()
     if not lane.nodes:
         step.abort(True, f"{name} has an item edge but its derived lane is empty")
         return Null()
@@ -383,10 +405,16 @@ def data_store(step: Step) -> Value:
     return step.compiler.stored(table, step.option("key"))
 
 
+MODEL_OPTIONS = ("provider", "model", "system", "temperature", "max_tokens", "tools", "response_schema")  # fixed values
+
+
 def llm_call(step: Step) -> Value:
+    """The host's model on the prompt and the options that are set; without one, the prompt again and its words."""
     model = step.option("model")
     prompt = text(step.value("prompt"))
     step.log(F.lit(f"llm_call -> {model if isinstance(model, str) else 'model'}"))
+    if step.compiler.host.model:
+        return step.compiler.host.model(prompt, Obj({k: (True, of_json(v)) for k in MODEL_OPTIONS if (v := step.option(k)) is not None}))
     words = Scalar(word_count(prompt).cast("bigint"), "bigint")
     said = Scalar(F.concat(F.lit(f"[{model if isinstance(model, str) else 'echo'}] "), prompt), "string")
     return wrapper(text=said, usage=wrapper(input_tokens=words, output_tokens=words))
@@ -409,6 +437,8 @@ def tool_use(step: Step) -> Value:
             args = choose(kind.startswith("OBJECT"), args, wrapper(value=args))
         elif not isinstance(args, Obj) or args.null is not False:
             args = wrapper(value=args)
+    if step.compiler.host.tool:
+        return step.compiler.host.tool(step.option_text("tool", ""), args)
     return wrapper(tool=of_json(step.option("tool", "")), args=args)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,9 @@ class Host:
     memory: DataFrame | None = None  # key, value (JSON)
     http: Callable[[str, Column, object, Value], Obj] | None = None
     search: Callable[[Scalar, int], Value] | None = None
+    model: Callable[[Column, Obj], Value] | None = None  # of the prompt and the node's options
+    tool: Callable[[str, Value], Value] | None = None  # of the tool's name and its arguments
+    notifier: Callable[[Column, Column, Column], Column] | None = None  # of channel, receiver and message: null, or why it failed
 
     def executor(self, node: Node) -> Operator | None:
         """By node id, then by any spelling of the kind, then the one for all."""
@@ -58,11 +61,17 @@ class Host:
 
 @dataclass
 class Published:
-    """A port that a node may have published: when, its name, what it carries."""
+    """A port that a node may have published: when, its name, what it carries. With many, port is an array of names."""
 
     when: Cond
     port: str | Column
     value: Value
+    many: bool = False
+
+    def names(self) -> Column:
+        """The names as an array, null where nothing is published."""
+        names = self.port if self.many else F.array(F.lit(self.port) if isinstance(self.port, str) else self.port)
+        return F.when(col_of(self.when), names)
 
 
 class Compiler:
@@ -87,6 +96,10 @@ class Compiler:
         self.pending: dict[str, Column] = {}
         self.skipped: dict[str, Cond] = {}
         self.failed: dict[str, Cond] = {}
+        self.may_run: dict[str, Column] | None = None  # None: every node may
+        self.attempts: dict[str, Column] = {}
+        self.ran: dict[str, Cond] = {}
+        self.errors: dict[str, Column] = {}
 
     # -- columns of the frame
 
@@ -114,7 +127,7 @@ class Compiler:
 
     # -- the walk
 
-    def run(self, seeds: dict[str, Obj], resumed: dict[str, Value] | None = None) -> None:
+    def run(self, seeds: dict[str, Obj], resumed: dict[str, tuple[Cond, Value]] | None = None) -> None:
         order = self.graph.order()
         if order is None:
             self.err = F.lit(CYCLE)
@@ -136,7 +149,9 @@ class Compiler:
         when: Cond = False
         value: Value = Null()
         for p in self.published.get(edge.source, ()):
-            if isinstance(p.port, Column):
+            if p.many:
+                here = all_of(p.when, F.coalesce(F.array_contains(p.port, edge.out), F.lit(False)))
+            elif isinstance(p.port, Column):
                 here = all_of(p.when, F.coalesce(p.port == edge.out, F.lit(False)))
             else:
                 here = p.when if p.port == edge.out else False
@@ -157,15 +172,17 @@ class Compiler:
             fields = {k: (True, v) for k, (_, v) in fields.items()}  # a node that runs has it
         return Obj(fields)
 
-    def visit(self, node: Node, seed: Obj, stored: Value | None) -> None:
+    def visit(self, node: Node, seed: Obj, stored: tuple[Cond, Value] | None) -> None:
         clear = self.clear()
         incoming = self.graph.incoming(node.id)
         self.undelivered(node, incoming, clear)
         gate: Cond = not incoming
         for edge in incoming:
             gate = either(gate, self.lit(edge)[0])
-        fresh = True if stored is None else is_null(stored)
-        active = self.held(all_of(clear, gate, fresh))
+        fresh = True if stored is None else no(stored[0])
+        may = True if self.may_run is None else self.may_run.get(node.id, False)
+        active = self.held(all_of(clear, gate, fresh, may))
+        self.ran[node.id] = active
         self.active[node.id] = active
         self.skipped[node.id] = all_of(clear, fresh, no(gate))
         self.event(self.skipped[node.id], type="node-status", node_id=node.id, status="idle", text="skipped")
@@ -198,20 +215,24 @@ class Compiler:
                 held = F.lit(when) if isinstance(when, bool) else F.coalesce(when, F.lit(False))
                 message = F.when(held, text) if message is None else message.when(held, text)
             message = F.when(col_of(active), message)
-            self.err = self.keep(message if self.err is None else F.coalesce(self.err, message))
-            failed = self.failed[node.id] = all_of(active, self.err.isNotNull())
-            self.event(failed, type="node-status", node_id=node.id, status="error", text=self.err)
-            self.event(failed, type="log", node_id=node.id, level="error", message=self.err)
-            done = self.held(all_of(active, self.err.isNull()))
+            if self.may_run is None:
+                err = self.err = self.keep(message if self.err is None else F.coalesce(self.err, message))
+            else:  # nodes behind fences fail each for itself
+                err = self.keep(message)
+            self.errors[node.id] = err
+            failed = self.failed[node.id] = all_of(active, err.isNotNull())
+            self.event(failed, type="node-status", node_id=node.id, status="error", text=err)
+            self.event(failed, type="log", node_id=node.id, level="error", message=err)
+            done = self.held(all_of(active, err.isNull()))
         self.effects += [(done, node.id, e) for e in step.effects]
         if stored is not None:
-            result = choose(no(fresh), stored, result)
+            result = choose(no(fresh), stored[1], result)
             done = self.held(either(all_of(clear, no(fresh)), done))
         result = leaves(result, self.keep)
         self.result[node.id], self.done[node.id] = result, done
-        self.published[node.id] = [Published(self.held(all_of(done, p.when)), p.port if isinstance(p.port, str) else self.keep(p.port), p.value) for p in self.ports(node, result) if p.when is not False]
+        self.published[node.id] = [Published(self.held(all_of(done, p.when)), p.port if isinstance(p.port, str) else self.keep(p.port), p.value, p.many) for p in self.ports(node, result) if p.when is not False]
         for p in self.published[node.id]:
-            self.event(p.when, type="node-output", node_id=node.id, port_id=p.port, value=json_text(p.value))
+            self.event(p.when, type="node-output", node_id=node.id, port_id=p.port, many=p.many, value=json_text(p.value))
         self.event(done, type="node-status", node_id=node.id, status="done", text=None if stored is None else F.when(col_of(no(fresh)), F.lit("resumed")))
         if not self.inline:
             self.flush()
@@ -233,10 +254,10 @@ class Compiler:
         out: list[Published] = []
         left: Cond = True
 
-        def take(when: Cond, port: str | Column, value: Value) -> None:
+        def take(when: Cond, port: str | Column, value: Value, many: bool = False) -> None:
             if left is False or when is False:
                 return
-            out.append(Published(all_of(left, when), port, value))
+            out.append(Published(all_of(left, when), port, value, many))
 
         if isinstance(result, Obj):
             fields, whole = result.fields, no(result.null)
@@ -251,9 +272,9 @@ class Compiler:
             if isinstance(many, Arr):
                 when = all_of(whole, some, many.col.isNotNull())
                 if isinstance(many.element, T.StringType):
-                    names = self.handles(node)
-                    for h in names:
-                        take(all_of(when, F.coalesce(F.array_contains(many.col, h), F.lit(False))), h, payload)
+                    take(when, F.array_compact(many.col), payload, many=True)
+                elif isinstance(many.element, T.VariantType):
+                    take(when, _texts(many.col), payload, many=True)
                 left = all_of(left, no(when))
             elif isinstance(many, Obj):
                 when = all_of(whole, some, no(many.null))
@@ -273,8 +294,7 @@ class Compiler:
             take(when, get("__port", "string"), Dyn(value))
             left = ~when
             listed = F.coalesce(F.schema_of_variant(get("__ports", "variant")).startswith("ARRAY"), F.lit(False))
-            for h in self.handles(node):
-                take(all_of(listed, F.coalesce(F.array_contains(get("__ports", "array<string>"), h), F.lit(False))), h, Dyn(value))
+            take(listed, _texts(get("__ports", "array<variant>")), Dyn(value), many=True)
             mapped = F.coalesce(F.schema_of_variant(get("__ports", "variant")).startswith("OBJECT"), F.lit(False))
             own = get("__ports", "map<string,variant>")
             for h in self.handles(node):
@@ -301,7 +321,7 @@ class Compiler:
             if when is False:
                 continue
             message = F.lit(f'Edge {edge.id} reads port "{edge.out}" from node {edge.source}, which never publishes it — nothing would reach {edge.target} at run time.')
-            names = F.array_compact(F.array(*(F.when(col_of(p.when), F.lit(p.port) if isinstance(p.port, str) else p.port) for p in self.published.get(edge.source, ())), F.lit(None).cast("string")))
+            names = _all_names(self.published.get(edge.source, ()))
             parts = [message, F.when(F.size(names) > 0, F.concat(F.lit(" Available: "), F.array_join(F.array_distinct(names), ", "), F.lit("."))).otherwise(F.lit(""))]
             kind = self.known.get(source.kind)
             if kind and isinstance(kind.shape, tuple) and edge.out in kind.shape:
@@ -326,7 +346,7 @@ class Compiler:
         return Graph([n for n in self.graph.nodes if n.id in body], [e for e in self.graph.edges if e.source in body and e.target in body])
 
     def lane_result(self, step: Step, lane: Graph, item: Value) -> tuple[Column, Column]:
-        host = Host({k: v for k, v in self.host.executors.items() if self.graph.node(k) is None}, self.host.workflows, self.host.store, self.host.memory, self.host.http, self.host.search)
+        host = replace(self.host, executors={k: v for k, v in self.host.executors.items() if self.graph.node(k) is None})
         inner = Compiler(lane, None, host, self.kinds, self.depth + 1, self, inline=True)
         seeds: dict[str, Obj] = {}
         for e in self.graph.edges:
@@ -339,7 +359,7 @@ class Compiler:
     def child(self, step: Step, document: dict) -> Value:
         """A nested document in place: its entry nodes get this node's inputs, its outputs are the result."""
         graph = import_document(document, lenient=True).graph
-        inner = Compiler(graph, None, Host(workflows=self.host.workflows, store=self.host.store, memory=self.host.memory, http=self.host.http, search=self.host.search), built_in(), self.depth + 1, self, self.inline)
+        inner = Compiler(graph, None, replace(self.host, executors={}), built_in(), self.depth + 1, self, self.inline)
         fed = {e.target for e in graph.edges}
         inner.run({n.id: step.inputs for n in graph.nodes if n.id not in fed})
         if inner.err is not None:
@@ -379,6 +399,8 @@ class Compiler:
         """The rows whose fields are all equal to what is asked, in the order of keys."""
         if self.host.store is None:
             return Arr(F.array().cast("array<variant>"), T.VariantType())
+        if where and not self.inline:
+            return self._joined(table, where)
         rows = self.host.store.where(F.col("table") == table).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("rows"))
         listed = self.keep(rows.select(F.to_json(F.transform("rows", lambda r: r["value"]))).scalar())
         found = F.transform(F.from_json(listed, "array<string>"), lambda r: F.parse_json(r))
@@ -390,6 +412,25 @@ class Compiler:
         return Arr(found, T.VariantType())
 
 
+    def _joined(self, table: str, where: dict[str, Value]) -> Value:
+        """The runs meet the rows that they ask for in a join on the asked fields; only rows with the same fields stand together."""
+        root = self.root
+        n = root.columns
+        asked = {f"__w{n}_{i}": self.keep(json_text(v)) for i, v in enumerate(where.values())}
+        self.flush()
+        root.columns += 1
+        had = self.host.store.where(F.col("table") == table).withColumn("__row", F.parse_json("value"))
+        fields = [F.to_json(F.try_variant_get("__row", f"$['{k}']", "variant")).alias(name) for k, name in zip(where, asked, strict=True)]
+        had = had.select("key", "value", *fields).groupBy(*asked).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda r: r["value"]).alias(f"__rows{n}"))
+        match = None
+        for name, column in asked.items():
+            same = column == F.col(name)
+            match = same if match is None else match & same
+        root.frame = root.frame.join(had, match, "left").drop(*asked)
+        found = self.keep(F.transform(F.coalesce(f"__rows{n}", F.array().cast("array<string>")), lambda r: F.parse_json(r)))
+        return Arr(found, T.VariantType())
+
+
 @dataclass
 class Run:
     """The compiled runs; each method is a projection of one plan."""
@@ -435,8 +476,7 @@ class Run:
 
         empty = F.array().cast("array<string>")
         for n in c.active:
-            lit = [F.when(col_of(p.when), F.lit(p.port) if isinstance(p.port, str) else p.port) for p in c.published.get(n, ())]
-            ports = F.array_compact(F.array(*lit)) if lit else empty
+            ports = _all_names(c.published.get(n, ()))
             if n in c.result:
                 row(c.done[n], n, F.lit("completed"), ports, json_text(c.result[n]), none)
             row(c.skipped.get(n, False), n, F.lit("skipped"), empty, none, none)
@@ -444,10 +484,30 @@ class Run:
                 row(c.failed[n], n, F.when(is_pause(c.err), F.lit("paused")).otherwise(F.lit("failed")), empty, none, self._error())
         return self.frame.select(F.col(self.key), F.explode(F.array_compact(F.array(*parts))).alias("c")).select(self.key, "c.*")
 
-    def published(self) -> DataFrame:
-        """run_key, node_id, port_id and value (JSON) of every port that was lit."""
-        parts = [F.when(col_of(p.when), F.struct(F.lit(n).alias("node_id"), (F.lit(p.port) if isinstance(p.port, str) else p.port).alias("port_id"), json_text(p.value).alias("value"))) for n, ps in self.compiler.published.items() for p in ps]
-        return self.frame.select(F.col(self.key), F.explode(F.array_compact(F.array(*parts))).alias("p")).select(self.key, "p.*")
+    def published(self, nodes: list[str] | None = None) -> DataFrame:
+        """run_key, node_id, port_id and value (JSON) of every port that was lit, of all nodes or those named."""
+        parts = []
+        for n, ps in self.compiler.published.items():
+            for p in ps if nodes is None or n in nodes else ():
+                parts.append(_each(p, n))
+        if not parts:
+            return self.frame.select(F.col(self.key), *(F.lit("").alias(c) for c in ("node_id", "port_id", "value"))).where(F.lit(False))
+        return self.frame.select(F.col(self.key), F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("p")).select(self.key, "p.*")
+
+    def outcomes(self) -> DataFrame:
+        """run_key, node_id, status, ports, output and error of the nodes that ran in this plan, not of those resumed or fenced."""
+        c, parts = self.compiler, []
+        none = F.lit(None).cast("string")
+        for n, ran in c.ran.items():
+            error = c.errors.get(n, none)
+            status = F.when(error.isNull(), "completed").when(is_pause(error), "paused").otherwise("failed")
+            output = json_text(c.result[n]) if n in c.result else F.lit("null")
+            row = F.struct(F.lit(n).alias("node_id"), status.alias("status"), F.when(error.isNull(), _all_names(c.published.get(n, ()))).otherwise(F.array().cast("array<string>")).alias("ports"), F.when(error.isNull(), output).alias("output"), error.alias("error"))
+            if ran is not False:
+                parts.append(F.when(col_of(ran), row))
+        if not parts:
+            return self.frame.select(F.col(self.key)).where(F.lit(False)).selectExpr(self.key, "'' as node_id", "'' as status", "cast(array() as array<string>) as ports", "'' as output", "'' as error")
+        return self.frame.select(F.col(self.key), F.explode(F.array_compact(F.array(*parts))).alias("o")).select(self.key, "o.*")
 
     def effects(self) -> DataFrame:
         """run_key, node_id and effect (JSON): what a sink is to do outside; key it by step_key, for tasks may repeat."""
@@ -456,17 +516,44 @@ class Run:
             return self.frame.select(F.col(self.key), F.lit("").alias("node_id"), F.lit("").alias("effect")).where(F.lit(False))
         return self.frame.select(F.col(self.key), F.explode(F.array_compact(F.array(*parts))).alias("e")).select(self.key, "e.*")
 
-    def events(self) -> DataFrame:
-        """run_key, seq and the fields of each event, in order."""
+    def events(self, nodes: list[str] | None = None) -> DataFrame:
+        """run_key, seq and the fields of each event, in order; with nodes, those of these nodes alone, numbered among themselves."""
         kinds = {"type": "string", "node_id": "string", "status": "string", "text": "string", "port_id": "string", "value": "string", "level": "string", "message": "string", "detail": "string", "ok": "boolean", "error": "string"}
         parts = []
         for when, fields in self.compiler.events:
-            cols = [(v if isinstance(v := fields.get(k), Column) else F.lit(v)).cast(t).alias(k) for k, t in kinds.items()]
-            parts.append(F.when(col_of(when), F.struct(*cols)))
-        rows = self.frame.select(F.col(self.key), F.posexplode(F.array_compact(F.array(*parts))).alias("seq", "e"))
+            if nodes is not None and fields.get("node_id") not in nodes:
+                continue
+            names = fields["port_id"] if fields.get("many") else None
+            told = fields | {"port_id": None} if names is not None else fields
+            cols = {k: (v if isinstance(v := told.get(k), Column) else F.lit(v)).cast(t).alias(k) for k, t in kinds.items()}
+            parts.append(F.when(col_of(when), _event(cols, names)))
+        if not parts:
+            return self.frame.select(F.col(self.key)).where(F.lit(False)).select(self.key, F.lit(0).alias("seq"), *(F.lit(None).cast(t).alias(k) for k, t in kinds.items()))
+        rows = self.frame.select(F.col(self.key), F.posexplode(F.flatten(F.array_compact(F.array(*parts)))).alias("seq", "e"))
         return rows.select(self.key, "seq", "e.*")
 
 
+def _each(p: Published, node: str) -> Column:
+    value = json_text(p.value)
+    return F.transform(p.names(), lambda name: F.struct(F.lit(node).alias("node_id"), name.alias("port_id"), value.alias("value")))
+
+
+def _event(cols: dict[str, Column], names: Column | None) -> Column:
+    """An event as an array of one, or of one for each of the names of ports."""
+    one = lambda port: F.struct(*((port if k == "port_id" else c).alias(k) for k, c in cols.items()))
+    return F.array(one(cols["port_id"])) if names is None else F.transform(names, lambda name: one(name))
+
+
+def _texts(listed: Column) -> Column:
+    """The texts of an array of variants."""
+    return F.transform(F.filter(listed, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def _all_names(published: list[Published] | tuple) -> Column:
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array_compact(F.array(*(p.names() for p in published)))) if published else empty
+
+
 def compile_graph(
     graph: Graph | dict,
     runs: DataFrame,
@@ -474,13 +561,18 @@ def compile_graph(
     seeds: dict[str, dict[str, Column] | list[str]] | list[str] | None = None,
     host: Host | None = None,
     kinds: Registry | None | bool = True,
-    resume: dict[str, Column] | None = None,
+    resume: dict[str, Column | tuple[Column, Column]] | None = None,
+    may_run: dict[str, Column] | None = None,
+    attempts: dict[str, Column] | None = None,
 ) -> Run:
     """Compile a graph over runs, a row each.
 
     seeds are the inputs of entry nodes: names of columns for all of them, or by node id names or a dict of
     columns. kinds is the catalogue that a runner may have (True: the built-in one, False: none). resume has,
-    by node id, a column of stored results; where it is not null the node is not run but published again.
+    by node id, a column of stored results, which counts where it is not null, or a pair of columns: whether there
+    is a result, which may well be null, and the result. Where there is one the node is not run but published again.
+    may_run has, by node id, where a node may run at all; with it all others are fenced, and each node's error
+    stops that node alone. attempts has structs of attempts and first_attempt_at, for operators that ask.
     """
     if isinstance(graph, dict):
         graph = import_document(graph, lenient=True).graph
@@ -497,14 +589,19 @@ def compile_graph(
             given[node] = Obj({k: (True, of_column(c, runs.select(c.alias("c")).schema["c"].dataType)) for k, c in cols.items()})
         else:
             given[node] = Obj({c: (True, of_column(F.col(c), schema[c])) for c in cols})
-    stored = {n: of_column(c, runs.select(c.alias("c")).schema["c"].dataType) for n, c in (resume or {}).items()}
+    stored = {}
+    for n, c in (resume or {}).items():
+        there, value = c if isinstance(c, tuple) else (c.isNotNull(), c)
+        stored[n] = (there, of_column(value, runs.select(value.alias("c")).schema["c"].dataType))
+    compiler.may_run, compiler.attempts = may_run, attempts or {}
     compiler.run(given, stored)
     compiler.flush()
     return Run(compiler.frame, key, compiler)
 
 
-def with_stored(graph: Graph, runs: DataFrame, claims: DataFrame, key: str = "run_key") -> tuple[DataFrame, dict[str, Column]]:
-    """runs with what their completed nodes gave, and the columns to resume from: `compile_graph(..., resume=...)`."""
-    kept = claims.where("status = 'completed'").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", "output"))).alias("__stored"))
+def with_stored(graph: Graph, runs: DataFrame, claims: DataFrame, key: str = "run_key") -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """runs with what their completed nodes gave, null too, and the columns to resume from: `compile_graph(..., resume=...)`."""
+    kept = claims.where("status = 'completed'").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("output", F.lit("null")).alias("output")))).alias("__stored"))
     rows = runs.join(kept, key, "left")
-    return rows, {n.id: F.parse_json(F.try_element_at("__stored", F.lit(n.id))) for n in graph.nodes}
+    at = {n.id: F.try_element_at("__stored", F.lit(n.id)) for n in graph.nodes}
+    return rows, {k: (c.isNotNull(), F.parse_json(c)) for k, c in at.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars
-from weftline.graph.kinds import ALIAS, OWN
+from weftline.graph.kinds import namespaces
 from weftline.operators import durable, graphs, search
 from weftline.plans.compiled import Host, Run, compile_graph
 
@@ -468,12 +468,12 @@ def dispatch_cap(spark, sf_dir):
 
 @query("select event_id, case event_type when 'purchase' then 1 when 'view' then 4 else 3 end as tries from events")
 def retry_tries(spark, sf_dir):
-    kinds = F.when(F.col("event_type") == "purchase", F.lit(ALIAS + "notify")).when(F.col("event_type") == "view", F.lit("branch")).otherwise(F.lit("merge"))
-    policy = durable.RetryPolicy(3, 100, {"notify": (9, 1), OWN + "branch": (4, 50)})
+    kinds = F.when(F.col("event_type") == "purchase", F.lit(namespaces()[-1] + "notify")).when(F.col("event_type") == "view", F.lit("branch")).otherwise(F.lit("merge"))
+    policy = durable.RetryPolicy(3, 100, {"notify": (9, 1), namespaces()[0] + "branch": (4, 50)})
     return table(spark, sf_dir, "events").select("event_id", policy.column(kinds).alias("tries"))
 
 
-@query("with r as (select user_id as run_key, 'n' || (event_id % 3) as node_id, event_type as owner, event_id as seq, row_number() over (partition by user_id, event_id % 3 order by event_id) as k from events) select run_key, node_id, owner, 'claimed' as status, 1 as attempts from r where k = 1")
+@query("with r as (select user_id as run_key, 'n' || (event_id % 3) as node_id, event_type as owner, first_value(event_type) over (partition by user_id, event_id % 3 order by event_id) as won from events) select run_key, node_id, won as owner, 'claimed' as status, cast(count(*) filter (where owner = won) as int) as attempts from r group by run_key, node_id, won")
 def claim_exclusive(spark, sf_dir):
     asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_key"), F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("node_id"), F.col("event_type").alias("owner"), F.col("event_id").alias("seq"))
     none = spark.createDataFrame([], "run_key long, node_id string, status string, owner string, attempts int, first_attempt_at long")
@@ -548,3 +548,120 @@ def durable_resume(spark, sf_dir):
     again, stored = with_stored(doc, rows, first.claims())
     second = compile_graph(doc, again, "run_key", [], Host({"nowhere": lambda step: step.input_or_all()}), resume=stored)
     return second.results().join(stopped, "run_key", "left").select(F.col("run_key").alias("o_orderkey"), F.coalesce("was", F.lit(False)).alias("was"), "ok")
+
+
+@query("""with recursive e as (select event_id // 5 as run_key, row_number() over (partition by event_id // 5 order by event_id) as k, event_type as t, 'w' || (event_id % 2) as w from events),
+s(run_key, k, status, attempts, owner) as (select distinct run_key, 0, cast(null as varchar), cast(null as int), cast(null as varchar) from e
+union all select e.run_key, e.k,
+  case when t = 'signup' then null when t = 'view' then 'paused' when t = 'purchase' then 'completed' when t = 'error' then case when status = 'completed' then status else 'skipped' end when status is null or (status = 'paused' and owner = w) then 'claimed' else status end,
+  case when t = 'signup' then null when t in ('view', 'purchase', 'error') then coalesce(attempts, 0) when status is null then 1 when status in ('claimed', 'paused') and owner = w then attempts + 1 else attempts end,
+  case when t = 'signup' then null when t = 'click' and status is null then w else owner end
+from s join e on e.run_key = s.run_key and e.k = s.k + 1)
+select run_key, status, attempts, owner from s where status is not null and not exists (select 1 from e where e.run_key = s.run_key and e.k > s.k)""")
+def durable_transitions(spark, sf_dir):
+    """Batches of claims, pauses, releases, completions and skips, five to a run, folded in their order."""
+    op = F.element_at(F.create_map(*(F.lit(x) for x in ("click", "claim", "view", "pause", "purchase", "complete", "signup", "release", "error", "skip"))), F.col("event_type"))
+    owner = F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.expr("event_id div 5").alias("run_key"), F.lit("n").alias("node_id"), F.col("event_id").alias("seq"), op.alias("op"), owner.alias("owner"))
+    none = rows.select("run_key", "node_id", *(F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in durable.CLAIM.split(", ")))).where("false")
+    return durable.folded(rows, none).select("run_key", "status", "attempts", "owner")
+
+
+_REVIEW = graph([node("start", "manual_trigger"), node("sort", "branch", {"condition": "{{ in.toxic }}"}), node("drop", "transform", fields(doc="{{ in.doc_id }}", verdict="drop")), node("keep", "transform", fields(doc="{{ in.doc_id }}", verdict="keep")), node("end", "merge")], "start>sort", "sort.true>drop", "sort.false>keep", "drop>end.a", "keep>end.b")
+
+
+def _coordinator(spark, sf_dir, document: dict, host: Host | None = None, **more) -> durable.Coordinator:
+    from weftline.graph.document import import_document
+
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_key"), "doc_id", "quality", "toxic")
+    return durable.Coordinator(import_document(document, lenient=True).graph, rows, host=host, **more)
+
+
+@query("select doc_id as run_key, true as ok, case when toxic <> 0 then 'drop' else 'keep' end as verdict, doc_id as doc from labels")
+def durable_pass(spark, sf_dir):
+    """Durable runs driven pass by pass to their end, from claims alone."""
+    done = _coordinator(spark, sf_dir, _REVIEW, max_concurrent=1).run_to_completion()
+    end = F.get_json_object("outputs", "$.end")
+    return done.select("run_key", "ok", F.get_json_object(end, "$.verdict").alias("verdict"), F.get_json_object(end, "$.doc").cast("bigint").alias("doc"))
+
+
+@query("select doc_id as run_key, quality = 0 or toxic = 0 as ok, case when quality = 0 then 1 when toxic = 0 then 2 else 3 end as attempts, case when quality <> 0 and toxic <> 0 then 'refused at try 3' end as error, 77 as first_attempt_at from labels")
+def durable_retry(spark, sf_dir):
+    """A node that fails at first: tried again under the same claim, whose first time stays."""
+    from weftline.plans.values import step as field_of
+    from weftline.plans.values import text
+
+    def flaky(step):
+        seen = {k: text(field_of(step.inputs.fields["in"][1], k)[1]) for k in ("quality", "toxic")}
+        tries = F.when(seen["quality"] == "0", 1).when(seen["toxic"] == "0", 2).otherwise(9)
+        step.abort(step.attempt < tries, F.concat(F.lit("refused at try "), step.attempt.cast("string")))
+        return step.input_or_all()
+
+    g = graph([node("start", "manual_trigger"), node("try", "flaky"), node("end", "output")], "start>try", "try>end")
+    c = _coordinator(spark, sf_dir, g, Host({"flaky": flaky}), retry=durable.RetryPolicy(3), now=F.lit(77).cast("bigint"))
+    done = c.run_to_completion()
+    tried = c.claims.where("node_id = 'try'").select("run_key", "attempts", "first_attempt_at")
+    return done.join(tried, "run_key").select("run_key", "ok", "attempts", "error", "first_attempt_at")
+
+
+@query("select doc_id as run_key, 'sort' as node_id, case when toxic <> 0 then 'true' else 'false' end as port_id from labels union all select doc_id, 'start', 'out' from labels union all select doc_id, case when toxic <> 0 then 'drop' else 'keep' end, 'out' from labels")
+def replay_probe(spark, sf_dir):
+    """What completed nodes light, told by a replay in which nothing runs."""
+    from weftline.graph.document import import_document
+
+    g = import_document(_REVIEW, lenient=True).graph
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_key"), "doc_id", "quality", "toxic")
+    claims = compile_graph(g, rows, "run_key").claims().where("node_id <> 'end'")
+    return durable.replayed(g, rows, claims).published().select("run_key", "node_id", "port_id")
+
+
+@query("select 'X' as key, 'old' as value union all select o_orderstatus, cast(max(o_orderkey) as varchar) from orders where o_orderstatus <> 'F' group by 1")
+def data_store_applied(spark, sf_dir):
+    """Sets and deletes of a table of runs, applied to the store in order of the runs' keys; three keys take all of them."""
+    from weftline.operators.stores import applied
+
+    put = lambda id, key: node(id, "data_store", {"operation": "set", "table": "t", "key": key, "value": "{{ in.o_orderkey }}"})
+    g = graph([node("start", "manual_trigger"), node("sort", "switch_case", {"value": "{{ in.o_orderstatus }}", "cases": {"F": "f", "O": "o"}}), node("drop", "data_store", {"operation": "delete", "table": "t", "key": "F"}), put("put_o", "O"), put("put_p", "P")], "start>sort", "sort.f>drop", "sort.o>put_o", "sort.default>put_p")
+    done = run(spark, sf_dir, "orders", "o_orderkey", ["o_orderkey", "o_orderstatus"], g).effects()
+    store = spark.createDataFrame([("t", k, "old") for k in "FOX"], "table string, key string, value string")
+    return applied(store, done, F.col("run_key")).select("key", "value")
+
+
+@query("select '' || user_id % 7 as key, count(*) as items, '[' || string_agg(cast(event_id as varchar), ',' order by event_id) || ']' as value from (select *, max(case when event_type = 'error' then event_id end) over (partition by user_id % 7) as since from events where event_type in ('error', 'purchase')) where since is null or event_id >= since group by user_id % 7")
+def memory_accumulates(spark, sf_dir):
+    """Writes and appends to memory, batch after batch: an error starts a key's items anew, a purchase adds one."""
+    from weftline.operators.stores import accumulated, no_items, remembered
+
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')")
+    effect = F.when(F.col("event_type") == "error", F.lit("memory_write")).otherwise(F.lit("memory_append"))
+    done = e.select(F.col("event_id").alias("run_key"), F.lit("m").alias("node_id"), F.to_json(F.struct(effect.alias("effect"), (F.col("user_id") % 7).cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))).alias("effect"))
+    half = e.agg(F.percentile("event_id", 0.5)).first()[0] or 0
+    items = accumulated(no_items(e), done.where(F.col("run_key") <= half), F.col("run_key"))
+    items = accumulated(items, done.where(F.col("run_key") > half), F.col("run_key"))
+    return remembered(items).join(items.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key").select("key", "items", "value")
+
+
+@query("select c_custkey, 'm1|0.5|Hi ' || c_name as said from customer")
+def llm_host(spark, sf_dir):
+    """A host's model, asked with the node's options."""
+    from weftline.plans.values import Obj, Scalar, text
+
+    def model(prompt, options):
+        named = [text(options.fields[k][1]) for k in ("model", "temperature")]
+        return Obj({"text": (True, Scalar(F.concat_ws("|", *named, prompt), "string"))})
+
+    out = run(spark, sf_dir, "customer", "c_custkey", ["c_name"], chain(node("ask", "llm_call", {"prompt": "Hi {{ in.c_name }}", "model": "m1", "temperature": 0.5})), Host(model=model)).output("end")
+    return out.select(F.col("run_key").alias("c_custkey"), F.col("text").alias("said"))
+
+
+@query("select c_custkey, 'lookup:' || c_name as got from customer")
+def tool_host(spark, sf_dir):
+    """A host's tool, with the arguments that its node gives."""
+    from weftline.plans.values import Obj, Scalar, text
+    from weftline.plans.values import step as field_of
+
+    def tool(name, args):
+        return Obj({"got": (True, Scalar(F.concat(F.lit(name + ":"), text(field_of(args, "value")[1])), "string"))})
+
+    out = run(spark, sf_dir, "customer", "c_custkey", ["c_name"], chain(node("t", "tool_use", {"tool": "lookup", "args": "{{ in.c_name }}"})), Host(tool=tool)).output("end")
+    return out.select(F.col("run_key").alias("c_custkey"), "got")

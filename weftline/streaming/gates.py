@@ -31,7 +31,16 @@ def _pause(node_id: str, awaiting: str, detail: str | None) -> str:
     return PAUSE + (body if detail is None else body[:-1] + f',"detail":{detail}' + "}")
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: What a gate asks for if its node says nothing else, as JSON. Fixed values.
+DETAIL = {"input": '{"title":"Need your input","fields":[]}', "approval": '{"title":"Approve action","description":null}'}
+
+
+def _step(forget_after: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    columns = ["run_key", "node_id", "status", "port", "value", "reason"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=columns)
+        return
     run_key, node_id = key
     _, awaiting, detail, settled = state.get if state.exists else (node_id, None, None, False)
     rows = pd.concat(list(batches))
@@ -40,8 +49,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     for r in rows.sort_values(["seq", "first"]).itertuples():
         said = None if pd.isna(r.value) else r.value
         if r.event == "arrive" and awaiting is None:
-            awaiting, detail = r.awaiting, None if pd.isna(r.detail) else r.detail
-            if said is not None:  # the input answers by itself
+            awaiting, detail = r.awaiting, DETAIL.get(r.awaiting) if pd.isna(r.detail) else r.detail
+            if r.auto and said is not None and said != "null":  # the node lets its input answer
                 settled = True
                 out.append((run_key, node_id, "completed", _port(awaiting, said), said, None))
             else:
@@ -52,7 +61,9 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         elif r.event == "answer":
             out.append((run_key, node_id, "refused", None, said, "the run does not wait on this node"))
     state.update((node_id, awaiting, detail, settled))
-    yield pd.DataFrame(out, columns=["run_key", "node_id", "status", "port", "value", "reason"])
+    if settled:
+        state.setTimeoutDuration(forget_after)
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _port(awaiting: str, said: str) -> str:
@@ -68,14 +79,21 @@ def _port(awaiting: str, said: str) -> str:
     return "approved" if value else "denied"
 
 
-def gated(events: DataFrame) -> DataFrame:
-    """Human gates over a stream of events: run_key, node_id, event (arrive or answer), awaiting, detail, value, seq.
+def gated(events: DataFrame, forget_after_s: int = 7 * 24 * 3600) -> DataFrame:
+    """Human gates over a stream of events: run_key, node_id, event (arrive or answer), awaiting, detail, value, seq and auto.
 
-    A run that arrives parks with a pause, unless it brings its own answer; the first answer to a parked gate
-    completes it on its port, and every other answer is refused. Each run and node is a state of its own, which
-    one task holds at a time, so that no two answers can both count.
+    A run that arrives parks with a pause, whatever value it brings; only where auto is true (the node's
+    autoAnswerFromInput) a value that is not null answers at once. The first answer to a parked gate completes it
+    on its port, and every other answer is refused. Each run and node is a state of its own, which one task holds
+    at a time, so that no two answers can both count; a settled one is let go after forget_after_s.
     """
-    return events.groupBy("run_key", "node_id").applyInPandasWithState(_step, GATE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    auto = F.coalesce(F.col("auto"), F.lit(False)) if "auto" in events.columns else F.lit(False)
+    rows = events.select("run_key", "node_id", "event", "awaiting", "detail", "value", "seq", auto.alias("auto"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _step(1000 * forget_after_s, key, batches, state)
+
+    return rows.groupBy("run_key", "node_id").applyInPandasWithState(step, GATE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def claim_batches(requests: DataFrame, path: str, checkpoint: str, now_ms: int):
