@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_near_duplicates import plain_fingerprint, union_find
+from tests.llm.test_language import plain_places
+from tests.llm.test_near_copies import kept as kept_by_jaccard
+from tests.llm.test_tokens import check_pieces
+from weftline.llm import language
 
 
 def test_stages(spark, data, tmp_path):
@@ -15,6 +18,7 @@ def test_stages(spark, data, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     junk = spark.createDataFrame([(5000, "12 34 !!", "en", "src0", 8), (5001, None, None, None, None), (5002, "", "en", None, 0)], docs.schema)
     docs = docs.unionByName(junk)
+    start = docs
     kept = [{r["doc_id"]: r["text"] for r in docs.collect()}]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
@@ -24,12 +28,19 @@ def test_stages(spark, data, tmp_path):
         kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
         assert docs.count() == len(kept[-1]) <= len(kept[-2])
     first, sure, single, cut, clean = kept
+    model = language.learned(start, usable=language.not_held_out())
+    told = {}
+    for i, text in first.items():  # by a plain scorer
+        if text is None or not any(c.isalpha() for c in text):
+            continue
+        places = plain_places(text, model.bits) if len(text) < 600 else np.concatenate(list(language.hashed_grams(text, model.bits)))
+        z = (model.weights[places].astype(float).sum(0) / len(places) + model.bias) / model.temperature
+        told[i] = float(1 / np.exp(z - z.max()).sum())
+    unsure = {i for i, p in told.items() if abs(p - corpus_pipeline.LEAST_SCORE) < 1e-4}
+    assert {i for i, p in told.items() if p >= corpus_pipeline.LEAST_SCORE} - unsure == set(sure) - unsure
     assert not {5000, 5001, 5002} & set(sure) and len(sure) > 0.98 * (len(first) - 3)
-    ids = sorted(sure)
-    v = np.array([plain_fingerprint(sure[i]) for i in ids], np.uint64)
-    a, b = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= 3, 1))
-    root = union_find(len(ids), zip(a, b, strict=True))
-    assert set(single) == {ids[r] for r in root} and all(single[i] == first[i] for i in single)
+    want, pairs = kept_by_jaccard(sure)
+    assert pairs and set(single) == want and all(single[i] == first[i] for i in single)
     assert set(cut) <= set(single)
     seen = set()
     for i in sorted(cut):  # no passage of 51 words is left twice
@@ -43,7 +54,7 @@ def test_stages(spark, data, tmp_path):
     leaks = {i for i, t in cut.items() if any(f" {x} " in plain(t) for x in items)}
     assert leaks and not leaks & set(clean) and len(set(cut) - set(clean) - leaks) <= 0.01 * len(cut)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(clean)
+    check_pieces(packed.collect(), clean, 4096)
 
 
 def test_run_and_registration(spark, data):
