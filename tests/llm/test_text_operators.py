@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import arrays, chat, chunks, language, licenses, sharding
 from weftline.llm.license_rules import BASE, RULES
-from weftline.llm.queries import HOSTILE, ORACLE_SQL, QUERIES
+from weftline.llm.queries import HOSTILE, ORACLE_SQL, PASSAGE_WORDS, QUERIES
 
 ODD = [None, "", "   ", "\n", "Été — ñandú", "x" * 5000, "a b c " * 3000]
 
@@ -284,11 +284,11 @@ def test_chunk_query_spans_repeat(spark, data):
     seen = {}
     for d in sorted(texts):
         words = texts[d].split()
-        for i in range(len(words) - chunks.MIN_WORDS + 1):
-            seen.setdefault(" ".join(words[i : i + chunks.MIN_WORDS]), d)
+        for i in range(len(words) - PASSAGE_WORDS + 1):
+            seen.setdefault(" ".join(words[i : i + PASSAGE_WORDS]), d)
     for r in rows:
         part = texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().split()
-        n = chunks.MIN_WORDS
+        n = PASSAGE_WORDS
         assert seen[" ".join(part[:n])] <= r["doc_id"] and all(k <= r["doc_id"] for k in r["kept_in"])
     flagged = {r["doc_id"] for r in rows}
     seen = {}

@@ -15,8 +15,8 @@ from weftline.llm.cluster import cut, in_bounds, row_of, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
 REACH = 11
-#: What is compared are the shortest runs of whole chunks with this many words. A passage that two documents
-#: share surely has such a run if it has MIN_WORDS + 2 * REACH words after its first WINDOW bytes.
+#: What is compared are the shortest runs of whole chunks with this many words, or so many as are asked for. A passage
+#: that stands twice surely has such a run if it has MIN_WORDS + 2 * REACH words after its first WINDOW bytes.
 MIN_WORDS = 14
 #: Bytes that the gear hash of a place takes in.
 WINDOW = 8
@@ -39,8 +39,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def stretches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the first bytes and the ends of its runs of chunks."""
+def stretches(texts: list[bytes], least_words: int = MIN_WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the first bytes and the ends of its runs of chunks with least_words."""
     pad = bytes(WINDOW)
     joined = pad + pad.join(texts) + pad
     data = np.frombuffer(joined, np.uint8)
@@ -72,14 +72,14 @@ def stretches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         cuts = np.unique((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
     bounds = np.searchsorted(of, np.arange(len(texts) + 1))  # words before each text
     cuts = np.union1d(cuts, bounds)
-    to = np.searchsorted(cuts, cuts + MIN_WORDS)
+    to = np.searchsorted(cuts, cuts + least_words)
     fits = to < len(cuts)
     a, b = cuts[fits], cuts[to[fits]]
     inside = (a < n) & (b <= n)
     a, b = a[inside], b[inside]
-    long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
+    long = np.flatnonzero(np.diff(bounds) >= least_words)
     ends_at = bounds[long + 1]  # the run that ends a text, for the shortest ones may stop before
-    a, b = np.append(a, cuts[np.searchsorted(cuts, ends_at - MIN_WORDS, "right") - 1]), np.append(b, ends_at)
+    a, b = np.append(a, cuts[np.searchsorted(cuts, ends_at - least_words, "right") - 1]), np.append(b, ends_at)
     a, b = np.unique(np.stack([a, b]), axis=1)
     same = of[np.minimum(a, n - 1)] == of[np.maximum(b, 1) - 1] if n else a < 0
     a, b = a[same], b[same]
@@ -100,7 +100,7 @@ def _unnamed(hashed: Column) -> Column:
     return hashed.bitwiseOR(F.lit(-(1 << 63)))
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray]]:
+def _chunked(batches: Iterator[pa.RecordBatch], least_words: int = MIN_WORDS) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, np.ndarray]]:
     """Parts of batches (who, text_hash, text), their texts' runs, and all runs' digests as two columns of integers."""
     import xxhash
 
@@ -114,7 +114,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             part = batch.slice(at, max(1, upto - at))
             at += part.num_rows
             texts = part.column(2).to_pylist()
-            found = stretches(texts)
+            found = stretches(texts, least_words)
             digests = np.frombuffer(b"".join([digest(t[i:j]) for t, (s, e) in zip(texts, found, strict=True) for i, j in zip(s.tolist(), e.tolist(), strict=True)]), "<i8")
             yield part, found, np.ascontiguousarray(digests[0::2]), np.ascontiguousarray(digests[1::2])
 
@@ -136,19 +136,19 @@ def _flat(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(found)), [len(s) for s, _ in found]), *(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
 
-def _met(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _met(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(who, text_hash, spans) of the texts with stretches that stand elsewhere before."""
     in_bounds(docs.sparkSession)
     given = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found, high, low in _chunked(batches):
+        for part, found, high, low in _chunked(batches, least_words):
             text, _, _ = _flat(found)
             own = np.flatnonzero(_firsts_in(text, high, low) == np.arange(len(text)))  # each digest of a text once
             yield pa.RecordBatch.from_arrays([pa.array(high[own]), pa.array(low[own]), part.column(0).take(pa.array(text[own]))], ["high", "low", "who"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found, high, low in _chunked(batches):
+        for part, found, high, low in _chunked(batches, least_words):
             text, start, end = _flat(found)
             again = start >= end[_firsts_in(text, high, low)]  # not what overlaps the first one
             rows = pa.array(text)
@@ -164,23 +164,23 @@ def _met(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return met.groupBy("who", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"))  # equal rows have equal spans
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
     """Stretches of text that an earlier document, or the same one before, has too, as (doc_id, text_hash, spans).
 
     spans are (start, end, kept_in), bytes of the UTF-8 text (32 bits, as long as Spark's texts can be) and the
     doc_id of the first document that has the stretch, which keeps it where it stands first. The stretches are the
-    shortest runs of content-defined chunks with MIN_WORDS words; equal ones are found by 128-bit digests. Every passage of
-    MIN_WORDS + 2 * REACH words after its first WINDOW bytes that stands in two places byte for byte is found,
+    shortest runs of content-defined chunks with least_words words; equal ones are found by 128-bit digests. Every passage of
+    least_words + 2 * REACH words after its first WINDOW bytes that stands in two places byte for byte is found,
     wherever they are; of what overlaps itself the first stretch stays. Rows with equal doc_id are one document, and so are rows
     without a doc_id that have equal texts; these come first, with a negative hash for kept_in. Null texts are
-    empty; texts of under MIN_WORDS words have no stretch; an empty table gives no rows; other columns are ignored.
+    empty; texts of fewer words have no stretch; an empty table gives no rows; other columns are ignored.
 
     Plan: whole texts are chunked twice and no list of chunks is written: once for the first and last document of
     each digest, combined before their exchange, of which those in more than one are written to the shared folder;
     and once for the places, which one join brings to their first document.
     """
     null = F.col("who") == _unnamed(F.col("text_hash"))
-    return _met(docs, id_col, text_col).select(F.when(~null, F.col("who")).alias("doc_id"), "text_hash", "spans")
+    return _met(docs, id_col, text_col, least_words).select(F.when(~null, F.col("who")).alias("doc_id"), "text_hash", "spans")
 
 
 def merged(spans: Column) -> Column:
@@ -196,12 +196,12 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, F.expr("cast(array() as array<struct<start:int,end:int,kept_in:array<bigint>>>)"), add)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated stretches cut out of the text; documents of which nothing but white space is left go.
 
     All columns stay as they are but the text. A text that loses nothing is left as it is, null and empty too.
     """
-    spans = _met(docs, id_col, text_col).select("who", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    spans = _met(docs, id_col, text_col, least_words).select("who", "text_hash", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     own = docs.select(row_of(docs).alias("row"), *_key(docs, id_col, text_col))
     told = own.join(spans, ["who", "text_hash"], "left")
 

@@ -60,10 +60,14 @@ from e group by conv_id
 """
 
 
+#: Words of the shortest passage whose repeats count; sure from so many and 22 more.
+PASSAGE_WORDS = 26
+
+
 def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.chunks import merged, repeats
 
-    found = repeats(table(spark, sf_dir, "documents"))
+    found = repeats(table(spark, sf_dir, "documents"), least_words=PASSAGE_WORDS)
     rows = found.select("doc_id", F.explode(merged("spans")).alias("s"))
     return rows.select("doc_id", F.col("s.start").alias("start_byte"), F.col("s.end").alias("end_byte"), F.col("s.kept_in").alias("kept_in"))
 
