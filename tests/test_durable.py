@@ -146,3 +146,34 @@ def test_namespaces_are_the_hosts_to_name():
         assert kinds.built_in().get("@a/branch").name == "branch" and kinds.canonical("x") == "@acme/x" and kinds.matches("@a/note", "note")
     finally:
         kinds.use_namespaces(*before)
+
+
+def test_documents_in_a_table_are_imported_as_one_is(spark):
+    import json
+
+    from weftline.graph.document import import_json
+    from weftline.operators.graphs import exported, imported
+
+    odd = [
+        {"version": 1, "graph": {"nodes": [{"id": "a", "kind": "branch"}, {"id": "b", "kind": "nope"}, {"kind": "log"}, {"id": "n", "kind": "note"}, {"id": "l", "kind": "log"}], "edges": [{"id": "1", "source": "a", "target": "b", "sourceHandle": "true"}, {"id": "2", "source": "x", "target": "b"}, {"id": "3", "source": "l", "target": "b"}, {"id": "4", "source": "b", "target": "y"}]}},
+        {"version": 2, "graph": {"nodes": [{"id": "a", "kind": "log"}]}},
+        {"version": 1, "graph": {"nodes": [{"id": "a", "kind": "transform", "outputs": []}, {"id": "b", "kind": "log", "outputs": ["out"], "config": {"message": "x"}}, {"id": "c", "kind": "log"}], "edges": [{"id": "1", "source": "a", "target": "b"}, {"id": "2", "source": "b", "target": "a"}]}},
+        [1], {"version": 1}, {"version": 1, "graph": {"nodes": [{"id": "only", "kind": "log"}]}},
+    ]
+    texts = [*map(json.dumps, odd), "no json"]
+    df = spark.createDataFrame(list(enumerate(texts)), "graph_id int, document string")
+    for lenient in (False, True):
+        nodes, edges, issues = imported(df, lenient=lenient)
+        got = {}
+        for r in issues.collect():
+            got.setdefault(r["graph_id"], []).append((r["severity"], r["message"], r["node_id"], r["edge_id"]))
+        for i, text in enumerate(texts[:-1]):
+            one = import_json(text, lenient=lenient)
+            want = [(x.severity, x.message, x.node_id, x.edge_id) for x in one.issues if "is required" not in x.message]
+            assert sorted(map(str, got.get(i, []))) == sorted(map(str, want)), i
+            assert {n.id for n in one.graph.nodes} == {r["node_id"] for r in nodes.where(f"graph_id = {i}").collect()}
+            assert [(e.source, e.target, e.out) for e in one.graph.edges] == [(r["source"], r["target"], r["source_handle"] or "out") for r in edges.where(f"graph_id = {i}").orderBy("place").collect()]
+        assert got[len(texts) - 1] == [("error", "Schema is not an object.", None, None)]
+    again, drawn, _ = imported(exported(nodes, edges))
+    assert sorted(map(tuple, again.select("graph_id", "node_id", "kind", "terminal").collect())) == sorted(map(tuple, nodes.select("graph_id", "node_id", "kind", "terminal").collect()))
+    assert drawn.count() == edges.count()

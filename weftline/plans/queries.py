@@ -664,3 +664,43 @@ def tool_host(spark, sf_dir):
 
     out = run(spark, sf_dir, "customer", "c_custkey", ["c_name"], chain(node("t", "tool_use", {"tool": "lookup", "args": "{{ in.c_name }}"})), Host(tool=tool)).output("end")
     return out.select(F.col("run_key").alias("c_custkey"), "got")
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """A JSON document a customer: a node for each order, edges to the next one and some to a node that is not there."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), "o_orderkey", "o_orderstatus")
+    kind = F.when(F.col("o_orderstatus") == "F", "log").when(F.col("o_orderstatus") == "O", "transform").otherwise("mystery")
+    n = o.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", kind.alias("kind")))).alias("os"))
+    name = lambda x: x["o_orderkey"].cast("string")
+    nodes = F.transform("os", lambda x: F.struct(name(x).alias("id"), x["kind"].alias("kind")))
+    ahead = F.transform(F.filter(F.transform("os", lambda x, i: F.struct(x.alias("x"), F.get("os", i + 1).alias("y"))), lambda p: p["y"].isNotNull() & (p["x"]["o_orderkey"] % 3 != 0)), lambda p: F.struct(F.concat(F.lit("e"), name(p["x"])).alias("id"), name(p["x"]).alias("source"), name(p["y"]).alias("target")))
+    gone = F.transform(F.filter("os", lambda x: x["o_orderkey"] % 11 == 0), lambda x: F.struct(F.concat(F.lit("g"), name(x)).alias("id"), name(x).alias("source"), F.lit("gone").alias("target")))
+    return n.select("graph_id", F.to_json(F.struct(F.lit(1).alias("version"), F.struct(nodes.alias("nodes"), F.concat(ahead, gone).alias("edges")).alias("graph"))).alias("document"))
+
+
+_IMPORT_SQL = """with o as (select o_custkey as g, o_orderkey as k, o_orderstatus as s, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as prv, count(*) over (partition by o_custkey) as n from orders),
+i as (select g, 'unknown' as what from o where s not in ('F', 'O') union all select g, 'lost' from o where k % 11 = 0
+union all select g, 'floating' from o where n > 1 and s in ('F', 'O') and (nxt is null or k % 3 = 0) and (prv is null or prv % 3 = 0)
+union all select g, 'terminal' from o where s = 'F' and nxt is not null and k % 3 <> 0)
+select g as graph_id, what, count(*) as n from i group by all"""
+
+
+def _what(message):
+    return F.when(message.startswith("Unknown"), "unknown").when(message.startswith("Edge target"), "lost").when(message.contains("connected to nothing"), "floating").when(message.contains("terminal node"), "terminal").otherwise(message)
+
+
+@query(_IMPORT_SQL)
+def graph_import(spark, sf_dir):
+    """What is wrong with a table of documents, all read and checked at once."""
+    _, _, issues = graphs.imported(_documents(spark, sf_dir))
+    return issues.groupBy("graph_id", _what(F.col("message")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_custkey as graph_id, count(*) as nodes, count(*) filter (where nxt is not null and o_orderkey % 3 <> 0) as edges, min(o_orderkey) as first from (select *, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt from orders) group by 1")
+def graph_export(spark, sf_dir):
+    """Documents read, written as JSON and read again."""
+    nodes, edges, _ = graphs.imported(_documents(spark, sf_dir))
+    nodes, edges, _ = graphs.imported(graphs.exported(nodes, edges))
+    drawn = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+    rows = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.when(F.col("place") == 0, F.col("node_id").cast("bigint"))).alias("first")).join(drawn, "graph_id", "left")
+    return rows.select("graph_id", "nodes", F.coalesce("edges", F.lit(0)).cast("bigint").alias("edges"), "first")
