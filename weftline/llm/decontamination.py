@@ -52,6 +52,11 @@ def _grams(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _of_size(grams: np.ndarray, n: int) -> np.ndarray:
+    """Grams as those of a segment of n words."""
+    return mixed(grams * np.uint64(31) + np.uint64(n))
+
+
 def segments(n: int) -> list[tuple[int, int]]:
     """(first, end) of an item's segments, near equal."""
     parts = -(-n // SEGMENT)
@@ -141,12 +146,14 @@ class Windows:
         if not len(h):
             return none
         ends = np.repeat(bounds[1:], np.diff(bounds))
-        counts = {}
+        counts, members = {}, {}
         for words in {w for w, _ in self.gates.values()}:
             member = np.zeros(len(h) + 1, np.int64)
             g = _grams(h, words)
             member[1 : len(g) + 1] = self.grams.has(g) & (np.arange(len(g)) + words <= ends[: len(g)])
             counts[words] = np.cumsum(member)
+            at = np.flatnonzero(member[1:])
+            members[words] = at, g[at]
         # places from which the widest window of a gate has the fewest grams that any of its sizes needs
         likely = np.zeros(len(h), bool)
         place = np.arange(len(h))
@@ -156,11 +163,12 @@ class Windows:
             likely |= total[np.minimum(place + reach, ends)] - total[:-1] >= min(self.gates[n][1] for n in own)
         place = place[likely]
         by_size = {}
-        for n in self.sizes:
+        for n in self.sizes if len(place) else ():
             words, need = self.gates[n]
-            total = counts[words]
-            upto = np.maximum(place, np.minimum(place + n + most_edits(n), ends[place]) - words + 1)
-            which = np.flatnonzero(total[upto] - total[place] >= need)
+            at, grams = members[words]
+            own = at[self.grams.has(_of_size(grams, n))]
+            upto = np.minimum(place + n + most_edits(n), ends[place]) - words + 1
+            which = np.flatnonzero(np.searchsorted(own, upto) - np.searchsorted(own, place) >= need)
             if len(which):
                 by_size[n] = place[which]
         if not by_size:
@@ -256,7 +264,7 @@ def passages(h: np.ndarray, items: list[tuple[np.ndarray, list[tuple[int, int]]]
     """(item, edits, first, end), words of a text with hashes h, from items' words and (least, greatest) places where each may start."""
     waiting = []
     for i, (words, spans) in enumerate(items):
-        margin = most_edits(len(words)) + len(words) // 2 + 1
+        margin = most_edits(len(words)) + len(words) // 4 + 1
         merged: list[list[int]] = []
         for lo, hi in sorted(spans):
             lo, hi = max(0, lo - margin), min(len(h), hi + len(words) + margin)
@@ -296,7 +304,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFram
                 for n, which in by_size.items():
                     rows = np.array([words[own[i][0] : own[i][1]] for i in which])
                     _, keys = next(keys_of(rows, {n: np.arange(len(which))}))
-                    grams = [_grams(r, gate_of(n)[0]).view(np.int64) for r in rows]
+                    grams = [np.concatenate([g := _grams(r, gate_of(n)[0]), _of_size(g, n)]).view(np.int64) for r in rows]
                     columns = [pa.array([item] * len(which), pa.int64()), pa.array([own[i][0] for i in which], pa.int32()), pa.array([n] * len(which), pa.int32())]
                     columns += [pa.array([k.view(np.int64).tolist() for k in keys], pa.list_(pa.int64())), pa.array([g.tolist() for g in grams], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, ["item", "at", "size", "keys", "grams"])
@@ -317,8 +325,8 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     give rows; null ids stay null; empty tables give no rows; other columns are ignored.
 
     Plan: one pass over the texts gives their windows' keys, of those keys that some item may have. A window is
-    passed over if it and the words that edits may add hold fewer of the benchmark's word grams than every item
-    of its size leaves (gate_of), so that nothing is lost by that. Keys meet those of the items in a join, and
+    passed over if it and the words that edits may add hold fewer word grams of items of its size than each of
+    those leaves (gate_of), so that nothing is lost by that. Keys meet those of the items in a join, and
     the texts with hits, a row each, are verified beside the items that they met. The driver and all tasks hold
     two filters of 16 MB at most, whatever the benchmark's size, and the at most SEGMENT sizes of segments.
     """
