@@ -584,7 +584,7 @@ def durable_pass(spark, sf_dir):
     return done.select("run_key", "ok", F.get_json_object(end, "$.verdict").alias("verdict"), F.get_json_object(end, "$.doc").cast("bigint").alias("doc"))
 
 
-@query("select doc_id as run_key, quality = 0 or toxic = 0 as ok, case when quality = 0 then 1 when toxic = 0 then 2 else 3 end as attempts, case when quality <> 0 and toxic <> 0 then 'refused at try 3' end as error, 77 as first_attempt_at from labels")
+@query("select doc_id as run_key, quality = 0 or toxic = 0 as ok, case when quality = 0 then 1 when toxic = 0 then 2 else 3 end as attempts, case when quality <> 0 and toxic <> 0 then 'refused at try 3' end as error, cast(77 as bigint) as first_attempt_at from labels")
 def durable_retry(spark, sf_dir):
     """A node that fails at first: tried again under the same claim, whose first time stays."""
     from weftline.plans.values import step as field_of
