@@ -177,3 +177,30 @@ def test_documents_in_a_table_are_imported_as_one_is(spark):
     again, drawn, _ = imported(exported(nodes, edges))
     assert sorted(map(tuple, again.select("graph_id", "node_id", "kind", "terminal").collect())) == sorted(map(tuple, nodes.select("graph_id", "node_id", "kind", "terminal").collect()))
     assert drawn.count() == edges.count()
+
+
+def test_kinds_from_manifests_and_back():
+    import pytest
+
+    from weftline.graph import kinds
+
+    manifest = {"name": "@acme/score", "version": "1.0", "label": "Score", "outputs": ["hi", {"id": "lo"}], "inputs": [], "aliases": ["rate"], "defaultConfig": {"top": 3}, "sideEffects": "none", "icon": "star"}
+    kind = kinds.kind_of_manifest(manifest)
+    assert (kind.outputs, kind.inputs, kind.category, kinds.default_config(kind)) == (("hi", "lo"), (), "custom", {"top": 3})
+    assert kinds.kind_of(kinds.kind_value(kind)) == kind
+    registry = kinds.built_in().register(kind)
+    assert registry.get("rate") is kind and registry.get("@acme/score") is kind
+    with pytest.raises(ValueError, match="version"):
+        kinds.kind_of_manifest({"name": "@acme/score"})
+    assert kinds.kind_of({"label": "x"}) is None
+    for built in kinds.built_in().by_id.values():
+        again = kinds.kind_of(kinds.kind_value(built))
+        assert (again.name, again.inputs, again.outputs, again.aliases, again.side_effects) == (built.name, built.inputs, built.outputs, built.aliases, built.side_effects)
+
+
+def test_fields_whose_names_hold_marks(spark):
+    from weftline.plans.values import field_at
+
+    row = spark.range(1).select(F.parse_json(F.lit('{"a\'b": 1, "c\\"d": 2, "e\'f\\"g": 3, "h.i": 4}')).alias("v"))
+    got = row.select(*(F.to_json(field_at(F.col("v"), k)).alias(str(i)) for i, k in enumerate(("a'b", 'c"d', "e'f\"g", "h.i", "none'")))).first()
+    assert tuple(got) == ("1", "2", "3", "4", None)

@@ -68,6 +68,8 @@ class Kind:
     shape: tuple[str, ...] | str | None = None
     label: str = ""
     executes: bool = True
+    defaults: tuple[tuple[str, object], ...] = ()
+    about: tuple[tuple[str, str], ...] = ()  # description, icon and accent, where they are given
 
 
 def _f(key: str, type: str = "text", **more) -> Field:
@@ -129,7 +131,52 @@ def built_in() -> Registry:
 
 
 def default_config(kind: Kind) -> dict:
-    return {f.key: f.default for f in kind.config if f.default is not None}
+    return {f.key: f.default for f in kind.config if f.default is not None} | dict(kind.defaults)
+
+
+ABOUT = ("description", "icon", "accent")
+
+
+def kind_of(raw: object) -> Kind | None:
+    """A host's own kind from its JSON form; None without a name. Only a list declares ports, and an empty one declares none."""
+
+    def texts(key: str) -> tuple[str, ...] | None:
+        if not isinstance(raw.get(key), list):
+            return None
+        ids = (p.get("id") if isinstance(p, dict) else p for p in raw[key])
+        return tuple(i for i in ids if isinstance(i, str))
+
+    def text(key: str, default: str | None = None) -> str | None:
+        return raw[key] if isinstance(raw.get(key), str) else default
+
+    if not isinstance(raw, dict) or text("name") is None:
+        return None
+    defaults = raw.get("defaultConfig") if isinstance(raw.get("defaultConfig"), dict) else {}
+    about = tuple((k, raw[k]) for k in ABOUT if text(k) is not None)
+    aliases = tuple(a for a in raw["aliases"] if isinstance(a, str)) if isinstance(raw.get("aliases"), list) else ()
+    return Kind(text("name"), text("category", "custom"), texts("inputs"), texts("outputs"), aliases=aliases, pauses=text("pausesForHuman"), side_effects=text("sideEffects"), label=text("label", text("name")), defaults=tuple(defaults.items()), about=about)
+
+
+def kind_value(kind: Kind) -> dict:
+    """The JSON form of a kind, which kind_of() reads again; what a field of its config asks for goes along."""
+    out: dict = {"name": kind.name, "category": kind.category, "label": kind.label or kind.name} | dict(kind.about)
+    if kind.config:
+        out["configSchema"] = [{"key": f.key, "type": f.type} | ({"required": True} if f.required else {}) | ({"default": f.default} if f.default is not None else {}) for f in kind.config]
+    if kind.defaults:
+        out["defaultConfig"] = dict(kind.defaults)
+    out |= {key: [{"id": p} for p in ports] for key, ports in (("inputs", kind.inputs), ("outputs", kind.outputs)) if ports is not None}
+    named = {"aliases": list(kind.aliases), "pausesForHuman": kind.pauses, "sideEffects": kind.side_effects}
+    return out | {k: v for k, v in named.items() if v}
+
+
+def kind_of_manifest(manifest: object) -> Kind:
+    """The kind that a package's manifest declares; ValueError with what keeps it from being taken."""
+    from weftline.graph.document import manifest_issues
+
+    bad = [i.message for i in manifest_issues(manifest) if i.severity == "error"]
+    if bad:
+        raise ValueError(" ".join(bad))
+    return kind_of(manifest)
 
 
 def config_issues(kind: Kind, config: dict) -> list[str]:

@@ -25,6 +25,7 @@ from weftline.plans.values import (
     choose,
     col_of,
     either,
+    field_at,
     is_null,
     json_text,
     leaves,
@@ -405,7 +406,7 @@ class Compiler:
         listed = self.keep(rows.select(F.to_json(F.transform("rows", lambda r: r["value"]))).scalar())
         found = F.transform(F.from_json(listed, "array<string>"), lambda r: F.parse_json(r))
         def equal(key: str, wanted: Column) -> Callable[[Column], Column]:
-            return lambda r: F.coalesce(F.to_json(F.try_variant_get(r, f"$['{key}']", "variant")) == wanted, F.lit(False))
+            return lambda r: F.coalesce(F.to_json(field_at(r, key)) == wanted, F.lit(False))
 
         for key, value in where.items():
             found = F.filter(found, equal(key, json_text(value)))
@@ -420,7 +421,7 @@ class Compiler:
         self.flush()
         root.columns += 1
         had = self.host.store.where(F.col("table") == table).withColumn("__row", F.parse_json("value"))
-        fields = [F.to_json(F.try_variant_get("__row", f"$['{k}']", "variant")).alias(name) for k, name in zip(where, asked, strict=True)]
+        fields = [F.to_json(field_at(F.col("__row"), k)).alias(name) for k, name in zip(where, asked, strict=True)]
         had = had.select("key", "value", *fields).groupBy(*asked).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda r: r["value"]).alias(f"__rows{n}"))
         match = None
         for name, column in asked.items():

@@ -243,6 +243,15 @@ def truthy(v: Value) -> Cond:
     return F.coalesce(v.col != 0, F.lit(False))
 
 
+def field_at(value: Column, name: str) -> Column:
+    """A field of a VARIANT by its name, whatever marks that holds; null if it is not there."""
+    mark = "'" if "'" not in name else '"'
+    if mark in name:  # both: by way of a map
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        return F.try_element_at(fields, F.lit(name))
+    return F.try_variant_get(value, f"$[{mark}{name}{mark}]", "variant")
+
+
 def step(v: Value, segment: str) -> tuple[Cond, Value]:
     """A field or an element, and whether it is there."""
     if isinstance(v, Obj):
@@ -252,8 +261,7 @@ def step(v: Value, segment: str) -> tuple[Cond, Value]:
     if isinstance(v, Arr) and index is not None:
         return F.coalesce(F.size(v.col) > index, F.lit(False)), of_column(F.get(v.col, F.lit(index)), v.element)
     if isinstance(v, Dyn):
-        quoted = segment.replace("\\", "\\\\").replace("'", "\\'")
-        found = F.try_variant_get(v.col, f"$['{quoted}']", "variant") if "'" not in segment else F.lit(None).cast("variant")
+        found = field_at(v.col, segment)
         if index is not None:
             found = F.coalesce(found, F.try_variant_get(v.col, f"$[{index}]", "variant"))
         return found.isNotNull(), Dyn(found)
