@@ -204,3 +204,25 @@ def test_fields_whose_names_hold_marks(spark):
     row = spark.range(1).select(F.parse_json(F.lit('{"a\'b": 1, "c\\"d": 2, "e\'f\\"g": 3, "h.i": 4}')).alias("v"))
     got = row.select(*(F.to_json(field_at(F.col("v"), k)).alias(str(i)) for i, k in enumerate(("a'b", 'c"d', "e'f\"g", "h.i", "none'")))).first()
     assert tuple(got) == ("1", "2", "3", "4", None)
+
+
+def test_steps_know_who_they_are_in_lanes(spark):
+    from weftline.plans.values import Scalar
+
+    def who(step):
+        return Scalar(step.step_key, "string")
+
+    g = graph([node("start", "manual_trigger"), node("each", "for_each", {"source": "{{ in.xs }}"}), node("w", "who"), node("top", "who")], "start>each", "each.item>w", "start>top")
+    rows = spark.createDataFrame([("r", ["x", "y"])], "run_key string, xs array<string>")
+    run = compile_graph(g, rows, "run_key", ["xs"], Host({"who": who}))
+    got = {r["node_id"]: r["value"] for r in run.published().collect()}
+    assert got["top"] == '"r:top"' and '"results":[{"w":"r:each#0/w"},{"w":"r:each#1/w"}]' in got["each"]
+
+
+def test_events_of_a_pass_are_handed_on(spark):
+    seen = []
+    g = document(graph([node("start", "manual_trigger"), node("end", "output")], "start>end"))
+    rows = spark.createDataFrame([("r", 1), ("q", 2)], "run_key string, v int")
+    c = durable.Coordinator(g, rows, on_events=lambda e: seen.append({(r["run_key"], r["node_id"]) for r in e.where("status = 'done'").collect()}))
+    assert c.run_to_completion().where("ok").count() == 2
+    assert seen == [{("r", "start"), ("q", "start")}, {("r", "end"), ("q", "end")}]

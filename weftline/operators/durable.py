@@ -211,6 +211,7 @@ class Coordinator:
     max_concurrent: int = 1
     now: Column = field(default_factory=lambda: F.lit(0).cast("bigint"))
     claims: DataFrame | None = None
+    on_events: object = None  # called with each pass's events (Run.events()) of the nodes that ran in it
 
     def __post_init__(self) -> None:
         if self.max_concurrent < 0:
@@ -257,6 +258,8 @@ class Coordinator:
         may = {k: a.isNotNull() for k, a in attempts.items()}
         seeds = self.seeds if self.seeds is not None else [c for c in self.runs.columns if c != self.key]
         run = compile_graph(self.graph, rows, self.key, seeds, self.host, self.kinds, resume=resume, may_run=may, attempts=attempts)
+        if self.on_events:
+            self.on_events(run.events().join(won, [self.key, "node_id"], "left_semi"))
         told = run.outcomes()
         own = targets.select(self.key, "node_id", "place").join(mine, [self.key, "node_id"])
         told = own.join(told, [self.key, "node_id"], "left").withColumn("tries", self.tries())

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import encoded_pause, is_pause, word_count
+from weftline.functions.scalars import encoded_pause, escape_segment, is_pause, word_count
 from weftline.graph.document import Node
 from weftline.plans.values import (
     Arr,
@@ -80,6 +80,12 @@ class Step:
         """Park the run on this node until someone answers; detail is JSON."""
         self.abort(when, encoded_pause(F.lit(self.node.id), F.lit(awaiting), detail))
 
+    @property
+    def step_key(self) -> Column:
+        """The step's identity, the same for every try: run_key:segment/.../node, a loop's lanes by their number."""
+        c = self.compiler
+        return F.concat(F.col(c.key).cast("string"), F.lit(":"), *(x for p in c.path for x in (p, F.lit("/"))), escape_segment(F.lit(self.node.id)))
+
     @property
     def attempt(self) -> Column:
         """Which try of this node it is, from 1."""
@@ -245,9 +251,9 @@ def for_each(step: Step) -> Value:
     shown = f"{most:g}" if most != int(most) else str(int(most))
     over = F.size(items.col) > most
     step.abort(over, F.concat(F.lit(f"{name} resolved "), F.size(items.col).cast("string"), F.lit(f" items exceeds its maxItems cap of {shown}")))
-    run = lambda x: step.compiler.lane_result(step, lane, of_column(x, items.element))
+    run = lambda x, i: step.compiler.lane_result(step, lane, of_column(x, items.element), i)
     taken = F.when(over, F.slice(items.col, 1, 0)).otherwise(items.col)
-    outcome = F.transform(taken, lambda x: F.struct(run(x)[0].alias("value"), run(x)[1].alias("error")))
+    outcome = F.transform(taken, lambda x, i: F.struct(*(c.alias(n) for c, n in zip(run(x, i), ("value", "error"), strict=True))))
     outcome = step.compiler.keep(outcome)
     kind = step.compiler.type_of(outcome).elementType
     results = F.transform(outcome, lambda o: F.when(o["error"].isNull(), o["value"]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalars import is_pause
+from weftline.functions.scalars import escape_segment, is_pause
 from weftline.graph.document import Edge, Graph, Node, import_document, possible_ports
 from weftline.graph.kinds import Registry, bare, built_in, matches, variants
 from weftline.operators.nodes import OPERATORS, Step, all_of, echoed
@@ -99,6 +99,8 @@ class Compiler:
         self.failed: dict[str, Cond] = {}
         self.may_run: dict[str, Column] | None = None  # None: every node may
         self.attempts: dict[str, Column] = {}
+        self.path: list[Column] = []  # rendered segments of the invocations that led here
+        self.key = parent.key if parent else None
         self.ran: dict[str, Cond] = {}
         self.errors: dict[str, Column] = {}
 
@@ -346,9 +348,10 @@ class Compiler:
         body = self.graph.reach(starts) - self.graph.reach([e.target for e in self.graph.edges if e.source == node_id and e.out == "done"]) - {node_id}
         return Graph([n for n in self.graph.nodes if n.id in body], [e for e in self.graph.edges if e.source in body and e.target in body])
 
-    def lane_result(self, step: Step, lane: Graph, item: Value) -> tuple[Column, Column]:
+    def lane_result(self, step: Step, lane: Graph, item: Value, index: Column) -> tuple[Column, Column]:
         host = replace(self.host, executors={k: v for k, v in self.host.executors.items() if self.graph.node(k) is None})
         inner = Compiler(lane, None, host, self.kinds, self.depth + 1, self, inline=True)
+        inner.path = [*self.path, F.concat(escape_segment(F.lit(step.node.id)), F.lit("#"), index.cast("string"))]
         seeds: dict[str, Obj] = {}
         for e in self.graph.edges:
             if e.source == step.node.id and e.out == "item" and lane.node(e.target):
@@ -361,6 +364,7 @@ class Compiler:
         """A nested document in place: its entry nodes get this node's inputs, its outputs are the result."""
         graph = import_document(document, lenient=True).graph
         inner = Compiler(graph, None, replace(self.host, executors={}), built_in(), self.depth + 1, self, self.inline)
+        inner.path = [*self.path, escape_segment(F.lit(step.node.id))]
         fed = {e.target for e in graph.edges}
         inner.run({n.id: step.inputs for n in graph.nodes if n.id not in fed})
         if inner.err is not None:
@@ -594,7 +598,7 @@ def compile_graph(
     for n, c in (resume or {}).items():
         there, value = c if isinstance(c, tuple) else (c.isNotNull(), c)
         stored[n] = (there, of_column(value, runs.select(value.alias("c")).schema["c"].dataType))
-    compiler.may_run, compiler.attempts = may_run, attempts or {}
+    compiler.key, compiler.may_run, compiler.attempts = key, may_run, attempts or {}
     compiler.run(given, stored)
     compiler.flush()
     return Run(compiler.frame, key, compiler)
