@@ -32,6 +32,8 @@ from weftline.llm.token_ids import encoder
 MAGIC, END = b"WRC1", "|END"
 #: Ids of a block, and blocks of a group: what a task holds at once.
 BLOCK, GROUP = 4096, 2048
+#: Bytes of texts of a file, about: Spark reads a file back as one row, of 2 GB at most.
+FILE_BYTES = 256 << 20
 HEAD = struct.Struct("<4s4I")
 DOCS = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 BLOCKS = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("coded", "<u4"), ("ids", "<u4")])
@@ -73,12 +75,14 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
 
     A null text is empty; a null doc_id comes first; equal doc_ids follow each other by their texts' hashes;
     an empty table gives no group; other columns are ignored. One exchange by ranges of doc_id sorts the
-    texts; a task encodes its range as it streams by and holds one group of ids at a time.
+    texts; a task encodes its range as it streams by and holds one group of ids at a time. There are as many
+    files as keep each to about FILE_BYTES of texts.
     """
     spark = docs.sparkSession
     in_bounds(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer_path)
