@@ -8,8 +8,8 @@ a step in all blocks. An id is coded in up to three parts:
 2. if not, its slot among 256 that hold ids seen before (order 0), or the escape, by frequencies that adapt;
 3. after the escape, the id itself.
 
-What follows an id or two is learned at every step; probabilities, weights and frequencies at the steps REFRESH,
-for all lanes at once. All arithmetic is on integers, so that any machine decodes what any other encoded.
+What follows an id or two is learned at every step, and so is the probability of a hit in each state; the weights
+of the mixture and the slots' frequencies come into force at the steps REFRESH, for all lanes at once. All arithmetic is on integers, so that any machine decodes what any other encoded.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ SLOTS = 256
 ESCAPE, HIT = SLOTS, SLOTS + 1
 SYMBOLS = SLOTS + 2
 #: Steps at which what was counted comes into force, and every EVERY after the last.
-REFRESH, EVERY = frozenset((32, 128, 400)), 1024
+REFRESH, EVERY = frozenset((32, 64, 128)), 256
 #: Scales: of a hit's probability, and of the slots' frequencies, in bits.
 P_BITS, F_BITS = 16, 12
 ONE, FULL = 1 << P_BITS, 1 << F_BITS
 LEAST = 64
+#: A state's probability moves by this part (a power of two) of what it missed, at every step that meets the state.
+RATE = 5
 #: A lane's width stays between 2 to the 31 and 2 to the 63; it gives 32 bits at a time.
 SMALL, WORD, REST = np.uint64(1 << 31), np.uint64(32), np.uint64(31)
 LOW = np.uint64((1 << 31) - 1)
@@ -80,7 +82,7 @@ class _Model:
         dot >>= 16
         np.clip(dot, -2047, 2047, out=dot)
         self.p = np.clip(_SQUASH[dot + 2047], LEAST, ONE - LEAST).ravel()
-        self.chance = self.p.astype(np.uint64)
+        self.chance = self.p.astype(np.int32)
         # frequencies of slots and escape: none is zero, and they add up to FULL
         own = (self.count[:, :HIT] * (FULL - HIT) / self.count[:, :HIT].sum(1, keepdims=True)).astype(np.int32)  # exact: all are below 2 to the 31
         own += 1
@@ -117,13 +119,17 @@ class _Model:
         o = (cand & (SLOTS - 1)) + self.slots[:m]
         state += self.often.take(o, mode="clip")
         self.state = state
-        return self.chance.take(state + self.states[:m], mode="clip")
+        self.spot = state + self.states[:m]
+        now = self.now = self.chance.take(self.spot, mode="clip")
+        return now.astype(np.uint64)
 
     def learn(self, m: int, ids: np.ndarray, hit: np.ndarray, symbol: np.ndarray) -> None:
         """ids as int32."""
         self.said[self.rows, :m] = symbol
         np.add(self.state, hit.view(np.int8) << 6, out=self.was[self.rows, :m], casting="unsafe")
         self.rows += 1
+        now = self.now
+        self.chance[self.spot] = now + np.where(hit, (ONE - now) >> RATE, -(now >> RATE))
         more = ids + 1
         fresh = more << 1
         self.t1[self.at1] = fresh + (self.i1 == more)
