@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import checkpoint_folder, cut
+
 #: A bucket with more rows than this is compared in blocks by several tasks.
 BLOCK_ROWS = 2048
 #: This many keys of large buckets at most are broadcast; beyond it they are joined.
@@ -23,21 +24,8 @@ PAIRS_AT_ONCE = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and Spark is one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    return context.getCheckpointDir()
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def in_bounds(spark: SparkSession) -> None:
@@ -69,12 +57,6 @@ def worker_turns_to(work: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that no later stage or lost executor repeats what made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def row_of(df: DataFrame, names: list[str] | None = None) -> Column:
     """All columns, or those named, in one struct, so that no name of theirs meets one of an operator's own."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)))
