@@ -1,4 +1,7 @@
-"""What each kind of node does, as columns. An operator takes a Step and returns its result; aborts go to step.abort."""
+"""What each kind of node does, as columns. An operator takes a Step and returns its result; aborts go to step.abort.
+
+The texts of aborts, logs and warnings here are fixed values: documents and other runners find them equal.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""A workflow graph compiled to one DataFrame plan: a row is a run, ports are conditions, errors are data."""
+"""A workflow graph compiled to one DataFrame plan: a row is a run, ports are conditions, errors are data.
+
+The texts of errors, warnings and statuses here are fixed values: documents and other runners find them equal.
+"""
 
 from __future__ import annotations
 
