@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, row_of
+from weftline.llm.cluster import cut
 
 #: Bytes that a document counts for besides its text.
 OVERHEAD = 16
@@ -127,12 +127,16 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    own = {"size": (F.octet_length(text) + OVERHEAD).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "k1": F.xxhash64(text), "k2": F.xxhash64(F.col(id_col), F.lit(1))}
-    told = docs.select(row_of(docs, names).alias("row"), *(c.alias(k) for k, c in own.items()))
-    keys = cut(told.select("k1", "k2", "size"))
+    tag = "__"  # names of its own; columns stay apart, so that those no one asks for are not moved
+    while any(c.startswith(tag) for c in names):
+        tag += "_"
+    k1, k2, p, part, n, cuts_, shard0, slot0, lo1, lo2, hi1, hi2 = (tag + c for c in ("k1", "k2", "p", "part", "n", "cuts", "shard0", "slot0", "lo1", "lo2", "hi1", "hi2"))
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in names]
+    told = docs.select(*kept, (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias(k1), F.xxhash64(F.col(id_col), F.lit(1)).alias(k2))
+    keys = cut(told.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "size"))
     leaves, cuts, most = _split(keys, n_shards, tolerance)
     if not leaves:
-        return told.select("row.*", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return told.select(*kept, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     by_leaf: dict[int, list[int]] = {}
     for leaf, rows in cuts:
         by_leaf.setdefault(leaf, []).append(rows)
@@ -153,12 +157,11 @@ def sharded(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: st
             slot += x.rows
     table = docs.sparkSession.createDataFrame(
         [(p["p"], *p["lo"], *p["hi"], i, p["shard"], p["slot"], p["cuts"]) for i, p in enumerate(parts)],
-        "part16 long, lo1 long, lo2 long, hi1 long, hi2 long, part int, shard0 int, slot0 long, cuts array<long>",
+        f"{p} long, {lo1} long, {lo2} long, {hi1} long, {hi2} long, {part} int, {shard0} int, {slot0} long, {cuts_} array<long>",
     )
-    inside = (F.struct("k1", "k2") >= F.struct("lo1", "lo2")) & (F.struct("k1", "k2") <= F.struct("hi1", "hi2"))
-    placed = told.withColumn("p", _prefix(F.col("k1"), FIRST_BITS)).join(F.broadcast(table), (F.col("p") == F.col("part16")) & inside)
-    placed = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2")).cast("long") - 1)
-    passed = F.size(F.filter("cuts", lambda c: c <= F.col("n")))
-    before = F.try_element_at("cuts", F.greatest(passed, F.lit(1)))
-    placed = placed.withColumns({"shard": F.col("shard0") + passed, "slot": F.when(passed == 0, F.col("slot0") + F.col("n")).otherwise(F.col("n") - before)})
-    return placed.select("row.*", "size", "text_crc32", "shard", "slot")
+    inside = (F.struct(k1, k2) >= F.struct(lo1, lo2)) & (F.struct(k1, k2) <= F.struct(hi1, hi2))
+    placed = told.withColumn(p, _prefix(F.col(k1), FIRST_BITS)).alias("a").join(F.broadcast(table.alias("b")), (F.col(f"a.{p}") == F.col(f"b.{p}")) & inside).drop(p)
+    placed = placed.withColumn(n, F.row_number().over(Window.partitionBy(part).orderBy(k1, k2)).cast("long") - 1)
+    passed = F.size(F.filter(cuts_, lambda c: c <= F.col(n)))
+    before = F.try_element_at(cuts_, F.greatest(passed, F.lit(1)))
+    return placed.select(*kept, "size", "text_crc32", (F.col(shard0) + passed).alias("shard"), F.when(passed == 0, F.col(slot0) + F.col(n)).otherwise(F.col(n) - before).alias("slot"))
