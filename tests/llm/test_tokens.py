@@ -227,3 +227,30 @@ def test_range_coder_adapts_at_every_step():
     bits = 8 * sum(map(len, range_coder.encode(blocks, 16))) / (40 * 4096)
     print(bits)
     assert bits < 10
+
+
+def test_remembered_chunks_are_bounded():
+    import random
+    import sys
+
+    from weftline.llm.token_ids import Encoder
+
+    rng = random.Random(5)
+    ids_of = Encoder(tokenizer_path())
+    for _ in range(30):
+        ids_of(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(10_000)))
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for part in (ids_of.known, ids_of.elder) for k, v in part.items())
+    assert held < 34 << 20
+
+
+def test_a_lean_task_gives_back_memory(monkeypatch):
+    from weftline.llm import cluster
+
+    calls = []
+    monkeypatch.setattr(cluster, "give_back", lambda: calls.append(1))
+    task = cluster.lean(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and len(calls) == 1
+    cut_short = task(iter([1, 2]))
+    assert next(cut_short) == 2
+    cut_short.close()
+    assert len(calls) == 2

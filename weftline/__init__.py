@@ -7,7 +7,7 @@ _WHERE = {
     "weftline.graph.document": ("Edge", "Graph", "Imported", "Issue", "Node", "Policy", "Port", "export_document", "export_json", "import_document", "import_json", "manifest_issues", "possible_ports"),
     "weftline.graph.kinds": ("Field", "Kind", "Registry", "built_in"),
     "weftline.operators.nodes": ("OPERATORS", "Step"),
-    "weftline.operators.durable": ("RetryPolicy", "claimed", "dispatched", "frontier", "run_to_completion", "submitted"),
+    "weftline.operators.durable": ("Coordinator", "RetryPolicy", "claimed", "dispatched", "frontier", "submitted"),
     "weftline.operators.host": ("from_pandas",),
     "weftline.operators.search": ("nearest",),
     "weftline.functions.scalars": ("decoded_pause", "encoded_pause", "is_replay_safe", "number_text", "satisfies_range", "step_key"),

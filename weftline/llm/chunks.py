@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, in_bounds, row_of, worker_turns_to
+from weftline.llm.cluster import cut, in_bounds, lean, row_of, worker_turns_to
 
 #: A chunk starts at the word with the smallest gear hash of any REACH words in a row, so has REACH words at most.
 REACH = 11
@@ -154,10 +154,10 @@ def _met(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataF
             rows = pa.array(text)
             yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(high), pa.array(low), pa.array((start << 32) | end), pa.array(again)], ["who", "text_hash", "high", "low", "place", "again"])
 
-    sums = given.mapInArrow(summed, "high long, low long, who long")
+    sums = given.mapInArrow(lean(summed), "high long, low long, who long")
     firsts = sums.groupBy("high", "low").agg(F.min("who").alias("first"), F.max("who").alias("last"))
     firsts = cut(firsts.where("first <> last").drop("last"))
-    places = given.mapInArrow(placed, "who long, text_hash long, high long, low long, place long, again boolean")
+    places = given.mapInArrow(lean(placed), "who long, text_hash long, high long, low long, place long, again boolean")
     met = places.join(firsts, ["high", "low"], "left").withColumn("elsewhere", F.coalesce(F.col("first") != F.col("who"), F.lit(False)))
     met = met.where("elsewhere or again").withColumn("kept_in", F.when(F.col("elsewhere"), F.col("first")).otherwise(F.col("who")))
     span = F.struct(F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"), F.col("kept_in"))

@@ -50,6 +50,11 @@ def worker_turns_to(work: str) -> None:
     for forget in FORGET:
         forget()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the machine what this Python worker holds but no longer uses."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -57,6 +62,18 @@ def worker_turns_to(work: str) -> None:
         pass
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker gives back memory: idle workers stay beside those at work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def row_of(df: DataFrame, names: list[str] | None = None) -> Column:
     """All columns, or those named, in one struct, so that no name of theirs meets one of an operator's own."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)))

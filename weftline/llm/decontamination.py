@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, in_bounds, joined_small, row_of, worker_turns_to
+from weftline.llm.cluster import cut, in_bounds, joined_small, lean, row_of, worker_turns_to
 from weftline.llm.words import hashed_words, mixed
 
 #: A passage is an item's if it can be turned into it by edits of at most this share of the item's words.
@@ -365,7 +365,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 rows = pa.array(at + some)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *lists], ["doc_id", "text_hash", "text", "keys", "lo", "hi"])
 
-    suspects = given.mapInArrow(windowed, "doc_id long, text_hash long, text binary, keys array<long>, lo array<long>, hi array<long>")
+    suspects = given.mapInArrow(lean(windowed), "doc_id long, text_hash long, text binary, keys array<long>, lo array<long>, hi array<long>")
     suspects = cut(suspects).withColumn("row", F.monotonically_increasing_id())
     asked = suspects.select("row", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("w")).select("row", F.col("w.keys").alias("key"), "w.lo", "w.hi")
     had = parts.select("item", "at", F.explode("keys").alias("key"))
@@ -388,7 +388,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "item_id", "edits", "item_words", "start_byte", "end_byte"])
 
-    return beside.mapInArrow(verified, schema)
+    return beside.mapInArrow(lean(verified), schema)
 
 
 def _held(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:

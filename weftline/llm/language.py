@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import in_bounds, row_of, worker_turns_to
+from weftline.llm.cluster import in_bounds, lean, row_of, worker_turns_to
 
 #: Lengths of the n-grams, and bits of the places they are hashed to: so many, or fewer for more than 128 languages,
 #: so that places times languages, the weights, keep to 2 to the CELL_BITS.
@@ -156,7 +156,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([p.tobytes() for p, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "lang", "calibrates", "places", "shares"])
 
-    sparse = taken.mapInArrow(features, "id string, lang string, calibrates boolean, places binary, shares binary").collect()
+    sparse = taken.mapInArrow(lean(features), "id string, lang string, calibrates boolean, places binary, shares binary").collect()
     sparse.sort(key=lambda r: (r["id"] or "", r["lang"], bytes(r["places"]), bytes(r["shares"])))
     return fitted([(r["lang"], r["calibrates"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in sparse], having, documents)
 
@@ -180,7 +180,7 @@ def frequencies(rows: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(having)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(having[some])], ["place", "n"])
 
-    found = rows.select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text").mapInArrow(lean(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     having = np.zeros((1 << bits) + 1, np.int64)
     having[found.column("place").to_numpy()] = found.column("n").to_numpy()
     return having[:-1].astype(float), int(having[-1])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import cut, in_bounds, worker_turns_to
+from weftline.llm.cluster import cut, in_bounds, lean, worker_turns_to
 from weftline.llm.token_ids import encoder, width_of
 
 #: Each queue is cut into blocks by a hash of the document, so that a hot source is many tasks' work: about so many
@@ -109,7 +109,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(encode, "doc_id long, source string, n_tokens long, ids binary")
+    return given.mapInArrow(lean(encode), "doc_id long, source string, n_tokens long, ids binary")
 
 
 def packed(
@@ -230,4 +230,4 @@ def packed(
 
     placed = placed.select("doc_id", "source", "n_tokens", "ids", "queue", "block", "base").repartition(parts, "queue", "block")
     placed = placed.sortWithinPartitions("queue", "block", "doc_id", "n_tokens", F.crc32("ids"))
-    return placed.mapInArrow(deal, "doc_id long, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(lean(deal), "doc_id long, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, row_of, runs, worker_turns_to
+from weftline.llm.cluster import PAIRS_AT_ONCE, Forest, blocked, components, cut, in_bounds, lean, row_of, runs, worker_turns_to
 
 BITS = 64
 #: Segments of a fingerprint. Two that differ in up to three bits differ in at most one bit of one segment.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text_col: str, keep: list[str], words: int = 3
             fps = np.array([fingerprint(t, words, one) for t in batch.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps)], [*keep, "fp"])
 
-    return given.mapInArrow(hashed, given.drop("simhash_text").withColumn("fp", F.lit(0).cast("long")).schema)
+    return given.mapInArrow(lean(hashed), given.drop("simhash_text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def met_within(postings: DataFrame, radius: int) -> DataFrame:
         if len(below):
             yield pa.RecordBatch.from_arrays([pa.array(values[below].view(np.int64)), pa.array(values[root].view(np.int64))], ["a", "b"])
 
-    return met.mapInArrow(link, "a long, b long")
+    return met.mapInArrow(lean(link), "a long, b long")
 
 
 def grouped(fps: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def sketched(texts: DataFrame, keep: list[str], words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "set", "fp", "keys"])
 
     none = F.lit(0).cast("long")
-    return given.mapInArrow(sketch, given.drop("sketched_text").withColumns({"set": none, "fp": none, "keys": F.array(none)}).schema)
+    return given.mapInArrow(lean(sketch), given.drop("sketched_text").withColumns({"set": none, "fp": none, "keys": F.array(none)}).schema)
 
 
 def near(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
@@ -249,7 +249,7 @@ def similar(docs: DataFrame, rows: DataFrame, own_hash: Column, id_col: str, tex
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return told.mapInArrow(link, "a long, b long")
+    return told.mapInArrow(lean(link), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, least: float | None = None) -> DataFrame:

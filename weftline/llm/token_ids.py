@@ -13,7 +13,7 @@ from weftline.llm.cluster import FORGET, worker_turns_to
 
 #: Bytes of chunks and their ids that a worker remembers, about, in each of two halves: when the younger is full, the
 #: elder is forgotten and the younger takes its place. What is met again moves to the younger half.
-CACHE_BYTES = 56 << 20
+CACHE_BYTES = 24 << 20
 #: What a remembered chunk takes besides its letters and ids.
 EACH = 180
 #: Longer chunks are encoded each time.
