@@ -226,3 +226,22 @@ def test_events_of_a_pass_are_handed_on(spark):
     c = durable.Coordinator(g, rows, on_events=lambda e: seen.append({(r["run_key"], r["node_id"]) for r in e.where("status = 'done'").collect()}))
     assert c.run_to_completion().where("ok").count() == 2
     assert seen == [{("r", "start"), ("q", "start")}, {("r", "end"), ("q", "end")}]
+
+
+def test_each_document_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.graphs import exported, imported
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def document(i):
+        reads.add(1)
+        return '{"version": 1, "graph": {"nodes": [{"id": "a", "kind": "log"}, {"id": "b", "kind": "mystery"}], "edges": [{"id": "e", "source": "a", "target": "c"}]}}'
+
+    df = spark.range(3).select(F.col("id").alias("graph_id"), document.asNondeterministic()("id").alias("document"))
+    nodes, edges, issues = imported(df, lenient=True)
+    again, drawn, _ = imported(exported(nodes, edges), lenient=True)
+    assert issues.count() == 3 * 3 and again.count() == 6 and drawn.count() == 0
+    assert reads.value == 3

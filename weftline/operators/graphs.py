@@ -59,7 +59,8 @@ def imported(documents: DataFrame, key: str = "graph_id", text: str = "document"
     nodes have place, node_id, kind, label, config and outputs (JSON), terminal and may_float; edges have place,
     edge_id, source, target, source_handle and target_handle, those of them whose ends are nodes; issues have severity,
     message, node_id and edge_id. A document that is no object, and without `lenient` one of another version, has
-    issues alone. What a kind says of its config is not looked at here. Documents are read once, in Spark's own JSON.
+    issues alone. What a kind says of its config is not looked at here. Documents are read once, in Spark's own JSON:
+    what was read, and the edges with the nodes that they found, are written to the shared folder, from which all else follows.
     """
     registry = kinds or built_in()
     bad = F.lit("warning" if lenient else "error")
@@ -68,7 +69,8 @@ def imported(documents: DataFrame, key: str = "graph_id", text: str = "document"
     whole = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
     version = F.get_json_object("text", "$.version")
     right = F.coalesce(version == str(VERSION), F.lit(False))
-    read = read.withColumns({"whole": whole, "right": right})
+    read = cut(read.select(key, "d", whole.alias("whole"), right.alias("right"), version.alias("version")))
+    version = F.col("version")
     issue = lambda rows, severity, message, node=none, edge=none: rows.select(key, severity.alias("severity"), message.alias("message"), node.alias("node_id"), edge.alias("edge_id"))
     issues = [
         issue(read.where("not whole"), F.lit("error"), F.lit("Schema is not an object.")),
@@ -89,7 +91,7 @@ def imported(documents: DataFrame, key: str = "graph_id", text: str = "document"
     for end in ("source", "target"):
         told = told.join(own.select(key, F.col("node_id").alias(end), F.lit(True).alias(f"has_{end}")), [key, end], "left")
     lost = F.when(F.col("has_source").isNull(), F.concat(F.lit('Edge source "'), F.col("source"), F.lit('" not found.'))).when(F.col("has_target").isNull(), F.concat(F.lit('Edge target "'), F.col("target"), F.lit('" not found.')))
-    told = told.withColumn("lost", lost)
+    told = cut(told.withColumn("lost", lost).drop("has_source", "has_target"))
     issues.append(issue(told.where("lost is not null"), F.lit("warning"), F.col("lost"), edge=F.col("edge_id")))
     edges = told.where("lost is null").select(*drawn.columns)
     issues.append(issue(floating(nodes, edges, key), F.lit("error"), F.concat(F.lit('Node "'), F.col("node_id"), F.lit('" is connected to nothing.')), F.col("node_id")))
