@@ -245,3 +245,13 @@ def test_each_document_is_read_once(spark):
     again, drawn, _ = imported(exported(nodes, edges), lenient=True)
     assert issues.count() == 3 * 3 and again.count() == 6 and drawn.count() == 0
     assert reads.value == 3
+
+
+def test_a_pass_without_skips_writes_no_claims(spark, monkeypatch):
+    from weftline.operators import durable
+
+    g = graph([node("start", "manual_trigger"), node("end", "output")], "start>end")
+    c = durable.Coordinator(import_document(g, lenient=True).graph, spark.createDataFrame([(1, 2)], "run_key long, v long"))
+    kept = []
+    monkeypatch.setattr(c, "_keep", kept.append)
+    assert [r["dispatch"] for r in c.advance().collect()] == [["start"]] and not kept

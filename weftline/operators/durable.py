@@ -87,6 +87,21 @@ def folded(changes: DataFrame, claims: DataFrame, key: str = "run_key", outcomes
 
     Changes of one node of one run are folded together, as many as a batch has; claims and changes meet by run and node.
     """
+    ends = _ended(changes, claims, key)
+    return _outcomes(ends, key) if outcomes else _left(ends, key)
+
+
+def _outcomes(ends: DataFrame, key: str) -> DataFrame:
+    each = ends.where("changes is not null").select(key, "node_id", F.explode(F.arrays_zip(F.col("changes").alias("c"), F.col("end.applied").alias("a"))).alias("z"))
+    return each.select(key, "node_id", "z.c.seq", "z.c.op", F.col("z.a").alias("applied"))
+
+
+def _left(ends: DataFrame, key: str) -> DataFrame:
+    return ends.where("end.state is not null").select(key, "node_id", "end.state.*")
+
+
+def _ended(changes: DataFrame, claims: DataFrame, key: str) -> DataFrame:
+    """A row for each run and node of claims and changes: the changes in order, and what they end in with what was applied."""
     asked = changes.groupBy(key, "node_id").agg(F.array_sort(F.collect_list(F.struct("seq", *(_given(changes, n, t).alias(n) for n, t in (("op", "string"), ("owner", "string"), ("at", "bigint"), ("output", "string"), ("ports", "array<string>"), ("error", "string")))))).alias("changes"))
     known = claims.select(key, "node_id", F.struct(*(_given(claims, n, t).alias(n) for n, t in (f.split(" ") for f in CLAIM.split(", ")))).alias("had"))
     rows = known.join(asked, [key, "node_id"], "full_outer")
@@ -127,11 +142,7 @@ def folded(changes: DataFrame, claims: DataFrame, key: str = "run_key", outcomes
         return let(step(done["state"], c), lambda t: F.struct(t["state"].alias("state"), F.concat(done["applied"], F.array(t["applied"])).alias("applied")))
 
     end = F.aggregate(F.coalesce("changes", F.expr("array()").cast(asked.schema["changes"].dataType)), first, fold)
-    rows = rows.select(key, "node_id", "changes", end.alias("end"))
-    if outcomes:
-        each = rows.where("changes is not null").select(key, "node_id", F.explode(F.arrays_zip(F.col("changes").alias("c"), F.col("end.applied").alias("a"))).alias("z"))
-        return each.select(key, "node_id", "z.c.seq", "z.c.op", F.col("z.a").alias("applied"))
-    return rows.where("end.state is not null").select(key, "node_id", "end.state.*")
+    return rows.select(key, "node_id", "changes", end.alias("end"))
 
 
 def _given(df: DataFrame, name: str, kind: str) -> Column:
@@ -219,6 +230,9 @@ class Coordinator:
         if self.claims is None:
             none = (F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in ("node_id string, " + CLAIM).split(", ")))
             self.claims = self.runs.select(self.key, *none).where(F.lit(False))
+        else:
+            told = (_given(self.claims, n, t).alias(n) for n, t in (f.split(" ") for f in CLAIM.split(", ")))
+            self.claims = self.claims.select(self.key, "node_id", *told)
         self.passes = 0
 
     def _keep(self, claims: DataFrame) -> None:
@@ -236,7 +250,8 @@ class Coordinator:
         runs = self.runs if only is None else self.runs.join(only, self.key, "left_semi")
         front = cut(frontier(self.graph, runs, self.claims, self.key))
         skips = front.select(self.key, F.posexplode("skipped").alias("seq", "node_id"), F.lit("skip").alias("op"))
-        self._keep(folded(skips, self.claims, self.key))
+        if not skips.isEmpty():
+            self._keep(folded(skips, self.claims, self.key))
         return dispatched(front, self.max_concurrent).select(self.key, "dispatch")
 
     def run_nodes(self, targets: DataFrame) -> DataFrame:
@@ -249,8 +264,8 @@ class Coordinator:
         from weftline.plans.compiled import compile_graph, with_stored
 
         asked = targets.select(self.key, "node_id", "place", F.col("place").alias("seq"), F.lit("claim").alias("op"), "owner", self.now.alias("at"))
-        won = folded(asked, self.claims, self.key, outcomes=True).where("applied").select(self.key, "node_id")
-        claims = cut(folded(asked, self.claims, self.key))
+        ends = cut(_ended(asked, self.claims, self.key))
+        won, claims = _outcomes(ends, self.key).where("applied").select(self.key, "node_id"), _left(ends, self.key)
         mine = claims.join(won, [self.key, "node_id"], "left_semi").select(self.key, "node_id", "attempts", "first_attempt_at", "owner")
         by_run = mine.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("attempts", "first_attempt_at")))).alias("__targets"))
         rows, resume = with_stored(self.graph, self.runs.join(by_run, self.key), claims, self.key)
