@@ -91,6 +91,28 @@ def test_components(spark):
     assert cluster.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_passes_of_components_are_few_tasks(spark, monkeypatch):
+    """A driver holds what it knows of each task: a pass took 14 times the partitions, and now at most 7."""
+    path = [int(x) for x in np.random.default_rng(2).permutation(500)]
+    pairs = [*zip(path, path[1:], strict=False), *((9999, i) for i in range(1000, 1300)), *((2000, i) for i in range(2001, 2300))]
+    passes = []
+    stars = cluster._stars
+    monkeypatch.setattr(cluster, "_stars", lambda links: passes.append(1) or stars(links))
+    monkeypatch.setattr(cluster, "LINKS_AT_ONCE", 40, raising=False)
+    links = cluster.cut(spark.createDataFrame(pairs, "a long, b long").repartition(4))
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = cluster.components(links)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["component"] for r in found.collect()} == dict.fromkeys(range(500), 0) | dict.fromkeys([9999, *range(1000, 1300)], 1000) | dict.fromkeys(range(2000, 2300), 2000)
+    assert tasks <= 7 * 4 * len(passes), (tasks, passes)
+
+
 def check_pivots(rows, vectors, recall=1.0):
     sound = [i for i, (_, v) in enumerate(vectors) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     pairs = []

@@ -20,6 +20,8 @@ BLOCK_ROWS = 2048
 BROADCAST_KEYS = 100_000
 #: Linked pairs handled at once within a task.
 PAIRS_AT_ONCE = 1 << 20
+#: Links of which a task makes a forest at once.
+LINKS_AT_ONCE = 1 << 20
 #: Of texts or ids that go to Python at once: rows are of any length, so bytes are what bounds a task's memory.
 BATCH_BYTES = 8 << 20
 
@@ -159,27 +161,49 @@ class Forest:
         return below, self.root[below]
 
 
+def forests(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the given ones join: of LINKS_AT_ONCE at a time, each node's to the smallest that it reaches over these."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            trees = Forest(len(nodes))
+            trees.link(at[: len(a)], at[len(a) :])
+            below, root = trees.edges()
+            return pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root])], ["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= LINKS_AT_ONCE:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return links.select("a", "b").mapInArrow(lean(shrink), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that each can reach.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join, with the links written
-    to the shared folder after each pair of steps. They end in stars; the number of steps grows with the
-    logarithm of the longest path.
+    In each pass a link to a node goes on to the smallest one that this node has a link to; then tasks make forests of
+    what they hold, first where it lies and then by the larger ends, so that none gathers a hub's links. The links are written
+    to the shared folder after each pass. They end in stars; the number of passes grows with the logarithm of the longest path.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut(forests(forests(edges.where("a <> b")).repartition("a")))
     while not _stars(links):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        links = cut(small)
+        on = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        links = cut(forests(forests(links.join(on, "b", "left").select("a", F.coalesce("m", "b").alias("b"))).repartition("a")))
     ends = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
 
 
 def _stars(links: DataFrame) -> bool:
     """Whether every node has one link, and that to a node without one."""
-    n, nodes = links.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
-    return n == nodes and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+    nodes = links.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return nodes.where((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("least") == 0)).isEmpty()
