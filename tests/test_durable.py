@@ -255,3 +255,21 @@ def test_a_pass_without_skips_writes_no_claims(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(c, "_keep", kept.append)
     assert [r["dispatch"] for r in c.advance().collect()] == [["start"]] and not kept
+
+
+def test_export_is_one_text_whatever_the_order_of_rows(spark):
+    """Nodes are sorted as whole rows, and objects told from other JSON by a letter."""
+    import json
+
+    from weftline.operators import graphs
+
+    nodes = [("g", 1, "b", "log", None, '{"x":[1]}', None), ("g", 1, "a", "log", "l", None, "[]"), ("g", 0, "c", "end", None, "7", None)]
+    names = "graph_id string, place int, node_id string, kind string, label string, config string, outputs string"
+    edges = spark.createDataFrame([], "graph_id string, place int, edge_id string, source string, target string, source_handle string, target_handle string")
+    told = [graphs.exported(spark.createDataFrame(rows, names).coalesce(1), edges).first()["document"] for rows in (nodes, nodes[::-1])]
+    assert told[0] == told[1]
+    assert [n["id"] for n in json.loads(told[0])["graph"]["nodes"]] == ["c", "a", "b"]
+    texts = [' \n\t{"version":1}', "[1]", '"{}"', "{", "", None, "null"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "graph_id int, document string")
+    _, _, issues = graphs.imported(docs)
+    assert {r["graph_id"] for r in issues.where("message = 'Schema is not an object.'").collect()} == {1, 2, 3, 4, 5, 6}

@@ -66,7 +66,7 @@ def imported(documents: DataFrame, key: str = "graph_id", text: str = "document"
     bad = F.lit("warning" if lenient else "error")
     none = F.lit(None).cast("string")
     read = documents.select(key, F.col(text).alias("text"), F.from_json(text, _DOCUMENT).alias("d"))
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    whole = F.coalesce(F.col("text").rlike(r"^[ \t\n\r]*\{") & F.try_parse_json("text").isNotNull(), F.lit(False))
     version = F.get_json_object("text", "$.version")
     right = F.coalesce(version == str(VERSION), F.lit(False))
     read = cut(read.select(key, "d", whole.alias("whole"), right.alias("right"), version.alias("version")))
@@ -101,10 +101,10 @@ def imported(documents: DataFrame, key: str = "graph_id", text: str = "document"
 
 def exported(nodes: DataFrame, edges: DataFrame, key: str = "graph_id") -> DataFrame:
     """(graph_id, document): each graph's nodes and edges as JSON text, in their places; what imported() reads again."""
-    node = F.struct("place", F.struct(F.col("node_id").alias("id"), "kind", "label", F.try_parse_json("config").alias("config"), F.try_parse_json("outputs").alias("outputs")).alias("n"))
+    node = F.struct("place", F.struct(F.col("node_id").alias("id"), "kind", "label", "config", "outputs").alias("n"))
     edge = F.struct("place", F.struct(F.col("edge_id").alias("id"), "source", "target", F.col("source_handle").alias("sourceHandle"), F.col("target_handle").alias("targetHandle")).alias("e"))
     drawn = edges.groupBy(key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    placed = F.array_sort(F.collect_list(node), lambda a, b: a["place"] - b["place"])
-    rows = nodes.groupBy(key).agg(placed.alias("nodes")).join(drawn, key, "left")
-    body = F.struct(F.transform("nodes", lambda x: x["n"]).alias("nodes"), F.coalesce(F.transform("edges", lambda x: x["e"]), F.transform(F.slice("edges", 1, 0), lambda x: x["e"]), F.expr("cast(array() as array<struct<id:string,source:string,target:string,sourceHandle:string,targetHandle:string>>)")).alias("edges"))
+    told = lambda n: F.struct(n["id"].alias("id"), n["kind"].alias("kind"), n["label"].alias("label"), F.try_parse_json(n["config"]).alias("config"), F.try_parse_json(n["outputs"]).alias("outputs"))
+    rows = nodes.groupBy(key).agg(F.sort_array(F.collect_list(node)).alias("nodes")).join(drawn, key, "left")
+    body = F.struct(F.transform("nodes", lambda x: told(x["n"])).alias("nodes"), F.coalesce(F.transform("edges", lambda x: x["e"]), F.transform(F.slice("edges", 1, 0), lambda x: x["e"]), F.expr("cast(array() as array<struct<id:string,source:string,target:string,sourceHandle:string,targetHandle:string>>)")).alias("edges"))
     return rows.select(key, F.to_json(F.struct(F.lit(VERSION).alias("version"), body.alias("graph"))).alias("document"))
