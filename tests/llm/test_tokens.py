@@ -254,3 +254,27 @@ def test_a_lean_task_gives_back_memory(monkeypatch):
     assert next(cut_short) == 2
     cut_short.close()
     assert len(calls) == 2
+
+
+def test_words_are_looked_up_for_many_batches(monkeypatch):
+    monkeypatch.setattr(token_files, "AT_ONCE", 3000)
+    texts = ["alpha beta " * 20, "gamma alpha", None, "", "beta " * 900, "Delta, é"] * 3
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    together = list(token_files._together(iter(batches)))
+    assert [t for b in together for t in b.column(1).to_pylist()] == texts and len(together) < 10
+    assert all(b.nbytes <= 3000 or b.num_rows == 1 for b in together)
+    own, asked = Encoder(tokenizer_path(), at_once=1 << 20), []
+    chunks = own._chunks
+    monkeypatch.setattr(own, "_chunks", lambda words: (asked.extend(words), chunks(words))[1])
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.many(pa.array(texts))] == [plain(t) for t in texts]
+    assert asked.count("alpha") == 1 and own.known.keys() >= {"alpha", "beta", "gamma"}
+
+
+def test_range_coder_at_the_ends_of_chances():
+    """Blocks of one id, then of others at random: hits and misses where both are least expected; 16 and 32 bits."""
+    rng = np.random.default_rng(6)
+    for bits, most in ((16, 1 << 16), (32, 1 << 28)):
+        blocks = [np.concatenate([np.full(n, most - 2), rng.integers(0, most - 1, 900 - n), np.full(3000, 7), [8] * 9]) for n in (800, 500, 1, 0)]
+        coded = range_coder.encode(blocks, bits)
+        assert all((a == b).all() for a, b in zip(range_coder.decode(coded, [len(b) for b in blocks], bits), blocks, strict=True))
+        assert len(coded[0]) < 100 * bits // 8 + 700

@@ -16,8 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Entries of a lane's tables for order 1 and order 2: (id + 1) << 1 | whether it was right the last time, 0 for none.
+#: Entries of a lane's tables for order 1 and order 2: id << 3 | CODES, 0 for none. Ids are counted from 1 in all tables.
 ENTRIES = 1 << 9
+#: What an entry says of itself: in order 1, 4 if it was right the last time; in order 2, 1 for being there and 1 more if right.
+RIGHT, THERE = np.array([[4], [1]], np.int32), np.array([[0], [1]], np.int32)
+#: The entry of order 2 is that of the last id, moved by this times that of the id before.
+APART = 181
 SLOTS = 256
 #: Symbols after the slots: the escape, and the one without width that stands for a hit.
 ESCAPE, HIT = SLOTS, SLOTS + 1
@@ -29,10 +33,16 @@ P_BITS, F_BITS = 16, 12
 ONE, FULL = 1 << P_BITS, 1 << F_BITS
 LEAST = 64
 #: A state's probability moves by this part (a power of two) of what it missed, at every step that meets the state.
-RATE = 5
-#: A lane's width stays between 2 to the 31 and 2 to the 63; it gives 32 bits at a time.
+RATE = np.uint16(5)
+#: What a hit adds: a probability stays between 31 and ONE - 32, so neither part of a width is ever empty.
+GAIN = np.uint16((ONE >> 5) - 1)
+#: A lane's width is between 2 to the 31 and 2 to the 63 before each id; it gives 32 bits at a time, after the symbol and the
+#: escape. Between, the first part leaves 2 to the 20 at least, and the symbol 2 to the 8.
 SMALL, WORD, REST = np.uint64(1 << 31), np.uint64(32), np.uint64(31)
 LOW = np.uint64((1 << 31) - 1)
+#: Shifts of a width for its two scales, and the parts of a packed frequency.
+S_ESCAPE, S_HIT = np.int16(ESCAPE), np.int16(HIT)
+P_SHIFT, F_SHIFT, FIRST, OWN, NONE = np.uint64(P_BITS), np.uint64(F_BITS), np.uint64(16), np.uint64(0xFFFF), np.uint64(0)
 
 _STRETCH = np.array([int(round(256 * np.log((i + 0.5) / (256 - i - 0.5)))) for i in range(256)], np.int64)  # of p >> 8
 _SQUASH = np.array([int(round(ONE / (1 + np.exp(-(i - 2047) / 256)))) for i in range(4095)], np.int64)
@@ -41,244 +51,273 @@ _SQUASH = np.array([int(round(ONE / (1 + np.exp(-(i - 2047) / 256)))) for i in r
 class _Model:
     """The state of all lanes, and its steps."""
 
-    def __init__(self, lanes: int, steps: int, inverse: bool):
+    def __init__(self, lanes: int, inverse: bool):
         self.lanes, self.inverse = lanes, inverse
         lane = np.arange(lanes)
-        self.base, self.slots, self.states, self.symbols = lane * ENTRIES, lane * SLOTS, lane * 64, lane * SYMBOLS
-        self.t1, self.t2 = np.zeros(lanes * ENTRIES, np.int32), np.zeros(lanes * ENTRIES, np.int32)
-        self.slot = np.full(lanes * SLOTS, -1, np.int32)
-        self.often = np.zeros(lanes * SLOTS, np.uint8)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.hits = [np.full((lanes, 4), 1, np.int64) for _ in range(3)]
-        self.tries = [np.full((lanes, 4), 8, np.int64) for _ in range(3)]
+        self.slots, self.states, self.symbols = lane * SLOTS, lane * 64, lane * SYMBOLS
+        self.base = np.stack([lane * ENTRIES, (lanes + lane) * ENTRIES])
+        self.table = np.zeros(2 * lanes * ENTRIES, np.int32)
+        self.slot = np.zeros(lanes * SLOTS, np.int32)
+        self.hits = [np.full((4, lanes), 1, np.int64) for _ in range(3)]
+        self.tries = [np.full((4, lanes), 8, np.int64) for _ in range(3)]
         self.weight = np.full((3, lanes), 24000, np.int64)
         self.count = np.zeros((lanes, SYMBOLS), np.int64)
         self.count[:, ESCAPE] = 4
         self.packed = np.zeros((lanes, SYMBOLS), np.uint32)  # first << 16 | width
         self.packed[:, HIT] = FULL
-        self.tiled = np.tile(np.arange(HIT, dtype=np.int16), lanes) if inverse else None
+        self.flat = self.packed.reshape(-1)
+        if inverse:
+            self.tiled = np.tile(np.arange(HIT).astype(np.uint8), lanes)
         self.said = np.zeros((EVERY, lanes), np.int16)  # symbols
-        self.was = np.zeros((EVERY, lanes), np.int16)  # state, and 64 for a hit
+        self.was = np.zeros((EVERY, lanes), np.int16)  # states
         self.rows = 0
         self.refresh(lanes)
 
     def refresh(self, m: int) -> None:
+        lanes = self.lanes
         if self.rows:
             said, was = self.said[: self.rows, :m], self.was[: self.rows, :m]
-            self.count[:m] += np.bincount((said + self.symbols[:m]).ravel(), minlength=m * SYMBOLS).reshape(m, SYMBOLS)
-            both = np.bincount((was + self.states[:m] * 2).ravel(), minlength=m * 128).reshape(m, 2, 64)
-            hits, tries = both[:, 1], both.sum(1)
-            error = (hits * ONE - tries * self.p.reshape(-1, 64)[:m]).reshape(m, 4, 4, 4)
-            total = np.maximum(1, tries.sum(1)) * 64
-            for k, others in enumerate(((1, 2), (1, 3), (2, 3))):  # a state is order 0, order 1, order 2
-                self.weight[k, :m] += np.clip((error.sum(others) * self.bent[k][:m]).sum(1) // total, -16000, 16000)
-                self.hits[k][:m] += hits.reshape(m, 4, 4, 4).sum(others)
-                self.tries[k][:m] += tries.reshape(m, 4, 4, 4).sum(others)
+            self.count += np.bincount((said + self.symbols[:m]).ravel(), minlength=lanes * SYMBOLS).reshape(lanes, SYMBOLS)
+            met = (said == HIT).view(np.int8) * np.int16(64)
+            met += was
+            both = np.bincount((met + self.states[:m] * 2).ravel(), minlength=lanes * 128).reshape(lanes, 128).T
+            hits, tries = both[64:].copy(), both[:64] + both[64:]
+            error = hits * ONE - tries * self.p
+            total = np.maximum(1, tries.sum(0)) * 64
+            for k, (e, h, t) in enumerate(zip(*map(_by_order, (error, hits, tries)), strict=True)):
+                self.weight[k] += np.clip((e * self.bent[k]).sum(0) // total, -16000, 16000)
+                self.hits[k] += h
+                self.tries[k] += t
             self.rows = 0
-        # the mixed probability of each state
+        # the mixed probability of each state: a row is a state, of order 0, order 1, order 2
         self.bent = [_STRETCH[h * 255 // t] for h, t in zip(self.hits, self.tries, strict=True)]
-        two, one, none = (w[:, None] * b for w, b in zip(self.weight, self.bent, strict=True))
-        dot = (none[:, :, None, None] + one[:, None, :, None] + two[:, None, None, :]).reshape(self.lanes, 64)
+        two, one, none = (w * b for w, b in zip(self.weight, self.bent, strict=True))
+        dot = (none[:, None, None] + one[:, None] + two).reshape(64, lanes)
         dot >>= 16
         np.clip(dot, -2047, 2047, out=dot)
-        self.p = np.clip(_SQUASH[dot + 2047], LEAST, ONE - LEAST).ravel()
-        self.chance = self.p.astype(np.int32)
+        dot += 2047
+        self.p = np.clip(_SQUASH.take(dot, mode="clip"), LEAST, ONE - LEAST)
+        self.chance = self.p.T.astype(np.uint16, order="C").ravel()
         # frequencies of slots and escape: none is zero, and they add up to FULL
-        own = (self.count[:, :HIT] * (FULL - HIT) / self.count[:, :HIT].sum(1, keepdims=True)).astype(np.int32)  # exact: all are below 2 to the 31
+        count = self.count[:, :HIT]
+        own = (count * ((FULL - HIT) / count.sum(1, keepdims=True))).astype(np.int32)  # the same doubles on any machine
         own += 1
         own[:, ESCAPE] += FULL - own.sum(1, dtype=np.int32)
+        first = np.cumsum(own[:, :-1], axis=1, dtype=np.int32)
+        first <<= 16
         self.packed[:, :HIT] = own
-        self.packed[:, 1:HIT] += np.cumsum(own[:, :-1], axis=1, dtype=np.int32).astype(np.uint32) << np.uint32(16)
-        self.flat = self.packed.ravel()
+        self.packed[:, 1:HIT] += first.view(np.uint32)
         if self.inverse:
-            self.at = np.repeat(self.tiled, own.ravel())
-        np.minimum(self.count[:, :SLOTS], 255, out=self.often.reshape(self.lanes, SLOTS), casting="unsafe")
-        self.often = _GRADE[self.often]
+            self.at = np.repeat(self.tiled, own.ravel())  # the slot of each place, and where the escape begins
+            self.edge = first[:, -1] >> 16
+        self.often = _GRADE.take(count[:, :SLOTS].ravel(), mode="clip")
 
-    def predict(self, m: int) -> np.ndarray:
-        """For the first m lanes: the candidate, and the scaled probability that the id is it."""
-        one = self.last1[:m]
-        a = one * 40503
-        b = a + self.last2[:m] * 69621
-        a >>= 4
-        a &= ENTRIES - 1
-        a += self.base[:m]
-        b >>= 5
-        b &= ENTRIES - 1
-        b += self.base[:m]
-        self.at1, self.at2 = a, b
-        e1, e2 = self.t1.take(a, mode="clip"), self.t2.take(b, mode="clip")
-        self.i1, self.i2 = e1 >> 1, e2 >> 1
-        there = e2 > 0
-        cand = np.where(there, self.i2, self.i1)
-        state = (e2 & 1) + there
-        agree = self.i1 == cand
-        state += ((e1 & 1) + (agree.view(np.int8) << 1)) << 2
-        cand -= 1
-        self.cand = cand
+    def predict(self, at: np.ndarray, m: int) -> None:
+        """For the first m lanes, from where the tables' entries are: the candidate, and the scaled probability that the id is it."""
+        e = self.table.take(at, mode="clip")
+        i = self.i = e >> 3
+        e &= 7
+        state = e[0] + e[1]
+        cand = self.cand = np.where(i[1], i[1], i[0])
+        state += (i[0] == cand).view(np.int8) << 3
         o = (cand & (SLOTS - 1)) + self.slots[:m]
-        state += self.often.take(o, mode="clip")
-        self.state = state
-        self.spot = state + self.states[:m]
-        now = self.now = self.chance.take(self.spot, mode="clip")
-        return now.astype(np.uint64)
+        was = self.was[self.rows, :m]
+        np.add(state, self.often.take(o, mode="clip"), out=was, casting="unsafe")
+        self.spot = was + self.states[:m]
+        self.now = self.chance.take(self.spot, mode="clip")
 
-    def learn(self, m: int, ids: np.ndarray, hit: np.ndarray, symbol: np.ndarray) -> None:
-        """ids as int32."""
+    def learn(self, at: np.ndarray, m: int, ids: np.ndarray, fresh: np.ndarray, hit: np.ndarray, symbol: np.ndarray) -> None:
+        """ids as int32, and as new entries."""
         self.said[self.rows, :m] = symbol
-        np.add(self.state, hit.view(np.int8) << 6, out=self.was[self.rows, :m], casting="unsafe")
         self.rows += 1
-        now = self.now
-        self.chance[self.spot] = now + np.where(hit, (ONE - now) >> RATE, -(now >> RATE))
-        more = ids + 1
-        fresh = more << 1
-        self.t1[self.at1] = fresh + (self.i1 == more)
-        self.t2[self.at2] = fresh + (self.i2 == more)
-        self.last2[:m] = self.last1[:m]
-        self.last1[:m] = ids
+        moved = self.now - (self.now >> RATE)
+        moved += hit * GAIN
+        self.chance[self.spot] = moved
+        right = (self.i == ids) * RIGHT
+        right += fresh
+        self.table[at] = right
 
     def due(self, t: int) -> bool:
         return t in REFRESH or t % EVERY == 0
 
 
+def _by_order(x: np.ndarray) -> list[np.ndarray]:
+    """Sums of the states' rows for each state of order 2, of order 1 and of order 0."""
+    x = x.reshape(4, 4, 4, -1)
+    late = x.sum(0)
+    return [late.sum(0), late.sum(1), x.sum(2).sum(1)]
+
+
 #: How often a slot was seen, in four grades, shifted to their place in a state.
-_GRADE = np.array([0 if i < 1 else 16 if i < 3 else 32 if i < 8 else 48 for i in range(256)], np.uint8)
+_GRADE = np.array([0 if i < 1 else 16 if i < 3 else 32 if i < 8 else 48 for i in range(9)], np.int8)
 
 
 def encode(ids: list[np.ndarray], bits: int) -> list[bytes]:
-    """Each block's ids as bytes; the blocks' lengths must not grow. ids are below 2 to the power of bits and 2 to the 29."""
+    """Each block's ids as bytes; the blocks' lengths must not grow. ids are below 2 to the power of bits and 2 to the 28."""
     lanes, steps = len(ids), len(ids[0])
-    x = np.zeros((steps, lanes), np.int32)
+    x = np.zeros((steps + 2, lanes), np.int32)  # after two that are none
     for i, block in enumerate(ids):
-        x[: len(block), i] = block
+        x[2 : len(block) + 2, i] = block
+        x[2 : len(block) + 2, i] += 1
     sizes = np.array([len(b) for b in ids])
-    model = _Model(lanes, steps, False)
+    model = _Model(lanes, False)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
-    words = np.zeros((lanes, steps * (2 if bits > 16 else 1) * 3 // 2 + 8), np.uint64)
-    flat, stride = words.reshape(-1), words.shape[1]
-    used = np.arange(lanes) * stride
-    start = used.copy()
+    words = np.zeros((steps * (2 if bits > 16 else 1) * 3 // 2 + 8, lanes), np.uint64)
+    flat, used = words.reshape(-1), np.arange(lanes)
     ends = set(sizes.tolist())
     m = lanes
-    raw_bits, raw_unit = min(bits, 16), np.uint64(min(bits, 16))
+    raw_unit, most = np.uint64(min(bits, 16)), np.uint64((1 << min(bits, 16)) - 1)
 
-    def shift(m: int) -> None:
-        """Lanes whose width is small give their first 32 bits, with what carries in the 33rd."""
-        rows = (width[:m] < SMALL).nonzero()[0]
-        if len(rows):
-            own, at = low.take(rows, mode="clip"), used.take(rows, mode="clip")
-            flat[at] = own >> REST
-            used[rows] = at + 1
-            low[rows] = (own & LOW) << WORD
-            width[rows] = width.take(rows, mode="clip") << WORD
+    def give(rows: np.ndarray, own: np.ndarray) -> None:
+        """Lanes whose width is small give their first 32 bits of low, with what carries in the 33rd."""
+        at = used.take(rows, mode="clip")
+        flat[at] = own >> REST
+        at += lanes
+        used[rows] = at
+        own &= LOW
+        own <<= WORD
+        low[rows] = own
+        width[rows] = width.take(rows, mode="clip") << WORD
 
     for t in range(steps):
         if t in ends:
             m = int((sizes > t).sum())
         if t and model.due(t):
             model.refresh(m if t not in ends else int((sizes >= t).sum()))
-        now = x[t, :m]
+        row = t % 64
+        if row == 0:  # all that follows from the ids alone
+            part = x[t : t + 66]
+            entry = part[:-1] & (ENTRIES - 1)
+            place = np.empty((len(entry) - 1, 2, lanes), np.int64)
+            place[:, 0] = entry[1:]
+            place[:, 1] = (entry[1:] + entry[:-1] * APART) & (ENTRIES - 1)
+            place += model.base
+            fresh = (part[2:, None] << 3) + THERE
+            slots = (part[2:] & (SLOTS - 1)).astype(np.int16)
+            spots = slots + model.slots
+        at, now = place[row, :, :m], x[t + 2, :m]
         w, lo = width[:m], low[:m]
-        part = model.predict(m)
-        part *= w >> np.uint64(P_BITS)
+        model.predict(at, m)
         hit = now == model.cand
-        lo += np.where(hit, np.uint64(0), part)
-        w[:] = np.where(hit, part, w - part)
-        shift(m)
-        slot = now & (SLOTS - 1)
-        at = slot + model.slots[:m]
-        known = model.slot.take(at, mode="clip") == now
-        symbol = np.where(hit, HIT, np.where(known, slot, ESCAPE))
-        both = model.flat.take(symbol + model.symbols[:m], mode="clip")
-        w >>= np.uint64(F_BITS)
-        lo += w * (both >> np.uint32(16))
-        w *= both & np.uint32(0xFFFF)
-        shift(m)
+        part = w >> P_SHIFT
+        part *= model.now.astype(np.uint64)
+        w -= part
+        lo += np.where(hit, NONE, part)
+        np.copyto(w, part, where=hit)
+        spot = spots[row, :m]
+        known = model.slot.take(spot, mode="clip") == now
+        symbol = np.where(hit, S_HIT, np.where(known, slots[row, :m], S_ESCAPE))
+        both = model.flat.take(symbol + model.symbols[:m], mode="clip").astype(np.uint64)
+        w >>= F_SHIFT
+        lo += w * (both >> FIRST)
+        both &= OWN
+        w *= both
+        rows = (w < SMALL).nonzero()[0]
+        if len(rows):
+            give(rows, low.take(rows, mode="clip"))
         rows = (symbol == ESCAPE).nonzero()[0]
         if len(rows):
-            left = now.take(rows, mode="clip").astype(np.uint64)
+            left = (now.take(rows, mode="clip") - 1).astype(np.uint64)
             for b in range(0, bits, 16):
                 unit = width.take(rows, mode="clip") >> raw_unit
-                low[rows] = low.take(rows, mode="clip") + unit * ((left >> np.uint64(b)) & np.uint64((1 << raw_bits) - 1))
-                width[rows] = unit
-                shift(m)
-        model.slot[at] = now
-        model.learn(m, now, hit, symbol)
+                own = low.take(rows, mode="clip") + unit * ((left >> np.uint64(b)) & most)
+                low[rows], width[rows] = own, unit
+                small = unit < SMALL
+                give(rows[small], own[small])
+        model.slot[spot] = now
+        model.learn(at, m, now, fresh[row, :, :m], hit, symbol)
     for _ in range(2):  # what is left of low
         flat[used] = low >> REST
         low = (low & LOW) << WORD
-        used += 1
-    used -= start
-    for i in range(int(used.max()) - 1, 0, -1):  # carries
-        words[:, i - 1] += words[:, i] >> WORD
-    out = words[:, : int(used.max())].astype(np.uint32)
-    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
+        used += lanes
+    used //= lanes
+    n = int(used.max())
+    for i in range(n - 1, 0, -1):  # carries
+        words[i - 1] += words[i] >> WORD
+    out = words[:n].T.astype("<u4", order="C")
+    return [out[i, : used[i]].tobytes() for i in range(lanes)]
 
 
 def decode(coded: list[bytes], sizes: list[int], bits: int) -> list[np.ndarray]:
     """The blocks' ids again."""
     lanes, steps = len(coded), sizes[0]
-    words = np.zeros((lanes, max(len(c) for c in coded) // 4 + 8), np.uint64)
+    given = np.zeros((lanes, max(len(c) for c in coded) // 4 + 8), np.uint64)
     for i, c in enumerate(coded):
-        words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
+        given[i, : len(c) // 4] = np.frombuffer(c, "<u4")
+    code = (given[:, 0] << REST) | (given[:, 1] >> np.uint64(1))
+    words = ((given[:, 1:-1] << REST) | (given[:, 2:] >> np.uint64(1))).astype(np.uint32)  # 32 bits each, after those 63
+    del given
     flat, stride = words.reshape(-1), words.shape[1]
-    code = (words[:, 0] << REST) | (words[:, 1] >> np.uint64(1))
-    spare = words[:, 1] & np.uint64(1)  # the one bit of the second word that code has not taken in yet
-    used = np.arange(lanes) * stride + 2
+    used = np.arange(lanes) * stride
     width = np.full(lanes, 1 << 63, np.uint64)
-    model = _Model(lanes, steps, True)
+    model = _Model(lanes, True)
     x = np.zeros((steps, lanes), np.int32)
     lengths = np.array(sizes)
     ends, m = set(sizes), lanes
-    raw_bits, raw_unit = min(bits, 16), np.uint64(min(bits, 16))
-    full, most = np.uint64(FULL - 1), np.uint64((1 << raw_bits) - 1)
+    raw_unit, most = np.uint64(min(bits, 16)), np.uint64((1 << min(bits, 16)) - 1)
+    full = np.uint64(FULL - 1)
     lanes_full = np.arange(lanes) * FULL
+    now, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    place = np.empty((2, lanes), np.int64)
 
-    def shift(m: int) -> None:
-        rows = (width[:m] < SMALL).nonzero()[0]
-        if len(rows):
-            at = used.take(rows, mode="clip")
-            new = flat.take(at, mode="clip")
-            code[rows] = (code.take(rows, mode="clip") << WORD) | (spare.take(rows, mode="clip") << REST) | (new >> np.uint64(1))
-            spare[rows] = new & np.uint64(1)
-            used[rows] = at + 1
-            width[rows] = width.take(rows, mode="clip") << WORD
+    def take(rows: np.ndarray, own: np.ndarray) -> None:
+        """Lanes whose width is small take 32 bits more into their code."""
+        at = used.take(rows, mode="clip")
+        own <<= WORD
+        own |= flat.take(at, mode="clip")
+        code[rows] = own
+        at += 1
+        used[rows] = at
+        width[rows] = width.take(rows, mode="clip") << WORD
 
     for t in range(steps):
         if t in ends:
             m = int((lengths > t).sum())
         if t and model.due(t):
             model.refresh(m if t not in ends else int((lengths >= t).sum()))
-        w, c = width[:m], code[:m]
-        part = model.predict(m)
-        part *= w >> np.uint64(P_BITS)
+        w, c, at = width[:m], code[:m], place[:, :m]
+        entry = now[:m] & (ENTRIES - 1)
+        np.add(entry, model.base[0, :m], out=at[0])
+        moved = before[:m] + entry
+        moved &= ENTRIES - 1
+        np.add(moved, model.base[1, :m], out=at[1])
+        before = entry * APART
+        model.predict(at, m)
+        part = w >> P_SHIFT
+        part *= model.now.astype(np.uint64)
         hit = c < part
-        c -= np.where(hit, np.uint64(0), part)
-        w[:] = np.where(hit, part, w - part)
-        shift(m)
-        w >>= np.uint64(F_BITS)
+        w -= part
+        c -= np.where(hit, NONE, part)
+        np.copyto(w, part, where=hit)
+        w >>= F_SHIFT
         value = np.minimum(c // w, full).astype(np.int64)
+        escape = value >= model.edge[:m]
         value += lanes_full[:m]
-        symbol = np.where(hit, HIT, model.at.take(value, mode="clip"))
-        both = model.flat.take(symbol + model.symbols[:m], mode="clip")
-        c -= w * (both >> np.uint32(16))
-        w *= both & np.uint32(0xFFFF)
-        shift(m)
-        at = (symbol & (SLOTS - 1)) + model.slots[:m]
-        now = x[t, :m]
-        now[:] = np.where(hit, model.cand, model.slot.take(at, mode="clip"))
+        symbol = np.where(hit, S_HIT, np.where(escape, S_ESCAPE, model.at.take(value, mode="clip")))
+        both = model.flat.take(symbol + model.symbols[:m], mode="clip").astype(np.uint64)
+        c -= w * (both >> FIRST)
+        both &= OWN
+        w *= both
+        rows = (w < SMALL).nonzero()[0]
+        if len(rows):
+            take(rows, code.take(rows, mode="clip"))
+        spot = (symbol & (SLOTS - 1)) + model.slots[:m]
+        now = np.where(hit, model.cand, model.slot.take(spot, mode="clip"))
         rows = (symbol == ESCAPE).nonzero()[0]
         if len(rows):
-            got = np.zeros(len(rows), np.uint64)
+            got = np.ones(len(rows), np.uint64)
             for b in range(0, bits, 16):
                 unit = width.take(rows, mode="clip") >> raw_unit
                 own = code.take(rows, mode="clip")
                 piece = np.minimum(own // unit, most)
-                code[rows] = own - unit * piece
-                width[rows] = unit
-                got |= piece << np.uint64(b)
-                shift(m)
+                own -= unit * piece
+                got += piece << np.uint64(b)
+                code[rows], width[rows] = own, unit
+                small = unit < SMALL
+                take(rows[small], own[small])
             now[rows] = got
+        x[t, :m] = now
         model.slot[(now & (SLOTS - 1)) + model.slots[:m]] = now
-        model.learn(m, now, hit, symbol)
+        model.learn(at, m, now, (now << 3) + THERE, hit, symbol)
+    x -= 1
     return [x[:n, i].copy() for i, n in enumerate(sizes)]

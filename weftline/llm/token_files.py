@@ -2,7 +2,7 @@
 
 A file holds groups, one after the other, of documents in ascending doc_id order. A group is
 
-    magic, part, documents, blocks, bits     "WRC1" and four unsigned 32-bit integers
+    magic, part, documents, blocks, bits     "WRC2" and four unsigned 32-bit integers
     documents x (doc_id, ids, flags)         signed 64-bit, unsigned 32-bit, 1: begun in the group before, 2: null doc_id
     blocks x (ids, bytes, crc of the coded bytes, crc of the ids as unsigned 32-bit integers)
     crc of all the above
@@ -29,11 +29,14 @@ from weftline.llm.cluster import cut, in_bounds, joined_small
 from weftline.llm.range_coder import decode, encode
 from weftline.llm.token_ids import encoder
 
-MAGIC, END = b"WRC1", "|END"
+MAGIC, END = b"WRC2", "|END"
 #: Ids of a block, and blocks of a group: what a task holds at once.
 BLOCK, GROUP = 4096, 2048
 #: Bytes of texts of a file, about: Spark reads a file back as one row, of 2 GB at most.
 FILE_BYTES = 256 << 20
+#: Bytes of texts whose words are looked up together, and of the words that a worker remembers, in each of two halves:
+#: a word is looked up once for all its places in so many bytes, so that more of them take less time.
+AT_ONCE, CACHE_BYTES = 16 << 20, 48 << 20
 HEAD = struct.Struct("<4s4I")
 DOCS = np.dtype([("id", "<i8"), ("n", "<u4"), ("flags", "u1")])
 BLOCKS = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("coded", "<u4"), ("ids", "<u4")])
@@ -70,6 +73,20 @@ def groups(content: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at += len(END)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to at most AT_ONCE bytes; one that is larger stays by itself."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > AT_ONCE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write each whole text's ids and the end id to files under path, in ascending doc_id order.
 
@@ -85,7 +102,7 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path, CACHE_BYTES, AT_ONCE)
         part, kind = TaskContext.get().partitionId(), f"<u{ids_of.width}"
         bits = 16 * (ids_of.width // 2)
         end = end_id.to_bytes(ids_of.width, "little")
@@ -96,21 +113,19 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([_group(part, docs, np.concatenate(held), bits)], pa.binary())], ["value"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                slice_ = batch.slice(at, 1000)
-                for doc, own in zip(slice_.column(0).to_pylist(), ids_of.many(slice_.column(1)), strict=True):
-                    ids = np.frombuffer(own + end, kind)
-                    null = 0 if doc is not None else 2
-                    begun = 0
-                    while len(ids):
-                        some = ids[: BLOCK * GROUP - n]
-                        docs.append((doc or 0, len(some), begun | null))
-                        held.append(some)
-                        n, ids, begun = n + len(some), ids[len(some) :], 1
-                        if n == BLOCK * GROUP:
-                            yield out()
-                            docs, held, n = [], [], 0
+        for batch in _together(batches):
+            for doc, own in zip(batch.column(0).to_pylist(), ids_of.many(batch.column(1)), strict=True):
+                ids = np.frombuffer(own + end, kind)
+                null = 0 if doc is not None else 2
+                begun = 0
+                while len(ids):
+                    some = ids[: BLOCK * GROUP - n]
+                    docs.append((doc or 0, len(some), begun | null))
+                    held.append(some)
+                    n, ids, begun = n + len(some), ids[len(some) :], 1
+                    if n == BLOCK * GROUP:
+                        yield out()
+                        docs, held, n = [], [], 0
         if docs:
             yield out()
 

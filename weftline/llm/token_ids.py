@@ -25,6 +25,8 @@ LETTERS = r"A-Za-zÀ-ÖØ-öø-įı-ɏ"
 MARKS = r"!-&(-/:-@\[-`{}~"
 PIECE = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
 PLAIN = re.compile(rf"(?:[{LETTERS}0-9{MARKS}])+")
+#: What is one piece, lower-cased, and spelt letter by letter.
+WORD = re.compile(r"[a-zß-öø-ÿ]+")
 #: For Arrow: texts that can be lower-cased and cut as a whole, and what is cut off from letters there.
 SIMPLE, CUT = rf"^[A-Za-zÀ-ÖØ-öø-ÿ0-9{MARKS}\t\n\f\r ]*$", rf"[0-9]|[{MARKS}]+"
 
@@ -37,9 +39,11 @@ class Encoder:
     remembered. A chunk of plain Latin letters, digits and marks is cut further, just as such a tokenizer's own
     rule cuts it, and for one that lower-cases, Latin chunks are lower-cased first. Any other tokenizer encodes
     each text as it is.
+
+    cache_bytes and at_once are CACHE_BYTES and AT_ONCE for a task that has room for more.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None, at_once: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,6 +52,9 @@ class Encoder:
         self.by_chunk = self._drops_space()
         self.lowers = self.by_chunk and all(self._ids(t) == self._ids(t.lower()) for t in ("QUITE Öde", "Él"))
         self.spelt = self._spelling() if self.lowers else {}
+        if self.spelt and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words come here once, and keeping them there doubles their time
+        self.cache_bytes, self.at_once = cache_bytes, at_once
         self.known: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
         self.bytes = 0
@@ -78,7 +85,7 @@ class Encoder:
         return np.array(self._ids(text), f"<u{self.width}").tobytes()
 
     def _remembered(self, text: str, ids: bytes) -> bytes:
-        if self.bytes >= CACHE_BYTES:
+        if self.bytes >= (self.cache_bytes or CACHE_BYTES):
             self.elder, self.known, self.bytes = self.known, {}, 0
         self.known[text] = ids
         self.bytes += len(text) + len(ids) + EACH
@@ -102,6 +109,23 @@ class Encoder:
             self._remembered(piece, ids)
         return ids
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Most that are new are words of small letters: these go straight to the model."""
+        found = list(map(self.known.get, chunks))
+        tokenize, spelt, width = self.model.tokenize, self.spelt, self.width
+        for i, ids in enumerate(found):
+            if ids is not None:
+                continue
+            chunk = chunks[i]
+            if not spelt or len(chunk) > LONGEST or not WORD.fullmatch(chunk):
+                found[i] = self._chunk(chunk)
+                continue
+            ids = self.elder.get(chunk)
+            if ids is None:
+                ids = b"".join([t.id.to_bytes(width, "little") for t in tokenize(chunk if chunk.isascii() else chunk.translate(spelt))])
+            found[i] = self._remembered(chunk, ids)
+        return found
+
     def _chunk(self, chunk: str) -> bytes:
         if self.lowers and "<|" not in chunk and _latin(chunk):
             chunk = chunk.lower()
@@ -128,7 +152,7 @@ class Encoder:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
-            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (self.at_once or AT_ONCE), "right")))
             part = pc.fill_null(texts.slice(at, upto - at), "")
             odd = pc.match_substring_regex(part, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)  # white space to Arrow alone
             spaced = part
@@ -138,7 +162,7 @@ class Encoder:
                 spaced = pc.if_else(simple, spaced, part)
             words = pc.utf8_split_whitespace(spaced)
             flat = words.flatten().dictionary_encode()
-            ids = pa.array([self.known.get(w) or self._chunk(w) for w in flat.dictionary.to_numpy(zero_copy_only=False)], pa.large_binary())
+            ids = pa.array(self._chunks(flat.dictionary.to_pylist()), pa.large_binary())
             every = ids.take(flat.indices)
             starts = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1, every.offset * 8)
             data = memoryview(every.buffers()[2]) if every.buffers()[2] is not None else b""
@@ -162,12 +186,14 @@ _encoders: dict[str, Encoder] = {}
 FORGET.append(_encoders.clear)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int | None = None, at_once: int | None = None) -> Encoder:
     """This worker's encoder for a file, kept from task to task."""
     worker_turns_to("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = _encoders[path]
+    own.cache_bytes, own.at_once = cache_bytes, at_once
+    return own
 
 
 def width_of(path: str) -> int:
