@@ -14,6 +14,8 @@ of the mixture and the slots' frequencies come into force at the steps REFRESH,
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 
 #: Entries of a lane's tables for order 1 and order 2: id << 3 | CODES, 0 for none. Ids are counted from 1 in all tables.
@@ -36,6 +38,8 @@ LEAST = 64
 RATE = np.uint16(5)
 #: What a hit adds: a probability stays between 31 and ONE - 32, so neither part of a width is ever empty.
 GAIN = np.uint16((ONE >> 5) - 1)
+#: Lanes whose counts come into force at once, and steps whose places are found at once: few, so that they stay near the processor.
+TURN, AHEAD = 128, 16
 #: A lane's width is between 2 to the 31 and 2 to the 63 before each id; it gives 32 bits at a time, after the symbol and the
 #: escape. Between, the first part leaves 2 to the 20 at least, and the symbol 2 to the 8.
 SMALL, WORD, REST = np.uint64(1 << 31), np.uint64(32), np.uint64(31)
@@ -58,8 +62,9 @@ class _Model:
         self.base = np.stack([lane * ENTRIES, (lanes + lane) * ENTRIES])
         self.table = np.zeros(2 * lanes * ENTRIES, np.int32)
         self.slot = np.zeros(lanes * SLOTS, np.int32)
-        self.hits = [np.full((4, lanes), 1, np.int64) for _ in range(3)]
-        self.tries = [np.full((4, lanes), 8, np.int64) for _ in range(3)]
+        self.hits, self.tries = np.full((3, 4, lanes), 1, np.int64), np.full((3, 4, lanes), 8, np.int64)
+        self.bent, self.p = np.zeros((3, 4, lanes), np.int64), np.zeros((64, lanes), np.int32)
+        self.chance, self.often = np.zeros(lanes * 64, np.uint16), np.zeros(lanes * SLOTS, np.int8)
         self.weight = np.full((3, lanes), 24000, np.int64)
         self.count = np.zeros((lanes, SYMBOLS), np.int64)
         self.count[:, ESCAPE] = 4
@@ -67,50 +72,56 @@ class _Model:
         self.packed[:, HIT] = FULL
         self.flat = self.packed.reshape(-1)
         if inverse:
-            self.tiled = np.tile(np.arange(HIT).astype(np.uint8), lanes)
+            self.tiled = np.tile(np.arange(HIT).astype(np.uint8), min(lanes, TURN))
+            self.at, self.edge = np.zeros(lanes * FULL, np.uint8), np.zeros(lanes, np.int32)
         self.said = np.zeros((EVERY, lanes), np.int16)  # symbols
         self.was = np.zeros((EVERY, lanes), np.int16)  # states
         self.rows = 0
         self.refresh(lanes)
 
     def refresh(self, m: int) -> None:
-        lanes = self.lanes
+        for a in range(0, m, TURN):
+            self.refresh_lanes(a, min(a + TURN, self.lanes))
+        self.rows = 0
+
+    def refresh_lanes(self, a: int, b: int) -> None:
+        lanes, bent, count = b - a, self.bent[..., a:b], self.count[a:b]
         if self.rows:
-            said, was = self.said[: self.rows, :m], self.was[: self.rows, :m]
-            self.count += np.bincount((said + self.symbols[:m]).ravel(), minlength=lanes * SYMBOLS).reshape(lanes, SYMBOLS)
+            said, was = self.said[: self.rows, a:b], self.was[: self.rows, a:b]
+            count += np.bincount((said + self.symbols[:lanes]).ravel(), minlength=lanes * SYMBOLS).reshape(lanes, SYMBOLS)
             met = (said == HIT).view(np.int8) * np.int16(64)
             met += was
-            both = np.bincount((met + self.states[:m] * 2).ravel(), minlength=lanes * 128).reshape(lanes, 128).T
-            hits, tries = both[64:].copy(), both[:64] + both[64:]
-            error = hits * ONE - tries * self.p
+            both = np.bincount((met + self.states[:lanes] * 2).ravel(), minlength=lanes * 128).reshape(lanes, 128).T.astype(np.int32, order="C")
+            hits, tries = both[64:], both[:64] + both[64:]
+            error = hits * ONE - tries * self.p[:, a:b]  # below 2 to the 25, and so are sums of it
             total = np.maximum(1, tries.sum(0)) * 64
-            for k, (e, h, t) in enumerate(zip(*map(_by_order, (error, hits, tries)), strict=True)):
-                self.weight[k] += np.clip((e * self.bent[k]).sum(0) // total, -16000, 16000)
-                self.hits[k] += h
-                self.tries[k] += t
-            self.rows = 0
+            for k, (e, h, t) in enumerate(_by_order(np.stack([error, hits, tries]))):
+                self.weight[k, a:b] += np.clip((e * bent[k]).sum(0) // total, -16000, 16000)
+                self.hits[k, :, a:b] += h
+                self.tries[k, :, a:b] += t
         # the mixed probability of each state: a row is a state, of order 0, order 1, order 2
-        self.bent = [_STRETCH[h * 255 // t] for h, t in zip(self.hits, self.tries, strict=True)]
-        two, one, none = (w * b for w, b in zip(self.weight, self.bent, strict=True))
+        bent[:] = _STRETCH[self.hits[..., a:b] * 255 // self.tries[..., a:b]]
+        two, one, none = self.weight[:, None, a:b] * bent
         dot = (none[:, None, None] + one[:, None] + two).reshape(64, lanes)
         dot >>= 16
         np.clip(dot, -2047, 2047, out=dot)
         dot += 2047
-        self.p = np.clip(_SQUASH.take(dot, mode="clip"), LEAST, ONE - LEAST)
-        self.chance = self.p.T.astype(np.uint16, order="C").ravel()
+        self.p[:, a:b] = p = np.clip(_SQUASH.take(dot, mode="clip"), LEAST, ONE - LEAST)
+        self.chance.reshape(-1, 64)[a:b] = p.T
         # frequencies of slots and escape: none is zero, and they add up to FULL
-        count = self.count[:, :HIT]
+        count = count[:, :HIT]
         own = (count * ((FULL - HIT) / count.sum(1, keepdims=True))).astype(np.int32)  # the same doubles on any machine
         own += 1
         own[:, ESCAPE] += FULL - own.sum(1, dtype=np.int32)
         first = np.cumsum(own[:, :-1], axis=1, dtype=np.int32)
+        if self.inverse:  # the slot of each place, and where the escape begins
+            self.at[a * FULL : b * FULL] = np.repeat(self.tiled[: lanes * HIT], own.ravel())
+            self.edge[a:b] = first[:, -1]
         first <<= 16
-        self.packed[:, :HIT] = own
-        self.packed[:, 1:HIT] += first.view(np.uint32)
-        if self.inverse:
-            self.at = np.repeat(self.tiled, own.ravel())  # the slot of each place, and where the escape begins
-            self.edge = first[:, -1] >> 16
-        self.often = _GRADE.take(count[:, :SLOTS].ravel(), mode="clip")
+        packed = self.packed[a:b]
+        packed[:, :HIT] = own
+        packed[:, 1:HIT] += first.view(np.uint32)
+        self.often.reshape(-1, SLOTS)[a:b] = _GRADE.take(count[:, :SLOTS], mode="clip")
 
     def predict(self, at: np.ndarray, m: int) -> None:
         """For the first m lanes, from where the tables' entries are: the candidate, and the scaled probability that the id is it."""
@@ -143,9 +154,10 @@ class _Model:
 
 def _by_order(x: np.ndarray) -> list[np.ndarray]:
     """Sums of the states' rows for each state of order 2, of order 1 and of order 0."""
-    x = x.reshape(4, 4, 4, -1)
-    late = x.sum(0)
-    return [late.sum(0), late.sum(1), x.sum(2).sum(1)]
+    x = x.reshape(len(x), 4, 4, 4, -1)
+    add = partial(np.sum, dtype=np.int32)
+    late = add(x, axis=1)
+    return [add(late, axis=1), add(late, axis=2), add(add(x, axis=3), axis=2)]
 
 
 #: How often a slot was seen, in four grades, shifted to their place in a state.
@@ -184,9 +196,9 @@ def encode(ids: list[np.ndarray], bits: int) -> list[bytes]:
             m = int((sizes > t).sum())
         if t and model.due(t):
             model.refresh(m if t not in ends else int((sizes >= t).sum()))
-        row = t % 64
+        row = t % AHEAD
         if row == 0:  # all that follows from the ids alone
-            part = x[t : t + 66]
+            part = x[t : t + AHEAD + 2]
             entry = part[:-1] & (ENTRIES - 1)
             place = np.empty((len(entry) - 1, 2, lanes), np.int64)
             place[:, 0] = entry[1:]
@@ -222,8 +234,8 @@ def encode(ids: list[np.ndarray], bits: int) -> list[bytes]:
                 unit = width.take(rows, mode="clip") >> raw_unit
                 own = low.take(rows, mode="clip") + unit * ((left >> np.uint64(b)) & most)
                 low[rows], width[rows] = own, unit
-                small = unit < SMALL
-                give(rows[small], own[small])
+                small = (unit < SMALL).nonzero()[0]
+                give(rows.take(small), own.take(small))
         model.slot[spot] = now
         model.learn(at, m, now, fresh[row, :, :m], hit, symbol)
     for _ in range(2):  # what is left of low
@@ -313,8 +325,8 @@ def decode(coded: list[bytes], sizes: list[int], bits: int) -> list[np.ndarray]:
                 own -= unit * piece
                 got += piece << np.uint64(b)
                 code[rows], width[rows] = own, unit
-                small = unit < SMALL
-                take(rows[small], own[small])
+                small = (unit < SMALL).nonzero()[0]
+                take(rows.take(small), own.take(small))
             now[rows] = got
         x[t, :m] = now
         model.slot[(now & (SLOTS - 1)) + model.slots[:m]] = now
